@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepeak.llm import bpe, decontam, pseudonyms, simhash
+from tidepeak.llm import bpe, decontam, langid, pseudonyms, quality, simhash
 
 #: Where tokenizer files are, on the driver and on every executor.
 TOKENIZERS = os.environ.get("TIDEPEAK_TOKENIZERS", "/opt/tokenizers")
@@ -32,6 +32,14 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_report(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
