@@ -11,10 +11,11 @@ still be among the k best is known; those rows are resolved by the exact integer
 Rows and queries are cut into blocks of bounded size, and each pair of blocks is one group; the k
 best of a query in each block meet in a window over k rows a block.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of
-another length than most are compared over the components they share, as if padded by zeros; ties go to
-smaller ids; fewer candidates than k give all; repeated ids are separate rows, and none of a query's own id is
-a candidate; empty tables give no rows; other columns do not take part.
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors
+of different lengths are compared as if padded by zeros; ties go to
+smaller ids; fewer candidates than k give all; repeated ids are separate candidates, a query is
+asked once, and no row of its own id is a candidate; empty tables give no rows; other columns
+do not take part.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, qu
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     digest = F.xxhash64("vec_id", "v")
     left = base.withColumn("rb", F.pmod(digest, F.lit(row_blocks)).cast("int")).withColumn("qb", spread(query_blocks))
-    asked = base.where(F.col("vec_id") % every == 0)
+    asked = base.where(F.col("vec_id") % every == 0).distinct()
     right = asked.withColumn("qb", F.pmod(digest, F.lit(query_blocks)).cast("int")).withColumn("rb", spread(row_blocks))
 
     def answer(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -185,7 +186,6 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, qu
         return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
-    # a repeated query row would be answered twice; the k rows of each are the same
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

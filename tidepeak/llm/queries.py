@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepeak.llm import bitslice, bpe, counts, decontam, langid, pseudonyms, quality, simhash, tokenbin
+from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, simhash, tokenbin
 
 #: Where tokenizer files are, on the driver and on every executor.
 TOKENIZERS = os.environ.get("TIDEPEAK_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_report(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

@@ -227,3 +227,13 @@ def groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
 def assign(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """docs without near copies: of each component, the document of its component_id stays, as it is.
+
+    A document is known by its id: of rows that share an id, one stays. Rows without an id all stay.
+    """
+    kept = groups(docs, words, radius).where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

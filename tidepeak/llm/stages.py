@@ -1,3 +1,63 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each calls an operator on all rows that its predecessor kept.
 
-STAGES: list = []
+Columns are those of documents (doc_id, text, lang, source, n_chars, and any others); all stages but
+the last return them, with n_chars brought up to date where the text changed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepeak.llm import bpe, decontam, langid, pseudonyms, simhash
+from tidepeak.llm.common import materialise
+from tidepeak.llm.queries import PSEUDONYM_KEY, TOKENIZERS, table
+
+#: A document whose best language has a lower mean probability than this is rejected, as are those of no language.
+LEAST_SCORE = 0.35
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of no recognisable language."""
+    out = langid.identify(docs, langid.learn(docs), "_lang", "_score")
+    return out.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each near-duplicate component."""
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes spans of benchmark items, and documents that are mostly such spans."""
+    return with_length(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by pseudonyms."""
+    return with_length(pseudonyms.masked(docs, PSEUDONYM_KEY))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, beside the id of its document."""
+    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), f"{TOKENIZERS}/word_bpe_49k.json").withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("pii", mask_personal_data),
+    ("bpe", encode_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
