@@ -28,7 +28,8 @@ def hot_ticks(curve: DataFrame, k: float, settings: Scoring = Scoring()) -> Data
     flags = {}
     for w in settings.scales:
         mean = F.col(f"m{w}")
-        limit = mean + k * F.sqrt(F.greatest(F.col(f"q{w}") - mean * mean, F.lit(0.0)))
+        # by more than rounding, so that flat stretches are never hot
+        limit = mean + k * F.sqrt(F.greatest(F.col(f"q{w}") - mean * mean, F.lit(0.0))) + 1e-9
         hot = (2 * w < F.col("n")) & (x > limit)
         for i in range(1, settings.persistence):
             hot = hot & F.coalesce(F.col(f"s{i}") > limit, F.lit(False))

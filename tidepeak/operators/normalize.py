@@ -1,4 +1,7 @@
-"""Normalisation and fusion of signals (room, t, signal, value) to curves (room, t, score)."""
+"""Normalisation and fusion of signals (room, t, signal, value) to curves (room, t, score).
+
+Scores are rounded to 9 digits, since sums of signals come in any order.
+"""
 
 from __future__ import annotations
 
@@ -105,7 +108,7 @@ def weighted(z: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def base_score(z: DataFrame, weights: DataFrame) -> DataFrame:
-    return weighted(z, weights).groupBy("room", "t").agg(F.sum(F.col("w") * F.col("value")).alias("score"))
+    return weighted(z, weights).groupBy("room", "t").agg(F.round(F.sum(F.col("w") * F.col("value")), 9).alias("score"))
 
 
 def _step() -> Column:
@@ -124,14 +127,14 @@ def decayed_curve(z: DataFrame, weights: DataFrame, settings: Scoring = Scoring(
     sums = stepped.groupBy("room", "t").agg(F.sum(F.col("w") * F.col("value")).alias("base"), F.sum(F.col("w") * F.tanh(F.col("step") / settings.boost_divisor)).alias("boost"))
     n = F.count(F.lit(1)).over(Window.partitionBy("room"))
     score = (F.col("base") + F.col("boost")) * F.exp(-F.col("t") / n * settings.decay)
-    return sums.select("room", "t", F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return sums.select("room", "t", F.round(F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)), 9).alias("score"))
 
 
 def recall_curve(z: DataFrame, weights: DataFrame, onset: float = 0.2) -> DataFrame:
     """Base score and a bonus for rising signals."""
     stepped = weighted(z.withColumn("step", F.greatest(F.coalesce(_step(), F.lit(0.0)), F.lit(0.0))), weights)
     sums = stepped.groupBy("room", "t").agg(F.sum(F.col("w") * F.col("value")).alias("base"), F.sum(F.col("w") * F.col("step")).alias("rise"))
-    return sums.select("room", "t", (F.col("base") + onset * F.tanh("rise")).alias("score"))
+    return sums.select("room", "t", F.round(F.col("base") + onset * F.tanh("rise"), 9).alias("score"))
 
 
 def signal_stats(z: DataFrame, weights: DataFrame, top: int = 5) -> DataFrame:

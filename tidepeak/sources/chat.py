@@ -31,7 +31,7 @@ def typed_chat(rows: DataFrame) -> DataFrame:
 
 def transcript(doc: Column) -> Column:
     """Segments of a transcript that is a list, or an object with a list under `segments`."""
-    return F.coalesce(F.from_json(doc, SEGMENTS), F.from_json(doc, f"struct<segments:{SEGMENTS}>")["segments"])
+    return F.when(F.trim(doc).startswith("["), F.from_json(doc, SEGMENTS)).otherwise(F.from_json(doc, f"struct<segments:{SEGMENTS}>")["segments"])
 
 
 def transcript_status(doc: Column) -> Column:
@@ -66,7 +66,7 @@ def feature_signals(docs: DataFrame) -> DataFrame:
 def annotations(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid annotations and rejected ones (with the reason) of docs (room, doc): a list, or an object with one under `annotations`."""
     item = "array<struct<id:string,start:double,end:double,type:string,quality:string,worthClipping:string,notes:string>>"
-    items = F.coalesce(F.from_json("doc", item), F.from_json("doc", f"struct<annotations:{item}>")["annotations"])
+    items = F.when(F.trim("doc").startswith("["), F.from_json("doc", item)).otherwise(F.from_json("doc", f"struct<annotations:{item}>")["annotations"])
     each = docs.select("room", F.posexplode(items).alias("pos", "a")).select("room", "pos", "a.*")
     rows = each.withColumn("id", F.coalesce("id", F.concat(F.lit("a"), (F.col("pos") + 1).cast("string"))))
     rows = rows.withColumn("quality", F.expr("try_cast(coalesce(quality, '3') AS int)")).withColumn("worth", F.lower(F.coalesce("worthClipping", F.lit("true"))).isin(*TRUE))

@@ -38,8 +38,11 @@ def sliding_counts(chat: DataFrame, size: str = "11 seconds", step: str = "1 sec
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("room", F.col("w.start").alias("start"), "n")
 
 
-def session_ranges(hot: DataFrame, gap: str = "4 seconds", late: str = LATE) -> DataFrame:
-    """(room, start, last, score, n) of runs of hot ticks (room, ts, score) with gaps below `gap`: the live form of peak ranges."""
+def session_ranges(hot: DataFrame, gap: str = "3500 milliseconds", late: str = LATE) -> DataFrame:
+    """(room, start, last, score, n) of runs of hot ticks (room, ts, score) with gaps below `gap`, the live form of peak ranges.
+
+    Sessions that just touch are joined, so a gap of 3 whole seconds is any length between 3 and 4.
+    """
     grouped = watermarked(hot, late).groupBy("room", F.session_window("ts", gap).alias("w"))
     return grouped.agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n")).drop("w")
 
