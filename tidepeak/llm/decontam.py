@@ -58,12 +58,14 @@ COVERED = "aggregate(hits, named_struct('upto', 0, 'n', 0), (s, x) -> named_stru
 
 def with_hits(docs: DataFrame, windows: DataFrame, set_limit: int = SET_LIMIT) -> DataFrame:
     """Adds n_words, hits (array of at, len) and grams (the distinct windows that occur) to docs(text, ...)."""
-    known = windows.select("len", "gram", "h").distinct()
+    spark, known = docs.sparkSession, windows.select("len", "gram", "h").distinct()
     if known.count() <= set_limit:
         hits = hits_sql([tuple(r) for r in known.collect()])
         found = f"transform(array({words_sql('text')}), w -> named_struct('n_words', size(w), 'hits', {hits}, 'w', w))[0]"
         grams = "array_distinct(transform(f.hits, x -> array_join(slice(f.w, x.at, x.len), ' ')))"
-        f = docs.withColumn("_f", F.expr(f"transform(array({found}), f -> named_struct('n_words', f.n_words, 'hits', f.hits, 'grams', {grams}))[0]"))
+        # exploding one struct keeps the optimizer from copying the expression, with its set, into every use
+        spark.conf.set("spark.sql.maxPlanStringLength", "65536")
+        f = docs.withColumn("_f", F.expr(f"explode(transform(array({found}), f -> named_struct('n_words', f.n_words, 'hits', f.hits, 'grams', {grams})))"))
         return f.selectExpr(*[f"`{c}`" for c in docs.columns], "_f.n_words", "_f.hits", "_f.grams")
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     lengths = [r[0] for r in known.select("len").distinct().orderBy("len").collect()]
