@@ -12,6 +12,7 @@ columns are not written.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +28,11 @@ from tidepeak.llm.common import bound_batches, scratch_path
 
 END = 2
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
-MEMO = 300_000
+MEMO = 500_000
+#: Punctuation that may end a chunk of letters; no apostrophe, with which the pattern splits otherwise.
+TAIL = ".,;:!?%$#&*|"
+#: White space next to a space.
+CLOSE = re.compile(r" \s|[^\S ] ")
 #: What the ORC writer is told; Bloom filters and row groups let readers skip stripes by doc_id.
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
 
@@ -48,34 +53,51 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-        #: An added token, which the library always cuts out, separates chunks that are encoded in one call.
-        added = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark = min(added, default=None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(1 + max(vocab.values()), np.int64)  # a letter of the vocabulary stands for a byte
+        self.sizes[[*vocab.values()]] = [*map(len, vocab)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that the memo lacks, by the library."""
-        alone = chunks if self.mark is None else [c for c in chunks if self.mark[1] in c]
-        for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[c] = array("i", e.ids).tobytes()
-        if self.mark is None:
-            return
-        together = [c for c in chunks if self.mark[1] not in c]
-        for at in range(0, len(together), 256):
-            part = together[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[1].join(part)], add_special_tokens=False)[0].ids, "<i4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for c, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.known[c] = raw[4 * a + 4 : 4 * b]
+        """Encodes chunks that the memo lacks, by the library.
+
+        A chunk of letters with punctuation after them is split there by the pattern, so that only its parts are encoded.
+        """
+        known, parts, split = self.known, [], []
+        for c in chunks:
+            core = c.rstrip(TAIL)
+            if len(core) < len(c) and core.lstrip(" ").isalpha():
+                split.append((c, core, c[len(core) :]))
+            else:
+                parts.append(c)
+        parts += {x for _, core, tail in split for x in (core, tail)}.difference(known)
+        self.learn_parts(parts)
+        for c, core, tail in split:
+            known[c] = known[core] + known[tail]
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Words after a space are joined and encoded in one call; the bytes of their tokens tell where each ends."""
+        words = [p for p in parts if p[:1] == " " and p[1:].isalpha()]
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in part])) + 1
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w] = raw[4 * start : 4 * end]
+                start = end
+        others = [p for p in parts if not (p[:1] == " " and p[1:].isalpha())]
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[c] = array("i", e.ids).tobytes()
 
     @staticmethod
     def chunks(text: str) -> list[str]:
         first, *rest = text.split(" ")
         if not rest:
             return [first]
-        if "  " not in text and text.split() and not any(c != " " and (" " + c in text or c + " " in text) for c in {*text} if c.isspace()):
-            if rest[-1]:
-                return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+        if not CLOSE.search(text) and first and rest[-1]:
+            return [first, *map(" ".__add__, rest)]
         out, held = [], first
         for chunk in rest:
             if chunk and held and not chunk[0].isspace() and not held[-1].isspace():
@@ -136,7 +158,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # one short row a file, so every reader may hold them; beyond a million files they are joined like any table
+    return rows.join(F.broadcast(bases) if totals.count() <= 1_000_000 else bases, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def crc_column(ids: Column) -> Column:
