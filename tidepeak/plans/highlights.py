@@ -11,6 +11,7 @@ from tidepeak.operators import detect, intervals, normalize, rerank
 
 def from_curve(curve: DataFrame, k: float, settings: Scoring, top: int = 20) -> DataFrame:
     """Peaks of a curve, expanded, merged, cut and ranked: (room, start, end, score, rank)."""
+    curve = curve.persist()  # peaks, expansion and cuts read it
     ranges = intervals.number(detect.peak_ranges(detect.hot_ticks(curve, k, settings), settings.gap))
     wide = intervals.expand(ranges, curve, settings.min_duration, settings.max_duration)
     merged = intervals.merge_near(wide, settings.merge_distance)

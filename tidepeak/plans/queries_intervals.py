@@ -16,7 +16,8 @@ from tidepeak.plans.queries_curves import HOURLY, MAXIMA, z_and_weights
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """z, weights, curve and numbered peak ranges."""
     z, w = z_and_weights(spark, sf)
-    curve = normalize.base_score(z, w)
+    z = z.persist()  # several branches of each plan read z and the curve
+    curve = normalize.base_score(z, w).persist()
     return z, w, curve, intervals.number(detect.peak_ranges(detect.hot_ticks(curve, 1.0, HOURLY), 3))
 
 
@@ -33,8 +34,8 @@ x1 AS (SELECT room, id, CASE WHEN e - s < 5 THEN greatest(0, least(round_even((s
 x2 AS (SELECT room, id, s0 AS s, CASE WHEN e - s < 5 THEN s0 + 5 ELSE e END AS e, score FROM x1),
 held AS (SELECT room, t, round(sum(score) OVER (PARTITION BY room ORDER BY t ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING), 9) AS h FROM curve),
 cut AS (SELECT x.room, x.id, arg_max(t, [h, -t]) AS spot FROM x2 x JOIN held ON held.room = x.room AND t BETWEEN x.s AND x.e - 24 WHERE x.e - x.s > 24 GROUP BY x.room, x.id),
-wide AS (SELECT x.room, x.id, coalesce(spot::DOUBLE, s) AS s, coalesce(spot + 24::DOUBLE, e) AS e, score FROM x2 x LEFT JOIN cut USING (room, id))"""
-MERGE = """, reach AS (SELECT *, max(e) OVER (PARTITION BY room ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
+fit AS (SELECT x.room, x.id, coalesce(spot::DOUBLE, s) AS s, coalesce(spot + 24::DOUBLE, e) AS e, score FROM x2 x LEFT JOIN cut USING (room, id))"""
+MERGE = """, reach AS (SELECT *, max(e) OVER (PARTITION BY room ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fit),
 island AS (SELECT *, sum(CASE WHEN s - reach >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY room ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS island FROM reach),
 merged AS (SELECT room, min(s) AS s, max(e) AS e, max(score) AS score FROM island GROUP BY room, island),
 mcut AS (SELECT m.room, m.s, arg_max(t, [h, -t]) AS spot FROM merged m JOIN held ON held.room = m.room AND t BETWEEN m.s AND m.e - 24 WHERE m.e - m.s > 24 GROUP BY m.room, m.s),
@@ -55,7 +56,7 @@ def best_subwindow(spark: SparkSession, sf: str) -> DataFrame:
     return shown(intervals.best_subwindow(wide, curve, 10.0))
 
 
-@query(RANGES + EXPAND + OUT.format(x="wide"))
+@query(RANGES + EXPAND + OUT.format(x="fit"))
 def expand(spark: SparkSession, sf: str) -> DataFrame:
     _, _, curve, ranges = parts(spark, sf)
     return shown(intervals.expand(ranges, curve, 5.0, 24.0))
@@ -75,24 +76,24 @@ def nms_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 TTEST = RANGES + EXPAND + """, st AS (SELECT w.room, w.id, any_value(w.s) AS s, any_value(w.e) AS e, any_value(w.score) AS score,
   count(c.score) FILTER (t >= w.s) AS n1, avg(c.score) FILTER (t >= w.s) AS m1, var_samp(c.score) FILTER (t >= w.s) AS v1, count(c.score) FILTER (t < w.s) AS n2, avg(c.score) FILTER (t < w.s) AS m2, var_samp(c.score) FILTER (t < w.s) AS v2
-  FROM wide w JOIN curve c ON c.room = w.room AND t >= greatest(0, w.s - 5) AND t < w.e GROUP BY w.room, w.id),
+  FROM fit w JOIN curve c ON c.room = w.room AND t >= greatest(0, w.s - 5) AND t < w.e GROUP BY w.room, w.id),
 tt AS (SELECT *, n1 + n2 - 2 AS nu, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1::DOUBLE + 1 / n2::DOUBLE)) AS tv FROM st WHERE n1 > 2 AND n2 > 2),
 th AS (SELECT *, atan(abs(tv) / sqrt(nu)) AS a FROM tt),
 pv AS (SELECT room, id, 1 - CASE WHEN nu % 2 = 0 THEN sin(a) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(k + 1)) / sqrt(pi()) * power(cos(a), 2 * k)))
   ELSE 2 / pi() * (a + CASE WHEN nu > 1 THEN sin(a) * list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5::DOUBLE)) * power(cos(a), 2 * k + 1))) ELSE 0 END) END AS p FROM th)"""
 
 
-@query(TTEST + " SELECT room, s AS \"start\", e AS \"end\", round(CASE WHEN p > 0.05 THEN score * 0.7 ELSE score END, 6) AS score, round(p, 6) AS p FROM wide LEFT JOIN pv USING (room, id)")
+@query(TTEST + " SELECT room, s AS \"start\", e AS \"end\", round(CASE WHEN p > 0.05 THEN score * 0.7 ELSE score END, 6) AS score, round(p, 6) AS p FROM fit LEFT JOIN pv USING (room, id)")
 def ttest_penalty(spark: SparkSession, sf: str) -> DataFrame:
     _, _, curve, ranges = parts(spark, sf)
     rows = intervals.penalise(intervals.expand(ranges, curve, 5.0, 24.0), curve)
     return rows.select("room", "start", "end", r6("score").alias("score"), r6("p").alias("p"))
 
 
-STATS = RANGES + EXPAND + ", st AS (SELECT w.room, w.id, any_value(w.s) AS s, any_value(w.e) AS e, signal, any_value(ord) AS ord, max(value) AS peak, avg(value) AS mean FROM wide w JOIN z ON z.room = w.room AND t >= w.s AND t < w.e GROUP BY w.room, w.id, signal)"
+STATS = RANGES + EXPAND + ", st AS (SELECT w.room, w.id, any_value(w.s) AS s, any_value(w.e) AS e, signal, any_value(ord) AS ord, max(value) AS peak, avg(value) AS mean FROM fit w JOIN z ON z.room = w.room AND t >= w.s AND t < w.e GROUP BY w.room, w.id, signal)"
 
 
-@query(STATS + """, tr AS (SELECT w.room, w.id, w.s, coalesce(string_agg(signal, '+' ORDER BY ord), 'unknown') AS trigger FROM wide w LEFT JOIN (SELECT * FROM st WHERE peak > 2) st USING (room, id) GROUP BY w.room, w.id, w.s)
+@query(STATS + """, tr AS (SELECT w.room, w.id, w.s, coalesce(string_agg(signal, '+' ORDER BY ord), 'unknown') AS trigger FROM fit w LEFT JOIN (SELECT * FROM st WHERE peak > 2) st USING (room, id) GROUP BY w.room, w.id, w.s)
 SELECT room, s AS "start", trigger, CASE WHEN contains(trigger, 'eventLaughter') THEN '😂 搞笑高能' WHEN contains(trigger, 'dmDensity') THEN '🔥 弹幕爆发' WHEN contains(trigger, 'rms') THEN '🔊 音量爆发' ELSE '📹 高光时刻' END || ' (' || s::INTEGER || 's)' AS title,
   array_to_string(CASE WHEN len(list_filter(x, lambda y: y <> '')) > 0 THEN list_filter(x, lambda y: y <> '') ELSE ['高光'] END, ',') AS tags
 FROM (SELECT *, [CASE WHEN contains(trigger, 'eventLaughter') THEN '搞笑' ELSE '' END, CASE WHEN contains(trigger, 'dmDensity') THEN '互动' ELSE '' END, CASE WHEN contains(trigger, 'rms') THEN '音量' ELSE '' END, CASE WHEN contains(trigger, 'sceneChange') THEN '场景' ELSE '' END] AS x FROM tr)""")
@@ -111,7 +112,7 @@ def breakdown_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WF = RANGES + EXPAND + """, f0 AS (SELECT w.room, w.id, any_value(w.s) AS s, any_value(w.e) AS e, signal, max(value) FILTER (t >= w.s AND t < w.e) AS peak, avg(value) FILTER (t >= w.s AND t < w.e) AS mean, sum(greatest(value, 0)) FILTER (t >= w.s AND t < w.e) AS area,
-  coalesce(avg(value) FILTER (t < w.s), 0) AS pre, coalesce(avg(value) FILTER (t >= w.e), 0) AS post FROM wide w JOIN z ON z.room = w.room AND t >= w.s - (w.e - w.s) AND t < w.e + (w.e - w.s) GROUP BY w.room, w.id, signal),
+  coalesce(avg(value) FILTER (t < w.s), 0) AS pre, coalesce(avg(value) FILTER (t >= w.e), 0) AS post FROM fit w JOIN z ON z.room = w.room AND t >= w.s - (w.e - w.s) AND t < w.e + (w.e - w.s) GROUP BY w.room, w.id, signal),
 f AS (SELECT f0.*, w.w, (peak >= 1 OR (mean >= 0.5 AND peak > 0.1)) AS active FROM f0 JOIN weights w USING (signal)),
 g AS (SELECT room, id, any_value(s) AS s, any_value(e) AS e, sum(w * peak) AS ps, sum(w * mean) AS ms, sum(w * area / (e - s)) AS ars, sum(w * ((mean - pre) + (mean - post)) / 2) AS pp, sum(CASE WHEN active THEN w ELSE 0 END) AS ag,
   CASE WHEN any_value(s) > 0 THEN sqrt(avg(power(mean - pre, 2))) ELSE 0 END AS nov, least(0.45, coalesce(sum(CASE WHEN peak >= 1 THEN CASE signal WHEN 'eventLaughter' THEN 0.18::DOUBLE WHEN 'sceneChange' THEN 0.05::DOUBLE WHEN 'dmUniqueUsers' THEN 0.04::DOUBLE ELSE 0 END END), 0)) AS bonus FROM f GROUP BY room, id)"""
@@ -161,9 +162,9 @@ def topk_cut(spark: SparkSession, sf: str) -> DataFrame:
     return rerank.top_k(rows, 10).select("room", "start", "score", "rank")
 
 
-SELECTED = RANGES + EXPAND + """, t0 AS (SELECT room, id, s, least(720, round_even(least(greatest(e - s, 8), 20), 0))::INTEGER AS size FROM wide), t1 AS (SELECT *, least(greatest(0, round_even(s, 0)), 720 - size)::INTEGER AS base FROM t0),
-t2 AS (SELECT t1.*, unnest(range(greatest(0, base - 8)::BIGINT, least(720 - size, base + 8)::BIGINT + 1)) AS at FROM t1), t3 AS (SELECT t2.room, t2.id, t2.size, base, at, round(sum(c.score), 8) AS held FROM t2 JOIN curve c ON c.room = t2.room AND c.t >= at AND c.t < at + size GROUP BY ALL),
-sel AS (SELECT room, id, any_value(size) AS size, arg_max(at, [held, -abs(at - base), -at]) AS spot FROM t3 GROUP BY room, id)"""
+SELECTED = RANGES + EXPAND + """, t0 AS (SELECT room, id, s, least(720, round_even(least(greatest(e - s, 8), 20), 0))::INTEGER AS size FROM fit), t1 AS (SELECT *, least(greatest(0, round_even(s, 0)), 720 - size)::INTEGER AS base FROM t0),
+t2 AS (SELECT t1.*, unnest(range(greatest(0, base - 8)::BIGINT, least(720 - size, base + 8)::BIGINT + 1)) AS pos FROM t1), t3 AS (SELECT t2.room, t2.id, t2.size, base, pos, round(sum(c.score), 8) AS held FROM t2 JOIN curve c ON c.room = t2.room AND c.t >= pos AND c.t < pos + size GROUP BY ALL),
+sel AS (SELECT room, id, any_value(size) AS size, arg_max(pos, [held, -abs(pos - base), -pos]) AS spot FROM t3 GROUP BY room, id)"""
 
 
 @query(SELECTED + " SELECT room, spot::DOUBLE AS \"start\", (spot + size)::DOUBLE AS \"end\" FROM sel")
@@ -204,9 +205,9 @@ def edge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("room", "edge", "time", "source", "cost", "rank")
 
 
-@query(EDGES + EXPAND + EDGE.format(p="a", c="s", x="wide") + EDGE.format(p="b", c="e", x="wide") + """, pairs AS (SELECT a.room, a.id, a.time AS x, b.time AS y, a.source AS sx, b.source AS sy, a.cost + b.cost AS c, a.rank AS ra, b.rank AS rb FROM ar a JOIN br b USING (room, id) WHERE b.time - a.time >= 1),
+@query(EDGES + EXPAND + EDGE.format(p="a", c="s", x="fit") + EDGE.format(p="b", c="e", x="fit") + """, pairs AS (SELECT a.room, a.id, a.time AS x, b.time AS y, a.source AS sx, b.source AS sy, a.cost + b.cost AS c, a.rank AS ra, b.rank AS rb FROM ar a JOIN br b USING (room, id) WHERE b.time - a.time >= 1),
 pre AS (SELECT room, 0 AS t, 0.0::DOUBLE AS u FROM (SELECT DISTINCT room FROM curve) UNION ALL SELECT room, t + 1, sum(score) OVER (PARTITION BY room ORDER BY t) FROM curve),
-tot AS (SELECT p.*, q1.u - q0.u AS held, w1.u - w0.u AS was FROM pairs p JOIN wide w USING (room, id) JOIN pre q0 ON q0.room = p.room AND q0.t = p.x JOIN pre q1 ON q1.room = p.room AND q1.t = p.y JOIN pre w0 ON w0.room = p.room AND w0.t = w.s JOIN pre w1 ON w1.room = p.room AND w1.t = w.e),
+tot AS (SELECT p.*, q1.u - q0.u AS held, w1.u - w0.u AS was FROM pairs p JOIN fit w USING (room, id) JOIN pre q0 ON q0.room = p.room AND q0.t = p.x JOIN pre q1 ON q1.room = p.room AND q1.t = p.y JOIN pre w0 ON w0.room = p.room AND w0.t = w.s JOIN pre w1 ON w1.room = p.room AND w1.t = w.e),
 cst AS (SELECT *, round(c + CASE WHEN y - x < 5 THEN 1 + 2 * (5 - (y - x)) / 5 WHEN y - x > 24 THEN 1 + 2 * (y - x - 24) / 24 ELSE 0 END + greatest(0, was - held) / greatest(abs(was), 1) * 0.3::DOUBLE, 8) AS total FROM tot)
 SELECT room, x::DOUBLE AS "start", y::DOUBLE AS "end", sx AS start_source, sy AS end_source FROM (SELECT *, row_number() OVER (PARTITION BY room, id ORDER BY total, ra, rb) AS place FROM cst) WHERE place = 1""")
 def edge_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,11 +291,11 @@ def macro_micro(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT 'precisionAtK' AS name, avg((quality = 1)::INTEGER) AS value FROM labels UNION ALL SELECT 'duplicateRate', avg((toxic = 1)::INTEGER) FROM labels UNION ALL SELECT 'meanIou', NULL)
-SELECT name, round(value, 6) AS value, CASE name WHEN 'precisionAtK' THEN 0.6 WHEN 'duplicateRate' THEN 0.1 ELSE 0.5 END::DOUBLE AS target, CASE name WHEN 'precisionAtK' THEN value >= 0.6 WHEN 'duplicateRate' THEN value <= 0.1 ELSE NULL END AS met FROM v""")
+SELECT name, round(value, 6) AS value, CASE name WHEN 'precisionAtK' THEN 0.6 WHEN 'duplicateRate' THEN 0.1 ELSE 0.5 END::DOUBLE AS target, CASE WHEN name = 'precisionAtK' THEN CASE WHEN value >= 0.6 THEN 'true' ELSE 'false' END WHEN name = 'duplicateRate' THEN CASE WHEN value <= 0.1 THEN 'true' ELSE 'false' END ELSE 'unknown' END AS met FROM v""")
 def target_checks(spark: SparkSession, sf: str) -> DataFrame:
     rates = A.table(spark, sf, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("x"))
     values = rates.select(F.explode(F.create_map(F.lit("precisionAtK"), F.col("q"), F.lit("duplicateRate"), F.col("x"), F.lit("meanIou"), F.lit(None).cast("double"))).alias("name", "value"))
-    return evaluate.target_checks(values).select("name", r6("value").alias("value"), "target", "met")
+    return evaluate.target_checks(values).select("name", r6("value").alias("value"), "target", F.coalesce(F.col("met").cast("string"), F.lit("unknown")).alias("met"))
 
 
 def profile_sql() -> str:
