@@ -1,0 +1,380 @@
+"""Operators of the training-data pipeline against brute force, and their defined cases."""
+
+import array
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, simhash, stages, tokenbin
+from tidepeak.llm.queries import TOKENIZERS
+
+WORD, BYTE, PIECE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+ODD = ["", " ", "  ", "a ", " a", "a\n b", "\n", "don't 'll", "Σς ΣΣ İ", "é é", "x<|endoftext|> y", "<s> </s> ▁", "漢字 ✓ ٣ ½", "ab" * 2000, "A  B", "one two\tthree", "%%% $$$,"]
+
+
+def random_texts(n=300, seed=3):
+    rng = random.Random(seed)
+    bits = "abc XYZ é 's 12 ٣² Σ \t \n 漢 ✓ _- ! <|endoftext|> <s> ▁ \x1c \xa0".split(" ")
+    return ODD + ["".join(rng.choice(bits) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def docs(spark, texts, extra=True):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({"ids": F.lit("x"), "fp": F.lit(1), "n": F.lit(2), "lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}) if extra else df
+
+
+# ── 1: BPE ──
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORD), bpe.WordBpe(WORD)
+    texts = random_texts()
+    for t, ids in zip(texts, own.encode_batch(texts)):
+        expected = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<i4").tolist() == expected, t
+        assert own.decode(expected) == lib.decode(expected, skip_special_tokens=False)
+
+
+def test_merging_takes_the_leftmost_lowest_rank():
+    ranks, merged = {1 << 20 | 1: 0, 2 << 20 | 1: 1}, [2, 3]
+    assert bpe.merge([1, 1, 1], ranks, merged) == [3] and bpe.merge([1], ranks, merged) == [1] and bpe.merge([], ranks, merged) == []
+    rows = bpe.merge_rows(np.array([[1, 1, 1, 1, -1]], np.int32), bpe.PairRanks(ranks), np.array(merged, np.int32))
+    assert [x for x in rows[0] if x >= 0] == [2, 2]
+
+
+def test_bpe_digests(spark):
+    out = {r.doc_id: r for r in bpe.digests(docs(spark, ["the cat", None, "the cat", ""]), WORD).collect()}
+    assert out[0].ids_sha256 == out[2].ids_sha256 and out[1].n_tokens == out[3].n_tokens == 0
+    assert out[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bpe.digests(docs(spark, []), WORD).count() == 0
+
+
+# ── 2: SimHash ──
+def brute_components(texts, radius=2):
+    def fp(t):
+        w = (t or "").encode().lower().split()
+        sh = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    fps = [fp(t) for t in texts]
+    low = [*range(len(texts))]
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(fps)):
+            for b in range(len(fps)):
+                if (fps[a] ^ fps[b]).bit_count() <= radius and low[b] < low[a]:
+                    low[a], changed = low[b], True
+    return fps, low
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    texts = [None, "", "  \n", "one", "One two"]
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(400)]
+        texts.append(" ".join(base))
+        for k in range(4):
+            base[rng.randrange(400)] = f"n{k}"
+            texts.append(" ".join(base) if k else texts[-1])
+    fps, low = brute_components(texts)
+    out = {r.doc_id: r for r in simhash.assign(docs(spark, texts)).collect()}
+    assert [out[i].fingerprint for i in range(len(texts))] == [f"{f:016x}" for f in fps]
+    assert [out[i].component_id for i in range(len(texts))] == low and len(set(low)) < len(texts)
+
+
+def test_overfull_shards_are_split_without_losing_links(spark):
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(400)})
+    signed = [simhash.signed(f) for f in fps]
+    edges = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), shard=8).collect()]
+    roots = {f: f for f in signed}
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in edges:
+        assert ((a ^ b) & (2**64 - 1)).bit_count() <= 2
+        x, y = root(a), root(b)
+        roots[max(x, y)] = min(x, y)
+    got = {f: root(f) for f in signed}
+    top = {f: f for f in signed}
+
+    def root2(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 2:
+                x, y = root2(simhash.signed(a)), root2(simhash.signed(b))
+                top[max(x, y)] = min(x, y)
+    assert got == {f: root2(f) for f in signed}
+
+
+def test_chains_become_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    out = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_of_each_group_stays(spark):
+    kept = simhash.keep_one(docs(spark, ["a b c", "x y z", "a b c", None, ""]))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3] and "lang" in kept.columns
+    assert simhash.assign(docs(spark, [])).count() == 0
+
+
+# ── 3: pseudonyms ──
+def luhn(s):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0
+
+
+def masked(spark, texts, key="k"):
+    return [r.text for r in pseudonyms.masked(docs(spark, texts), key).orderBy("doc_id").collect()]
+
+
+def test_valid_values_are_permuted_within_their_format(spark):
+    texts = ["pay 4111111111111111, 4111 1111 1111 1111", "4111111111111112 no", "born 2024-02-29 or 29/02/2024", "2024-02-30", "ssn 123-45-6789", "DE89 3704 0044 0532 0130 00", "ip 10.0.0.1 999.1.1.1", "+1 (743) 555-3824 x"]
+    out = masked(spark, texts)
+    a, b = re.findall(r"\d{16}|(?:\d{4} ?){4}", out[0])
+    assert luhn(a) and a != "4111111111111111" and a == b.replace(" ", "") and out[1] == texts[1] and out[3] == texts[3]
+    d = re.search(r"(\d{4})-(\d\d)-(\d\d) or (\d\d)/(\d\d)/(\d{4})", out[2]).groups()
+    assert d[:3] == (d[5], d[4], d[3]) and d[:3] != ("2024", "02", "29")
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", out[4]) and out[4] != texts[4]
+    iban = out[5].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and out[5] != texts[5] and len(out[5]) == len(texts[5])
+    assert "999.1.1.1" in out[6] and "10.0.0.1" not in out[6] and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} x", out[7])
+
+
+def test_permutation_equals_a_plain_feistel(spark):
+    def plain(x, a, y, b, key, tag):
+        f = lambda r, half: int(hashlib.sha256(f"{key}|{tag}|{r}|{half}".encode()).hexdigest()[:15], 16)
+        for r in range(1, pseudonyms.ROUNDS + 1):
+            if r % 2 == 0:
+                x = (x + f(r, y) % a) % a
+            else:
+                y = (y + f(r, x) % b) % b
+        return x, y
+
+    rows = [(x, y) for x in range(7) for y in range(11)]
+    out = spark.createDataFrame(rows, "x long, y long").selectExpr("x", "y", pseudonyms.feistel("x", "7", "y", "11", "k", "t") + " AS q").collect()
+    assert {(r.q.x, r.q.y) for r in out} == set(rows) and all((r.q.x, r.q.y) == plain(r.x, 7, r.y, 11, "k", "t") for r in out)
+
+
+def test_linked_across_documents_and_clean_text_stays(spark):
+    clean = "Plain text, version 2.0: ratio 3:4 = 0.75 (see p. 12).\nNext | line"
+    out = masked(spark, ["a.b@c.example.com 4111111111111111", "4111111111111111 a.b@c.example.com", clean, None, "", 'token = "24be64439e3e49cf46b2"', "9" * 5000])
+    assert out[0].split() == out[1].split()[::-1] and "a.b@c" not in out[0] and out[2] == clean and out[3] is None and out[4] == "" and out[6] == "9" * 5000
+    assert re.fullmatch(r'token = "[0-9a-f]{20}"', out[5]) and "24be" not in out[5]
+    assert masked(spark, ["4111111111111111"], "other")[0] != masked(spark, ["4111111111111111"], "k")[0]
+    with pytest.raises(ValueError):
+        pseudonyms.masked(docs(spark, []), "it's")
+
+
+# ── 4 and 7: models ──
+def labelled(spark, n=240):
+    rng = random.Random(2)
+    words = {"en": ["the", "thing", "over", "with"], "de": ["der", "schön", "über", "mit"], "fr": ["le", "été", "où", "avec"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(20, 200))), lang) for i, lang in ((i, rng.choice([*words])) for i in range(n))]
+    return spark.createDataFrame(rows + [(1000, None, "en"), (1001, "12 34 !", "de"), (1002, "", None)], "doc_id long, text string, lang string")
+
+
+def test_language_of_held_out_texts(spark):
+    df = labelled(spark)
+    out = langid.held_out_report(df).join(df, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    judged = [r for r in out if r.doc_id < 1000]
+    assert sum(r.lang_pred == r.lang for r in judged if r.held_out) >= 0.97 * sum(r.held_out for r in judged)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in out if r.doc_id >= 1000} == {1000: ("und", 0), 1001: ("und", 0), 1002: ("und", 0)}
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_without_labels(spark):
+    df = labelled(spark, 5).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.held_out_report(df).collect()} == {"und"}
+    assert langid.held_out_report(df.limit(0)).count() == 0
+
+
+def test_cnn_gradients_equal_differences():
+    rng = np.random.default_rng(0)
+    net = langid.ByteCnn.fresh(["a", "b"], rng)
+    x, y = rng.integers(97, 123, (6, 40)).astype(np.int16), np.array([0, 1, 0, 1, 0, 1])
+    loss = lambda: -np.log(net.predict(x)[np.arange(6), y]).mean()
+    for p, g in zip(net.params(), net.gradients(x, y)):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = p[at]
+        p[at] = old + 1e-2
+        up = loss()
+        p[at] = old - 1e-2
+        down = loss()
+        p[at] = old
+        assert abs((up - down) / 2e-2 - g[at]) < 0.15 * max(abs(g[at]), 0.02)
+
+
+def test_quality_ranks_held_out_texts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows, labels = [], []
+    for i in range(300):
+        good = rng.random() < 0.7
+        w = [word() for _ in range(100)]
+        rows.append((i, " ".join(w) + "." if good else "!! ".join(x.upper() for x in w)))
+        labels.append((i, int(good)))
+    df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    out = {r.doc_id: r for r in quality.held_out_report(df, spark.createDataFrame([*labels, (None, 1), (5000, 0)], "doc_id long, quality int")).collect()}
+    held = [(out[i].predicted, q) for i, q in labels if out[i].held_out]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held) and len(out) == 302
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.values())
+    alone = quality.held_out_report(df, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert len({r.score for r in alone}) == 1
+
+
+# ── 5: licenses ──
+def test_license_places_equal_brute_force(spark):
+    rng = random.Random(6)
+    pool = "gnu general public license apache mit cc by the released under nc 4 0".split()
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 300))) for _ in range(120)] + [None, "", "Released under the MIT-License.", "CC BY-NC 4.0", "the GNU General Public License, version 3"]
+    out = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+        found = [(k, label) for p, label in licenses.BASE.items() for q in [p.encode().split()] for k in range(len(w) - len(q) + 1) if w[k : k + len(q)] == q]
+        r = out[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(found), ",".join(sorted({x for _, x in found})))
+        assert (r.first_word, r.last_word) == ((min(found)[0], max(k for k, _ in found)) if found else (None, None))
+        assert {x for _, x in found} <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+    n = len(texts)
+    assert out[n - 3].labels == "mit,mit-release" and out[n - 1].labels == "gpl,gpl-3.0" and out[n - 4].score == 0
+
+
+# ── 6: decontamination ──
+def brute_hits(text, items):
+    word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    w, hit, ids = word(text), set(), set()
+    for i, t in items:
+        v = word(t)
+        n = min(10, len(v))
+        for a in range(len(v) - n + 1 if n else 0):
+            for b in range(len(w) - n + 1):
+                if w[b : b + n] == v[a : a + n]:
+                    hit |= {*range(b, b + n)}
+                    ids.add(i)
+    return len(w), len(hit), sorted(map(str, ids))
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_decontamination_equals_brute_force(spark, limit):
+    rng = random.Random(8)
+    pool = "Ab cd' é f, g-h".split()
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(12)] + [(50, None), (51, "uno dos")]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [f"x {t} y" for _, t in items if t] + [None, "", "UNO  dos, uno dos"]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
+    out = {r.doc_id: r for r in decontam.report(docs(spark, texts), bench, set_limit=limit).collect()}
+    for i, t in enumerate(texts):
+        n, hit, ids = brute_hits(t, items)
+        r = out[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, hit, len(ids), hit > 0), t
+        assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def test_spans_are_removed_and_clean_text_stays(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    keep = "Many other words, that stand before it. " * 3
+    rows = decontam.clean(docs(spark, [keep + item.upper() + "! And after.", keep, item, None]), bench).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in rows] == [(0, keep + "And after."), (1, keep), (3, None)]
+    assert decontam.report(docs(spark, ["a"]), bench.limit(0)).first().n_hit == 0
+
+
+# ── 8 and 9: token files and counts ──
+def test_byte_tokens_and_counts_equal_the_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    lib, own, texts = Tokenizer.from_file(BYTE), tokenbin.ByteBpe(BYTE), random_texts()
+    for t, ids in zip(texts, own.encode_batch(texts)):
+        assert np.frombuffer(ids, "<i4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert counts.PieceCounter(PIECE).count_batch(texts) == [len(sp.encode(t)) for t in texts]
+
+
+def test_token_files_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTE)
+    texts = [None, "", "hello world", "a b  c", "x" * 3000, "hello world"]
+    out = {r.doc_id: r for r in tokenbin.round_trip(docs(spark, texts).repartition(3), BYTE).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (start, len(ids), zlib.crc32(array.array("I", ids).tobytes()))
+        start += len(ids)
+    assert tokenbin.round_trip(docs(spark, []), BYTE).count() == 0
+
+
+def test_cache_encodes_each_text_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/cache"
+    df = docs(spark, ["one two", "one two", None, ""])
+    assert counts.fill(df, PIECE, folder) == 2 and counts.fill(df, PIECE, folder) == 0
+    assert counts.fill(docs(spark, ["one two", "new"]), PIECE, folder) == 1
+    out = {r.doc_id: r for r in counts.count(df, PIECE, folder, limit=1).collect()}
+    assert out[0].n_tokens == out[1].n_tokens > 0 and out[0].over_limit and (out[2].n_bytes, out[2].n_tokens) == (0, 0)
+
+
+# ── 10: search ──
+def test_search_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 16)) / 4
+    x[10:60] = x[5]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (450, [float("nan")] * 16), (500, [None] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    out = bitslice.search(df, rows=90, queries=3).collect()
+    v = np.floor(256 * x).astype(int)
+    expected = set()
+    for q in range(0, 400, 50):
+        s = v @ v[q]
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:5]
+        expected |= {(q, k + 1, i, int(s[i])) for k, i in enumerate(best)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in out} == expected
+    few = bitslice.search(df.where("vec_id IN (0, 1, 50)")).collect()
+    assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (50, 1), (50, 2)] and bitslice.search(df.limit(0)).count() == 0
+
+
+def test_weights_as_signed_powers():
+    for n in (*range(-40, 41), 255, -1023):
+        assert sum(s << e if s > 0 else -(1 << e) for e, s in bitslice.powers(n)) == n
+
+
+# ── pipeline ──
+def test_stages_decide_and_keep_columns(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here "
+    item = "some benchmark question that has at least ten words in it overall"
+    texts = [base * 3, base * 3, base * 2 + "mail me at a.b@c.example.com or pay 4111111111111111", base + "different end " + item + " tail " + base, "12 34 !!", None]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in stages.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append(sorted(r.doc_id for r in df.collect()))
+    assert seen[0] == [0, 1, 2, 3] and seen[1] == [0, 2, 3]
+    rows = {r.doc_id: r for r in df.collect()}
+    assert rows[0].text == texts[0] and "a.b@c" not in rows[2].text and "benchmark" not in rows[3].text and all(len(r.text) == r.n_chars for r in rows.values())
+    out = {r.doc_id: r for r in stages.run(spark, str(tmp_path)).collect()}
+    assert sorted(out) == [0, 2, 3] and out[0].n_tokens == len(out[0].ids) and not math.isnan(out[0].n_tokens)
