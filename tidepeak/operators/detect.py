@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepeak.config import Scoring, TwoStage
+from tidepeak.functions.settle import settle
 from tidepeak.functions.windows import nearest_mean
 from tidepeak.schema import ANCHORS
 
@@ -169,7 +170,7 @@ def sources_at(places: DataFrame, z: DataFrame, weights: DataFrame, limit: float
 def recall(curve: DataFrame, z: DataFrame, weights: DataFrame, low: float, high: float, settings: TwoStage = TwoStage()) -> DataFrame:
     """Candidates (room, id, start, end, score, sources) of the first stage."""
     n = curve.groupBy("room").agg(F.count(F.lit(1)).alias("n"))
-    merged = merge_anchors(anchors(curve, z, weights, settings), n, settings)
+    merged = settle(merge_anchors(settle(anchors(curve, z, weights, settings)), n, settings))
     place = merged.select("room", F.col("t").alias("centre"), F.posexplode("places").alias("pos", "t"))
     near = place.join(sources_at(place, z, weights, settings.agreement_z), ["room", "t"])
     of_places = near.groupBy("room", "centre").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sources"))), lambda x: x["sources"])).alias("near"))

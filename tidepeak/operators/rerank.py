@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepeak.config import BOOSTS, DURATIONS, EDGE_WEIGHTS, PLATFORMS, TwoStage
+from tidepeak.functions.settle import settle
 from tidepeak.operators.detect import local_maxima
 from tidepeak.operators.intervals import ticks
 from tidepeak.operators.normalize import squash
@@ -254,20 +255,22 @@ def rerank(candidates: DataFrame, z: DataFrame, weights: DataFrame, curve: DataF
     who = F.lit(profile)
     kind = content_type(who, F.col("sources"))
     lo, hi = duration_range(kind, low, high, platform)
+    # each step reads the one before several times, and candidates are few: they are kept
     first = candidates.select("room", "id", "start", "end", "sources", F.col("score").alias("recall_score"), kind.alias("kind"), lo.alias("low"), hi.alias("high"))
-    fitted = select_window(first, curve, settings.radius).where("end - start >= 1")
+    fitted = settle(select_window(settle(first), curve, settings.radius).where("end - start >= 1"))
     active = window_totals(window_signals(fitted, z, weights, settings.agreement_z)).select("room", "id", "active_signals")
     typed = fitted.join(active, ID).withColumn("kind", content_type(who, F.concat("sources", "active_signals")))
     lo, hi = duration_range(F.col("kind"), low, high, platform)
-    typed = typed.withColumns({"low": lo, "high": hi}).drop("active_signals").withColumnRenamed("changed", "refit")
-    refitted = select_window(typed, curve, settings.radius)
+    typed = settle(typed.withColumns({"low": lo, "high": hi}).drop("active_signals").withColumnRenamed("changed", "refit"))
+    refitted = settle(select_window(typed, curve, settings.radius))
     moved = search_edges(refitted, z, curve, asr, search, settings.edge_limit) if search > 0 else refitted.withColumns({"start_source": F.lit("original"), "end_source": F.lit("original"), "moved": F.lit(False)})
+    moved = settle(moved)
     # an edge search that leaves the range by over half a second is fitted again, and no longer counts as a move to edges
     fits = ~F.col("moved") | (F.col("end") - F.col("start")).between(F.col("low") - 0.5, F.col("high") + 0.5)
     columns = [*[c for c in moved.columns if c not in ("start_source", "end_source", "changed")], "changed", "start_source", "end_source"]
     again = select_window(moved.where(~fits).drop("changed", "start_source", "end_source"), curve, settings.radius).withColumns({"start_source": F.lit("original"), "end_source": F.lit("original")})
-    placed = moved.where(fits).select(columns).unionByName(again.select(columns))
-    signals = window_signals(placed, z, weights, settings.agreement_z)
+    placed = settle(moved.where(fits).select(columns).unionByName(again.select(columns)))
+    signals = settle(window_signals(placed, z, weights, settings.agreement_z))
     scored = window_score(window_totals(signals).join(placed.drop("start", "end"), ID), signals).where(F.col("score") >= settings.min_score)
     spoken = z.where("signal = 'asrKeyword' AND value <> 0").select("room").distinct().withColumn("spoken", F.lit(True))
     named = scored.join(spoken, "room", "left").withColumn("all_sources", F.array_distinct(F.concat("sources", "active_signals")))
@@ -276,6 +279,7 @@ def rerank(candidates: DataFrame, z: DataFrame, weights: DataFrame, curve: DataF
         "room", F.col("id").cast("int").alias("id"), F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), "score", "confidence", F.col("kind").alias("content_type"),
         "start_source", "end_source", trigger.alias("trigger"), risks(F.col("changed") | F.col("refit") | F.col("moved"), F.coalesce("spoken", F.lit(False))).alias("risks"), "recall_score",
     )
+    clips = settle(clips)
     kept = clips.join(suppress_overlaps(clips, settings.overlap).where("kept").select("room", "id"), ID)
     best = top_k(kept, settings.top_k)
     numbered = best.withColumn("id", F.row_number().over(Window.partitionBy("room").orderBy("start", "end")))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepeak.config import Scoring, TwoStage
+from tidepeak.functions.settle import settle
 from tidepeak.operators import detect, intervals, normalize, rerank
 
 
 def from_curve(curve: DataFrame, k: float, settings: Scoring, top: int = 20) -> DataFrame:
     """Peaks of a curve, expanded, merged, cut and ranked: (room, start, end, score, rank)."""
-    curve = curve.persist()  # peaks, expansion and cuts read it
+    curve = settle(curve)  # peaks, expansion and cuts read it
     ranges = intervals.number(detect.peak_ranges(detect.hot_ticks(curve, k, settings), settings.gap))
     wide = intervals.expand(ranges, curve, settings.min_duration, settings.max_duration)
     merged = intervals.merge_near(wide, settings.merge_distance)
@@ -21,15 +22,15 @@ def from_curve(curve: DataFrame, k: float, settings: Scoring, top: int = 20) ->
 
 def point_scores(signals: DataFrame, profile: str = "default", k: float | None = None, settings: Scoring = Scoring()) -> DataFrame:
     """The point scorer: clips (room, id, start, end, score, p, trigger, title, tags) of aligned signals."""
-    z = normalize.compensate_lag(normalize.preprocess(signals, settings)).persist()
+    z = settle(normalize.compensate_lag(normalize.preprocess(signals, settings)))
     weights = normalize.profile_weights(signals, profile)
-    curve = normalize.decayed_curve(z, weights, settings).persist()
+    curve = settle(normalize.decayed_curve(z, weights, settings))
     n = intervals.sizes(curve)
-    ranges = intervals.number(detect.peak_ranges(detect.hot_ticks(curve, settings.sensitivity if k is None else k, settings), settings.gap))
-    bounded = intervals.valley_bounds(ranges, z, n, settings)
-    wide = intervals.expand(bounded, curve, settings.min_duration, settings.max_duration)
-    merged = intervals.best_subwindow(intervals.merge_near(wide, settings.merge_distance), curve, settings.max_duration)
-    good = intervals.quality(merged, curve, settings)
+    ranges = settle(intervals.number(detect.peak_ranges(detect.hot_ticks(curve, settings.sensitivity if k is None else k, settings), settings.gap)))
+    bounded = settle(intervals.valley_bounds(ranges, z, n, settings))
+    wide = settle(intervals.expand(bounded, curve, settings.min_duration, settings.max_duration))
+    merged = settle(intervals.best_subwindow(settle(intervals.merge_near(wide, settings.merge_distance)), curve, settings.max_duration))
+    good = settle(intervals.quality(merged, curve, settings))
     named = good.join(intervals.triggers(good, z, settings.trigger_z), ["room", "id"])
     return named.select(
         "room", "id", F.bround("start", 1).alias("start"), F.bround("end", 1).alias("end"), F.bround("score", 3).alias("score"), F.col("p"), "trigger",
@@ -39,7 +40,7 @@ def point_scores(signals: DataFrame, profile: str = "default", k: float | None =
 
 def two_stage(signals: DataFrame, asr: DataFrame | None = None, profile: str = "default", low: float = 15.0, high: float = 90.0, platform: str = "none", settings: TwoStage = TwoStage()) -> DataFrame:
     """The two-stage scorer: candidates by recall, then clips by rerank. z and curves are computed once and kept."""
-    z = normalize.robust_z(signals).persist()
+    z = settle(normalize.robust_z(signals))
     weights = normalize.profile_weights(signals, profile)
-    recall = detect.recall(normalize.recall_curve(z, weights, settings.onset), z, weights, low, high, settings)
-    return rerank.rerank(recall, z, weights, normalize.base_score(z, weights).persist(), asr, profile, low, high, platform, settings=settings)
+    recall = settle(detect.recall(settle(normalize.recall_curve(z, weights, settings.onset)), z, weights, low, high, settings))
+    return rerank.rerank(recall, z, weights, settle(normalize.base_score(z, weights)), asr, profile, low, high, platform, settings=settings)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepeak.config import Scoring, TwoStage
+from tidepeak.functions.settle import settle
 from tidepeak.operators import detect, evaluate, intervals, normalize, rerank
 from tidepeak.plans import adapters as A
 from tidepeak.plans import highlights
@@ -16,8 +17,8 @@ from tidepeak.plans.queries_curves import HOURLY, MAXIMA, z_and_weights
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """z, weights, curve and numbered peak ranges."""
     z, w = z_and_weights(spark, sf)
-    z = z.persist()  # several branches of each plan read z and the curve
-    curve = normalize.base_score(z, w).persist()
+    z = settle(z)  # several branches of each plan read z and the curve
+    curve = settle(normalize.base_score(z, w))
     return z, w, curve, intervals.number(detect.peak_ranges(detect.hot_ticks(curve, 1.0, HOURLY), 3))
 
 

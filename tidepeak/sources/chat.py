@@ -14,7 +14,8 @@ SEGMENTS = "array<struct<start:double,end:double,text:string,content:string,sent
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with the known fields as text; a line that is no object has only _corrupt_record."""
-    return spark.read.schema(CHAT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    parsed = F.from_json("value", CHAT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("j")).select("j.*")
 
 
 def split_bad(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
