@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_OWN: list[str] = []
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """df as files in the shared checkpoint folder (spark.checkpoint.dir; a folder of this machine only if that is unset).
+    """df as a Parquet table in the shared checkpoint folder (spark.checkpoint.dir; a folder of this machine only if that is unset).
 
-    A later plan then holds one scan instead of all that led to it, and lost executors cost nothing.
+    It is computed once; a later plan then holds one scan instead of all that led to it, and lost
+    executors cost nothing. The folder's retention removes the files.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidepeak-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tidepeak-"))
+        root = _OWN[0]
+    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
