@@ -31,7 +31,8 @@ SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids ar
 MEMO = 500_000
 #: Punctuation that may end a chunk of letters; no apostrophe, with which the pattern splits otherwise.
 TAIL = ".,;:!?%$#&*|"
-#: White space next to a space.
+#: White space beside spaces and line ends, which few texts have; and any white space next to a space.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 CLOSE = re.compile(r" \s|[^\S ] ")
 #: What the ORC writer is told; Bloom filters and row groups let readers skip stripes by doc_id.
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
@@ -96,7 +97,8 @@ class ByteBpe:
         first, *rest = text.split(" ")
         if not rest:
             return [first]
-        if not CLOSE.search(text) and first and rest[-1]:
+        apart = not ("  " in text or " \n" in text or "\n " in text) and not (any(c in text for c in OTHER_SPACE) and CLOSE.search(text))
+        if apart and first and rest[-1]:
             return [first, *map(" ".__add__, rest)]
         out, held = [], first
         for chunk in rest:
