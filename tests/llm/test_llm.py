@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, simhash, stages, tokenbin
+from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, resemblance, simhash, stages, tokenbin
 from tidepeak.llm.queries import TOKENIZERS
 
 WORD, BYTE, PIECE = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -138,6 +138,66 @@ def test_one_of_each_group_stays(spark):
     assert simhash.assign(docs(spark, [])).count() == 0
 
 
+def mutated(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"n{rng.randrange(10**6)}"
+    return out
+
+
+def jaccard_components(texts, similarity):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    top = [*range(len(texts))]
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root(a) != root(b):
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(x) for x in top]
+
+
+@pytest.mark.parametrize("shard", [2048, 8])
+def test_near_copies_equal_brute_force(spark, shard):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [None, "", " \n ", "one", "One", "one two three", "one two"]
+    for k in range(12):
+        base = [rng.choice(words) for _ in range(400)]
+        # a few changed words make near copies (over 0.85), many make other texts (under 0.65: between, the estimate decides)
+        texts += [" ".join(base), " ".join(base).upper()] + [" ".join(mutated(rng, base, n)) for n in (1, 3, 5, 24, 60)]
+    hub = [rng.choice(words) for _ in range(400)]
+    texts += [" ".join(mutated(rng, hub, rng.randint(1, 3))) for _ in range(60)]
+    low = jaccard_components(texts, 0.8)
+    assert low == jaccard_components(texts, 0.85) == jaccard_components(texts, 0.65)
+    kept = resemblance.keep_one(docs(spark, texts), shard=shard)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
+
+
+def test_what_small_trees_miss_is_compared_with_all_of_the_shard(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(400)]
+    prints = [resemblance.sketch(" ".join(mutated(rng, base, 7)))[1] for _ in range(40)]  # apart from each other, near the hub
+    prints.append(resemblance.sketch(" ".join(base))[1])
+    rows = spark.createDataFrame([(i, bytearray(p), [7]) for i, p in enumerate(prints)], "node long, print binary, keys array<long>")
+    radius = resemblance.radius_of(0.8)
+    near = [i for i, p in enumerate(prints) if (int.from_bytes(p, "big") ^ int.from_bytes(prints[-1], "big")).bit_count() <= radius]
+    out = {r.node: r.root for r in resemblance.near_components(rows, shard=4).collect()}
+    assert len(near) > 30 and {out[i] for i in near} == {min(near)}
+
+
+def test_near_copies_defined_cases(spark):
+    assert resemblance.keep_one(docs(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b"), (3, "x"), (2, "a  B"), (5, "x" * 300_000), (6, "y " * 100_000)], "doc_id long, text string")
+    kept = resemblance.keep_one(rows.withColumns({"node": F.lit(1), "keys": F.lit("k"), "n": F.lit(2)}))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "6", "None", "None"] and kept.columns == ["doc_id", "text", "node", "keys", "n"]
+
+
 # ── 3: pseudonyms ──
 def luhn(s):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(s))) % 10 == 0

@@ -73,26 +73,25 @@ def shard_masks(radius: int = RADIUS) -> list[int]:
 
 
 class BkTree:
-    """Burkhard-Keller tree of 64-bit fingerprints under Hamming distance."""
+    """Burkhard-Keller tree of fingerprints under Hamming distance."""
 
     def __init__(self) -> None:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def near(self, value: int, radius: int) -> list[int]:
+    def near(self, value: int, radius: int) -> Iterator[int]:
         """Places of all stored values within the radius, by the edges that can lead there."""
-        found, stack = [], [0] if self.values else []
+        stack = [0] if self.values else []
         while stack:
             node = stack.pop()
             distance = (self.values[node] ^ value).bit_count()
             if distance <= radius:
-                found.append(node)
+                yield node
             children = self.children[node]
             if len(children) <= 2 * radius:
                 stack += [c for d, c in children.items() if abs(d - distance) <= radius]
             else:
                 stack += [children[d] for d in range(distance - radius, distance + radius + 1) if d in children]
-        return found
 
     def add(self, value: int) -> int:
         new = len(self.values)
@@ -116,7 +115,7 @@ def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         return x
 
     for value in values:
-        near = tree.near(value & (2**64 - 1), radius)
+        near = list(tree.near(value & (2**64 - 1), radius))
         new = tree.add(value & (2**64 - 1))
         top.append(new)
         for other in near:

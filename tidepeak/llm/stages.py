@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepeak.llm import bpe, decontam, langid, pseudonyms, simhash
+from tidepeak.llm import bpe, decontam, langid, pseudonyms, resemblance
 from tidepeak.llm.common import materialise
 from tidepeak.llm.queries import PSEUDONYM_KEY, TOKENIZERS, table
 
@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """Keeps the document of the smallest id of each group of near copies (five words, similarity of 0.8 or more)."""
+    return resemblance.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
