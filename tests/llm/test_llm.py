@@ -178,6 +178,23 @@ def test_near_copies_equal_brute_force(spark, shard):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
 
 
+@pytest.mark.parametrize("shard", [2048, 8])
+def test_pairs_close_to_the_limit_equal_brute_force(spark, shard):
+    rng = random.Random(12)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for run in range(26, 47):  # a run of other words: similarities from 0.86 down to 0.77, at 40 words just 0.8
+        base = fresh(400)
+        texts += [" ".join(base), " ".join(base[:100] + fresh(run) + base[100 + run :])]
+    for n in [*range(5, 16)] * 4:  # one word more: from 0.5 up to 0.92, at 8 words just 0.8
+        base = fresh(n)
+        texts += [" ".join(base), " ".join(base + fresh(1))]
+    low = jaccard_components(texts, 0.8)
+    assert 0.3 * len(texts) < sum(x != i for i, x in enumerate(low)) < 0.45 * len(texts)
+    kept = resemblance.keep_one(docs(spark, texts), shard=shard)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(low))
+
+
 def test_what_small_trees_miss_is_compared_with_all_of_the_shard(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(2000)]
