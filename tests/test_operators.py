@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepeak.config import Scoring, TwoStage
 from tidepeak.operators import detect, evaluate, intervals, normalize, report, rerank, text, timeline
 from tidepeak.plans import highlights
+from tidepeak.plans.catalogue import QUERIES
 from tidepeak.sources import chat as chat_source
 from tidepeak.sources import frames
 
@@ -206,3 +207,16 @@ def test_two_stage_finds_the_two_peaks(spark):
     out = highlights.two_stage(rows, low=10, high=30, settings=TwoStage(per_hour=240)).orderBy("start").collect()
     assert any(r.start <= 20 <= r.end for r in out) and any(r.start <= 55 <= r.end for r in out)
     assert all(10 <= r.end - r.start <= 30 for r in out)
+
+
+# ── queries over whole tables ──
+def stored(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_repeat_rate_has_the_ticks_of_all_documents(spark, tmp_path):
+    sf = stored(spark, tmp_path, "documents", [(0, "a", "src1"), (1500, "b", "src1"), (1501, "B ", "src1"), (2000, "c", "src2")], "doc_id long, text string, source string")
+    out = {(r.room, r.t): r.rate for r in QUERIES["repeat_rate"](spark, sf).collect()}
+    assert out.keys() == {(room, t) for room in (1, 2) for t in range(401)}
+    assert {k for k, rate in out.items() if rate > 0} == {(1, t) for t in range(280, 321)} and out[1, 300] == 0.5

@@ -217,7 +217,9 @@ spine AS (SELECT room, t FROM (SELECT DISTINCT room FROM chat) CROSS JOIN (SELEC
 @query(POSTS + ", c AS (SELECT room, t, regexp_replace(lower(content), '\\s+', '', 'g') AS item FROM chat) SELECT s.room, s.t, round(CASE WHEN count(item) = 0 THEN 0 ELSE (count(item) - count(DISTINCT item)) / count(item)::DOUBLE END, 6) AS rate FROM spine s LEFT JOIN c ON c.room = s.room AND c.t BETWEEN s.t - 20 AND s.t + 20 AND item <> '' GROUP BY s.room, s.t")
 def repeat_rate(spark: SparkSession, sf: str) -> DataFrame:
     chat = A.posts(spark, sf)
-    return text.repeat_rate(chat, A.spine(chat, 200), 20).select("room", "t", r6("dmRepeatRate").alias("rate"))
+    # as many ticks as the documents fill
+    spine = chat.select("room").distinct().crossJoin(chat.agg(F.max("t").alias("last"))).select("room", F.explode(F.sequence(F.lit(0), "last")).alias("t"))
+    return text.repeat_rate(chat, spine, 20).select("room", "t", r6("dmRepeatRate").alias("rate"))
 
 
 RATE = EV + " SELECT s.room, s.t, round(coalesce(count(*) FILTER ({hit}) / nullif(count(line_no), 0)::DOUBLE, 0), 6) AS rate FROM spine s LEFT JOIN ev ON ev.room = s.room AND ev.t BETWEEN s.t - 5 AND s.t + 5 GROUP BY s.room, s.t"
