@@ -220,3 +220,9 @@ def test_repeat_rate_has_the_ticks_of_all_documents(spark, tmp_path):
     out = {(r.room, r.t): r.rate for r in QUERIES["repeat_rate"](spark, sf).collect()}
     assert out.keys() == {(room, t) for room in (1, 2) for t in range(401)}
     assert {k for k, rate in out.items() if rate > 0} == {(1, t) for t in range(280, 321)} and out[1, 300] == 0.5
+
+
+def test_topics_differ_in_any_component(spark):
+    rows = [(0, t, [1.0] * 12 + [float(t // 30 % 2 * 10)] * 4) for t in range(120)] + [(1, t, [1.0] * 12 + [float(t >= 60) * 10] * 4) for t in range(120)]
+    out = text.topic_change(spark.createDataFrame(rows, "room long, t int, features array<double>"), clusters=2)
+    assert {(r.room, r.t) for r in out.where("topicChange = 1").collect()} == {(0, 30), (0, 60), (0, 90), (1, 60)} and out.count() == 8

@@ -191,12 +191,14 @@ def speaker_change(asr: DataFrame, spine: DataFrame, n: int) -> DataFrame:
 def topic_change(embedded: DataFrame, window: int = 30, clusters: int = 5, seed: int = 42) -> DataFrame:
     """topicChange from window vectors (room, t, features): 1 where the cluster differs from the window before.
 
-    Clusters are k-means over all windows; at least two windows are needed.
+    Windows are means of all components; clusters are k-means over all windows; at least two windows are needed.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    pooled = embedded.groupBy("room", F.floor(F.col("t") / window).cast("int").alias("w")).agg(F.array(*[F.avg(F.col("features")[i].cast("double")) for i in range(8)]).alias("v"))
+    parts = embedded.select("room", F.floor(F.col("t") / window).cast("int").alias("w"), F.posexplode("features").alias("i", "x"))
+    means = parts.groupBy("room", "w", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    pooled = means.groupBy("room", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
     rows = pooled.withColumn("features", array_to_vector("v"))
     k = max(2, min(clusters, rows.count() // 2))
     labelled = KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows)
