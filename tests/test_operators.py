@@ -226,3 +226,9 @@ def test_topics_differ_in_any_component(spark):
     rows = [(0, t, [1.0] * 12 + [float(t // 30 % 2 * 10)] * 4) for t in range(120)] + [(1, t, [1.0] * 12 + [float(t >= 60) * 10] * 4) for t in range(120)]
     out = text.topic_change(spark.createDataFrame(rows, "room long, t int, features array<double>"), clusters=2)
     assert {(r.room, r.t) for r in out.where("topicChange = 1").collect()} == {(0, 30), (0, 60), (0, 90), (1, 60)} and out.count() == 8
+
+
+def test_file_sizes_of_all_parts(spark, tmp_path):
+    sf = stored(spark, tmp_path, "part", [(i, i) for i in range(1, 51)], "p_partkey long, p_size int")
+    out = {r.p_partkey: r.size for r in QUERIES["file_sizes"](spark, sf).collect()}
+    assert out == {i: f"{i * 100003 / 1048576:.1f} MB" if i * 100003 >= 1048576 else f"{i * 100003 / 1024:.1f} KB" for i in range(1, 51)}
