@@ -232,3 +232,20 @@ def test_file_sizes_of_all_parts(spark, tmp_path):
     sf = stored(spark, tmp_path, "part", [(i, i) for i in range(1, 51)], "p_partkey long, p_size int")
     out = {r.p_partkey: r.size for r in QUERIES["file_sizes"](spark, sf).collect()}
     assert out == {i: f"{i * 100003 / 1048576:.1f} MB" if i * 100003 >= 1048576 else f"{i * 100003 / 1024:.1f} KB" for i in range(1, 51)}
+
+
+@pytest.mark.parametrize("block", [100_000, 7])
+def test_labels_are_numbered_across_ranges(spark, block):
+    rows = [(i * 37 % 101, "x" if i % 4 else "y") for i in range(101)] + [(None, "x"), (500, None), (501, None)]
+    out = {r.idx: r.label for r in evaluate.unique_labels(spark.createDataFrame(rows, "idx long, label string"), block).collect()}
+    seen, expected = {}, {}
+    for idx, label in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        seen[label] = seen.get(label, 0) + 1
+        expected[idx] = label if label is None or seen[label] == 1 else f"{label}#{seen[label]}"
+    assert out == expected
+
+
+def test_all_labels_are_numbered(spark, tmp_path):
+    sf = stored(spark, tmp_path, "labels", [(i, i % 3) for i in range(7)], "doc_id long, quality int")
+    out = {r.label_id: r.label for r in QUERIES["unique_labels"](spark, sf).collect()}
+    assert out == {0: "x", 1: "x1", 2: "x2", 3: "x#2", 4: "x1#2", 5: "x2#2", 6: "x#3"}

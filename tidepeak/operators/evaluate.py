@@ -244,10 +244,21 @@ def by_recommendation(recommended: DataFrame) -> DataFrame:
     return recommended.groupBy("recommendation").agg(F.array_join(F.array_sort(F.collect_list("profile")), ",").alias("profiles"))
 
 
-def unique_labels(cases: DataFrame) -> DataFrame:
-    """Labels told apart: the second `x` becomes `x#2`. Cases are (idx, label)."""
-    n = F.row_number().over(Window.partitionBy("label").orderBy("idx"))
-    return cases.withColumn("n", n).withColumn("label", F.when(F.col("n") > 1, F.concat("label", F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("label"))).drop("n")
+def unique_labels(cases: DataFrame, block: int = 100_000) -> DataFrame:
+    """Labels told apart: the second `x` becomes `x#2`. Cases are (idx, label), idx being a number.
+
+    A label is numbered in ranges of idx of about `block` cases, each from where the ranges before it end, so no task has all of a common one.
+    """
+    ranges = -(-cases.count() // block)
+    cuts = sorted({*cases.approxQuantile("idx", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("idx"))) if cuts else F.lit(0)
+    dealt = cases.withColumn("_range", F.when(F.col("idx").isNull(), -1).otherwise(place))
+    sizes = dealt.groupBy("label", "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("label").orderBy("_range")) - F.col("_size")
+    starts = sizes.select(F.col("label").alias("_label"), F.col("_range").alias("_of"), before.alias("_before"))
+    joined = dealt.join(starts, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_of")))
+    n = F.row_number().over(Window.partitionBy("label", "_range").orderBy("idx")) + F.col("_before")
+    return joined.withColumn("n", n).select(*cases.columns, "n").withColumn("label", F.when(F.col("n") > 1, F.concat("label", F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("label"))).drop("n")
 
 
 def best_existing_match(clips: DataFrame, existing: DataFrame, least: float = 0.5) -> DataFrame:

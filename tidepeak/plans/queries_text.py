@@ -346,7 +346,9 @@ def clip_subtitles(spark: SparkSession, sf: str) -> DataFrame:
 def unique_labels(spark: SparkSession, sf: str) -> DataFrame:
     from tidepeak.operators import evaluate
 
-    rows = A.table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("idx"), F.lit("x").alias("label"))
+    # a label for each quality, x for 0
+    label = F.when(F.col("quality") == 0, "x").otherwise(F.concat(F.lit("x"), F.coalesce(F.col("quality").cast("string"), F.lit(""))))
+    rows = A.table(spark, sf, "labels").select(F.col("doc_id").alias("idx"), label.alias("label"))
     return evaluate.unique_labels(rows).select(F.col("idx").alias("label_id"), "label")
 
 
