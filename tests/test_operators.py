@@ -249,3 +249,12 @@ def test_all_labels_are_numbered(spark, tmp_path):
     sf = stored(spark, tmp_path, "labels", [(i, i % 3) for i in range(7)], "doc_id long, quality int")
     out = {r.label_id: r.label for r in QUERIES["unique_labels"](spark, sf).collect()}
     assert out == {0: "x", 1: "x1", 2: "x2", 3: "x#2", 4: "x1#2", 5: "x2#2", 6: "x#3"}
+
+
+def test_cosine_keys_follow_the_ids(spark, tmp_path):
+    one = lambda k: [float(i == k) for i in range(9)]
+    sf = stored(spark, tmp_path / "a", "embeddings", [(100 + i, one(i % 9)) for i in range(20)], "vec_id long, embedding array<float>")
+    out = {r.vec_id: (r.key_id, r.similarity) for r in QUERIES["cosine_match"](spark, sf).collect()}
+    assert out == {100 + i: (100 + i % 9, 1.0) for i in range(20) if i % 9 < 8}
+    sf = stored(spark, tmp_path / "b", "embeddings", [], "vec_id long, embedding array<float>")
+    assert QUERIES["cosine_match"](spark, sf).collect() == []

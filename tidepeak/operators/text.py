@@ -173,7 +173,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fuzzy_match(vectors: DataFrame, keywords: list[tuple[int, list[float]]], threshold: float = 0.7) -> DataFrame:
-    """Vectors (vec_id, embedding) with their most similar keyword (key_id, vector) by cosine, over the threshold."""
+    """Vectors (vec_id, embedding) with their most similar keyword (key_id, vector) by cosine, over the threshold; none without keywords."""
+    if not keywords:
+        return vectors.select("vec_id", F.lit(None).cast("long").alias("key_id"), F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
     known = F.array(*[F.struct(F.lit(k).alias("key_id"), F.array(*map(F.lit, v)).alias("key")) for k, v in keywords])
     best = F.array_max(F.transform(known, lambda k: F.struct(cosine(F.col("embedding"), k["key"]).alias("similarity"), (-k["key_id"]).alias("order"))))
     found = vectors.select("vec_id", best.alias("b")).where(F.col("b.similarity") > threshold)

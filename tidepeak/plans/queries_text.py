@@ -287,8 +287,9 @@ def ngram_tokens(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT v.vec_id, key_id, list_dot_product(v.embedding::DOUBLE[], e::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-10) * (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) + 1e-10)) AS sim FROM embeddings v CROSS JOIN k),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, key_id) AS place FROM s) SELECT vec_id, key_id, round(sim, 6) AS similarity FROM r WHERE place = 1 AND sim > 0.3""")
 def cosine_match(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors against a list of eight keys: the vectors of the eight smallest ids, whatever those are."""
     vectors = A.table(spark, sf, "embeddings")
-    keys = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in vectors.where("vec_id < 8").select("vec_id", "embedding").collect()]
+    keys = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in vectors.where("vec_id IS NOT NULL").select("vec_id", "embedding").orderBy("vec_id").limit(8).collect()]
     return text.fuzzy_match(vectors, sorted(keys), 0.3).select("vec_id", "key_id", r6("similarity").alias("similarity"))
 
 
