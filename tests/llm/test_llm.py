@@ -337,6 +337,20 @@ def test_license_places_equal_brute_force(spark):
     assert out[n - 3].labels == "mit,mit-release" and out[n - 1].labels == "gpl,gpl-3.0" and out[n - 4].score == 0
 
 
+def test_license_starts_are_intersected_postings():
+    known = licenses.templates()
+    index = licenses.PositionalIndex(known, {w: 1.0 + i for i, w in enumerate(sorted({w for t in known for w in t.words}))})
+    rng = random.Random(8)
+    pool = "gnu general public license apache mit cc by lesser mozilla version 2 0 the".encode().split()
+    found = 0
+    for _ in range(60):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 400))] + [*rng.choice(known).words[:6]] * 2
+        keys = {n: {k - t.key_at for k in range(len(words)) if tuple(words[k : k + len(t.key)]) == t.key} for n, t in enumerate(known)}
+        assert index.starts(words) == {n: s for n, s in keys.items() if s}
+        found += len(index.scan(words))
+    assert found > 60
+
+
 # ── 6: decontamination ──
 def brute_hits(text, items):
     word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())

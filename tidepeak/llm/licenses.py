@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index.
 
-Templates are word sequences. The index holds the templates' words with their positions, and each
-template's words by rarity in the corpus (inverse document frequency, counted over all
-documents). In a file, each place of a template's rarest words gives places where the template
-may start; those where the template's other words stand at their relative positions are matches.
+Templates are word sequences. The index holds the words of the templates' key phrases with their
+positions, by rarity in the corpus (inverse document frequency, counted over all documents). In a
+file, each place of such a word gives places where its templates may start, and these are
+intersected, rarest words first; what is left has the key phrase, and the template's other words are
+compared there.
 Base phrases must stand in full. A longer template must agree in MATCH of its words, by weight of
 rarity, and its key phrase must stand in full where it belongs.
 
@@ -66,45 +67,57 @@ def templates() -> list[Template]:
 
 
 class PositionalIndex:
-    """Postings of template words, and of each template its anchors: words one of which any match has."""
+    """Postings of the words of key phrases, rarest first, and of each template its anchor: the rarest word of its key phrase."""
 
     def __init__(self, known: list[Template], idf: dict[bytes, float]) -> None:
-        self.templates, self.idf = known, idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.templates = known
         self.weights = [[idf[w] for w in t.words] for t in known]
-        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for n, t in enumerate(known):
-            for at, w in enumerate(t.words):
-                self.postings[w].append((n, at))
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.anchors: dict[bytes, list[int]] = defaultdict(list)
+        placed = sorted((-idf[w], w, n, at) for n, t in enumerate(known) for at, w in enumerate(t.words) if t.key_at <= at < t.key_at + len(t.key))
+        anchored: set[int] = set()
+        for _, w, n, at in placed:
+            self.postings[w].append((n, at))
             # every match has the key phrase, so its rarest word is enough of an anchor
-            at = max(range(t.key_at, t.key_at + len(t.key)), key=lambda i: (self.weights[n][i], -i))
-            self.anchors[t.words[at]].append((n, at))
-
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """Matches (template, start, weighted share of words in place), by template and place."""
-        present = self.anchors.keys() & {*words}
-        if not present:
-            return []
-        places: dict[bytes, list[int]] = {w: [] for w in present}
+            if n not in anchored:
+                anchored.add(n)
+                self.anchors[w].append(n)
+
+    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """Of each template, the places where it may start: those at which all words of its key phrase stand."""
+        present = {*words}
+        starts: dict[int, set[int] | None] = {n: None for w in self.anchors.keys() & present for n in self.anchors[w]}
+        if not starts:
+            return {}
+        places: dict[bytes, list[int]] = {w: [] for w in self.postings.keys() & present}
         for p, w in enumerate(words):
             if w in places:
                 places[w].append(p)
+        # postings are in order of rarity, so the rarest words of the file are intersected first
+        for w, postings in self.postings.items():
+            for n, at in postings:
+                if n not in starts:
+                    continue
+                old, here = starts[n], places.get(w, ())
+                left = {p - at for p in here} if old is None else old.intersection(p - at for p in here)
+                if left:
+                    starts[n] = left
+                else:
+                    del starts[n]
+        return starts
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """Matches (template, start, weighted share of words in place), by template and place."""
         found = []
-        # rarest words of the file first
-        for w in sorted(present, key=lambda w: (-self.idf[w], w)):
-            for n, at in self.anchors[w]:
-                t, weights = self.templates[n], self.weights[n]
-                for p in places[w]:
-                    start = p - at
-                    key = start + t.key_at
-                    if key < 0 or tuple(words[key : key + len(t.key)]) != t.key:
-                        continue
-                    share = 1.0
-                    if not t.base:
-                        inside = sum(x for i, x in enumerate(weights) if 0 <= start + i < len(words) and words[start + i] == t.words[i])
-                        share = inside / sum(weights)
-                    if share >= MATCH:
-                        found.append((n, start, share))
+        for n, starts in self.starts(words).items():
+            t, weights = self.templates[n], self.weights[n]
+            for start in starts:
+                share = 1.0
+                if not t.base:
+                    inside = sum(x for i, x in enumerate(weights) if 0 <= start + i < len(words) and words[start + i] == t.words[i])
+                    share = inside / sum(weights)
+                if share >= MATCH:
+                    found.append((n, start, share))
         return sorted(found)
 
 
