@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -396,8 +397,11 @@ def test_byte_tokens_and_counts_equal_the_libraries():
     from tokenizers import Tokenizer
 
     lib, own, texts = Tokenizer.from_file(BYTE), tokenbin.ByteBpe(BYTE), random_texts()
-    for t, ids in zip(texts, own.encode_batch(texts)):
-        assert np.frombuffer(ids, "<i4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    for batch in (texts, [*texts, *tokenbin.MARKS], ["".join(tokenbin.MARKS), "a b"]):
+        ids, sizes = own.encode(pa.array(batch))
+        for t, part in zip(batch, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert part.tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert [x.tolist() for x in own.encode(pa.array([], pa.string()))] == [[], []]
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     assert counts.PieceCounter(PIECE).count_batch(texts) == [len(sp.encode(t)) for t in texts]
 
