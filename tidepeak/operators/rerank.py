@@ -158,11 +158,15 @@ def edge_candidates(edges: DataFrame, z: DataFrame, curve: DataFrame, asr: DataF
     order = Window.partitionBy("room", "id").orderBy("cost", "time")
     ranked = best.withColumn("cost", F.round(cost, 9)).withColumn("rank", F.row_number().over(order))
     kept = ranked.where(F.col("rank") <= limit)
-    home = kept.groupBy("room", "id").agg(F.max(F.abs(F.col("time") - F.col("edge")) < 0.5).alias("home"))
-    spare = rows.select("room", "id", "edge", F.bround("edge").alias("time"), F.lit("original").alias("source"), F.lit(EDGE_WEIGHTS["original"]).alias("weight")).join(home.where("NOT home"), ID)
-    spare = spare.withColumn("cost", F.round(F.abs(F.col("time") - F.col("edge")) / max(search, 1.0) - F.col("weight"), 9)).withColumn("rank", F.lit(limit + 1))
-    columns = ["room", "id", "edge", "time", "source", "weight", "cost", "rank"]
-    return kept.select(columns).unionByName(spare.select(columns))
+    # the edge itself is added beside the first place where no kept one is close to it
+    near_edge = F.max(F.abs(F.col("time") - F.col("edge")) < 0.5).over(Window.partitionBy("room", "id"))
+    own = F.struct(
+        F.bround("edge").alias("time"), F.lit("original").alias("source"), F.lit(EDGE_WEIGHTS["original"]).alias("weight"),
+        F.round(F.abs(F.bround("edge") - F.col("edge")) / max(search, 1.0) - EDGE_WEIGHTS["original"], 9).alias("cost"), F.lit(limit + 1).alias("rank"),
+    )
+    place = F.struct("time", "source", "weight", "cost", "rank")
+    places = F.when((F.col("rank") == 1) & ~F.col("home"), F.array(place, own)).otherwise(F.array(place))
+    return kept.withColumn("home", near_edge).select("room", "id", "edge", F.inline(places))
 
 
 def search_edges(windows: DataFrame, z: DataFrame, curve: DataFrame, asr: DataFrame | None, search: float = 8.0, limit: int = 10) -> DataFrame:
