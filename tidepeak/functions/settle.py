@@ -11,7 +11,7 @@ _OWN: list[str] = []
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder (spark.checkpoint.dir; a folder of this machine only if that is unset).
+    """df as a Parquet table in the shared checkpoint folder (spark.checkpoint.dir; a local session may go without).
 
     It is computed once; a later plan then holds one scan instead of all that led to it, and lost
     executors cost nothing. The folder's retention removes the files.
@@ -19,6 +19,8 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tidepeak-"))
         root = _OWN[0]
