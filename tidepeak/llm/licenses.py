@@ -1,15 +1,15 @@
 """License scans by a positional rare-token index.
 
-Templates are word sequences. The index holds the words of the templates' key phrases with their
-positions, by rarity in the corpus (inverse document frequency, counted over all documents). In a
-file, each place of such a word gives places where its templates may start, and these are
-intersected, rarest words first; what is left has the key phrase, and the template's other words are
-compared there.
-Base phrases must stand in full. A longer template must agree in MATCH of its words, by weight of
-rarity, and its key phrase must stand in full where it belongs.
+Templates are word sequences: passages of licences. The index holds the words of the templates' key
+phrases with their positions, by rarity in the corpus (inverse document frequency, counted over all
+documents). In a file, each place of such a word gives places where its templates may start, and these are
+intersected, rarest words first; what is left has the key phrases in full, each where it belongs, and the
+template's other words are compared there. Base phrases must stand in full; a longer template must agree in
+MATCH of its words, by weight of rarity.
 
 Defined cases: null text counts as empty text; matches may overlap; repeated rows are treated alike;
-whole texts of any length are searched; an empty table gives no rows; other columns do not take part.
+whole texts of any length are searched; an empty table gives no rows. Other columns are kept and do not take
+part; those named like a result (n_words, matches) are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,24 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepeak.llm.common import bound_batches
+from tidepeak.llm.common import bound_batches, fresh
+from tidepeak.llm.license_texts import PASSAGES
 
 #: Weighted share of a longer template's words that must be in place.
 MATCH = 0.8
 #: Base phrases and their labels (fixed values).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Longer templates: label, words, and the key phrase that must stand in full.
-TEMPLATES = (
-    ("gpl-3.0", "gnu general public license version 3", "gnu general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("mit-release", "released under the mit license", "mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-)
-
 #: Bytes to words: capitals to small letters, what is no letter or digit to spaces, bytes from 128 as they are.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -53,38 +42,40 @@ def words_of(text: str) -> list[bytes]:
 class Template:
     label: str
     words: tuple[bytes, ...]
-    key: tuple[bytes, ...]
+    keys: tuple[tuple[bytes, ...], ...]
     base: bool
 
     @property
-    def key_at(self) -> int:
-        return next(i for i in range(len(self.words)) if self.words[i : i + len(self.key)] == self.key)
+    def key_places(self) -> list[int]:
+        """Places of the words of all key phrases."""
+        starts = (next(i for i in range(len(self.words)) if self.words[i : i + len(k)] == k) for k in self.keys)
+        return sorted({at for k, start in zip(self.keys, starts, strict=True) for at in range(start, start + len(k))})
 
 
 def templates() -> list[Template]:
-    cut = lambda s: tuple(s.encode().split())
-    return [Template(label, cut(p), cut(p), True) for p, label in BASE.items()] + [Template(label, cut(p), cut(k), False) for label, p, k in TEMPLATES]
+    cut = lambda s: tuple(words_of(s))
+    return [Template(label, cut(p), (cut(p),), True) for p, label in BASE.items()] + [Template(label, cut(p), tuple(map(cut, keys)), False) for label, p, keys in PASSAGES]
 
 
 class PositionalIndex:
-    """Postings of the words of key phrases, rarest first, and of each template its anchor: the rarest word of its key phrase."""
+    """Postings of the words of key phrases, rarest first, and of each template its anchor: the rarest word of its key phrases."""
 
     def __init__(self, known: list[Template], idf: dict[bytes, float]) -> None:
         self.templates = known
         self.weights = [[idf[w] for w in t.words] for t in known]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.anchors: dict[bytes, list[int]] = defaultdict(list)
-        placed = sorted((-idf[w], w, n, at) for n, t in enumerate(known) for at, w in enumerate(t.words) if t.key_at <= at < t.key_at + len(t.key))
+        placed = sorted((-idf[t.words[at]], t.words[at], n, at) for n, t in enumerate(known) for at in t.key_places)
         anchored: set[int] = set()
         for _, w, n, at in placed:
             self.postings[w].append((n, at))
-            # every match has the key phrase, so its rarest word is enough of an anchor
+            # every match has the key phrases, so their rarest word is enough of an anchor
             if n not in anchored:
                 anchored.add(n)
                 self.anchors[w].append(n)
 
     def starts(self, words: list[bytes]) -> dict[int, set[int]]:
-        """Of each template, the places where it may start: those at which all words of its key phrase stand."""
+        """Of each template, the places where it may start: those at which all words of its key phrases stand."""
         present = {*words}
         starts: dict[int, set[int] | None] = {n: None for w in self.anchors.keys() & present for n in self.anchors[w]}
         if not starts:
@@ -167,7 +158,9 @@ def scan(docs: DataFrame, index: PositionalIndex | None = None) -> DataFrame:
     """Adds n_words and matches of every whole text to docs(text, ...)."""
     bound_batches(docs.sparkSession)
     found = scan_column(docs["text"], index or build_index(docs))
-    return docs.withColumn("_scan", found).select(*[F.col(f"`{c}`") for c in docs.columns], "_scan.n_words", "_scan.matches")
+    scanned, = fresh(docs, "scan")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "matches")]
+    return docs.withColumn(scanned, found).select(*kept, f"{scanned}.n_words", f"{scanned}.matches")
 
 
 def report(docs: DataFrame) -> DataFrame:
