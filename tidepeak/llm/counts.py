@@ -1,14 +1,15 @@
 """Token counts with a digest cache.
 
 A text is known by the digest of its content and of its tokenizer. Counts that the cache holds
-are joined; each distinct text that it lacks is encoded once, and appended to the cache. The text
-itself moves only for misses, after a local choice of one text a digest, so that any number of
-copies costs one row a task.
+are joined; each distinct text that it lacks is encoded once, and appended to the cache. Digests alone are
+compared with the cache: a text moves only if its digest is missing, and then after a local choice of one
+text a digest, so that any number of copies costs one row a task. Counts come back to documents by digest;
+digests of very many documents are few and broadcast, so that no task gets all copies of a text.
 
 Defined cases: null text counts as empty text, with 0 bytes and 0 tokens; repeated rows and ids
-each get their row; an empty table gives no rows; other columns do not take part. The content is
-not changed for its digest, since any change could change the count: normalising is only null to
-empty.
+each get their row; an empty table gives no rows; texts of any length are counted whole; other columns do
+not take part. The content is not changed for its digest, since any change could change the count:
+normalising is only null to empty.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tidepeak.llm.common import bound_batches, materialise, scratch_path
 
 LIMIT = 4096
 MEMO = 300_000
+#: Digests (32 bytes each) that may be broadcast; documents of a common digest, and the most such digests there can be.
+BROADCAST, COMMON, MOST = 1_000_000, 1000, 10_000
 SCHEMA = "digest binary, version string, n_tokens bigint"
 
 
@@ -103,19 +106,28 @@ def fill(docs: DataFrame, path: str, folder: str) -> int:
     bound_batches(spark)
     version = tokenizer_version(path)
     known = open_cache(spark, folder).where(F.col("version") == version).select("digest").distinct()
-    texts = docs.select(digest(docs["text"]).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    misses = texts.join(known, "digest", "left_anti") if not known.isEmpty() else texts
+    misses = docs.select(digest(docs["text"]).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    if not known.isEmpty():
+        missing = materialise(misses.select("digest").distinct().join(known, "digest", "left_anti"), "missing-digests")
+        n = missing.count()
+        if not n:
+            return 0
+        misses = misses.join(F.broadcast(missing) if n <= BROADCAST else missing, "digest", "left_semi")
     distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
     counted = materialise(distinct.select("digest", F.lit(version).alias("version"), count_column(F.col("text"), path).alias("n_tokens")), "token-counts")
     counted.write.mode("append").parquet(folder)
     return counted.count()
 
 
-def count(docs: DataFrame, path: str, folder: str | None = None, limit: int = LIMIT) -> DataFrame:
+def count(docs: DataFrame, path: str, folder: str | None = None, limit: int = LIMIT, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document; folder holds the cache (a new one by default)."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-count-cache")
     fill(docs, path, folder)
     cache = open_cache(spark, folder).where(F.col("version") == tokenizer_version(path)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select("doc_id", digest(docs["text"]).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.join(cache, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = materialise(docs.select("doc_id", digest(docs["text"]).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "document-digests")
+    often = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > F.lit(max(common, rows.count() // MOST))).select("digest")
+    often = materialise(often.join(cache, "digest"), "common-digests")
+    counted = rows.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(cache, "digest")
+    counted = counted.unionByName(rows.join(F.broadcast(often), "digest"))  # at most MOST of them
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
