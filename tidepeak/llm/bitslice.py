@@ -11,11 +11,11 @@ still be among the k best is known; those rows are resolved by the exact integer
 Rows and queries are cut into blocks of bounded size, and each pair of blocks is one group; the k
 best of a query in each block meet in a window over k rows a block.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors
-of different lengths are compared as if padded by zeros; ties go to
-smaller ids; fewer candidates than k give all; repeated ids are separate candidates, a query is
-asked once, and no row of its own id is a candidate; empty tables give no rows; other columns
-do not take part.
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do those whose
+quantised components have a sum of squares of LARGEST or more (scores of all others fit a long); vectors
+of different lengths are compared as if padded by zeros; ties go to smaller ids; fewer candidates than k
+give all. Rows that share an id are rows of their own: each is asked if its id is one to be asked, and
+each is a candidate of all rows but itself. Empty tables give no rows; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -27,16 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepeak.llm.common import materialise
+
 STEP = 4
+#: Inner products of vectors below this squared length are below it, too.
+LARGEST = 2.0**62
 #: Rows and queries of a block.
 ROWS, QUERIES = 8192, 2048
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v = floor(scale * x) of every vector that is whole."""
-    x = F.transform("embedding", lambda c: c.cast("double"))
+    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
     whole = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity'))")
-    return whole.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + F.pow(F.floor(c.cast("double") * scale).cast("double"), F.lit(2.0)))
+    return whole.where((squares < LARGEST) & F.forall("embedding", lambda c: F.abs(c) < LARGEST)).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("v"))
 
 
 def powers(weight: int) -> list[tuple[int, int]]:
@@ -160,32 +165,32 @@ def as_matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def search(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
-    base = quantised(vectors)
+    base = materialise(quantised(vectors).withColumn("row", F.monotonically_increasing_id()), "quantised")
     n = base.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     # more row blocks than their size asks for, so that all executors take part
     row_blocks = max(-(-n[0] // rows), min(spark.sparkContext.defaultParallelism, -(-n[0] // 1024)), 1)
     query_blocks = max(-(-n[1] // queries), 1)
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    digest = F.xxhash64("vec_id", "v")
-    left = base.withColumn("rb", F.pmod(digest, F.lit(row_blocks)).cast("int")).withColumn("qb", spread(query_blocks))
-    asked = base.where(F.col("vec_id") % every == 0).distinct()
-    right = asked.withColumn("qb", F.pmod(digest, F.lit(query_blocks)).cast("int")).withColumn("rb", spread(row_blocks))
+    dealt = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    left = base.withColumn("rb", dealt(row_blocks)).withColumn("qb", spread(query_blocks))
+    right = base.where(F.col("vec_id") % every == 0).withColumn("qb", dealt(query_blocks)).withColumn("rb", spread(row_blocks))
 
     def answer(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if block.num_rows and asked.num_rows:
             width = max((len(v) for t in (block, asked) for v in t.column("v").to_pylist()), default=0)
-            ids, held = block.column("vec_id").to_numpy(), SlicedBlock(as_matrix(block.column("v"), width))
-            for query_id, query in zip(asked.column("vec_id").to_pylist(), as_matrix(asked.column("v"), width), strict=True):
+            ids, uids, held = block.column("vec_id").to_numpy(), block.column("row").to_numpy(), SlicedBlock(as_matrix(block.column("v"), width))
+            names = (asked.column(c).to_pylist() for c in ("row", "vec_id"))
+            for row, query_id, query in zip(*names, as_matrix(asked.column("v"), width), strict=True):
                 own = np.zeros(len(held.valid) * 8, np.uint8)
-                packed = np.packbits(ids == query_id, bitorder="little")
+                packed = np.packbits(uids == row, bitorder="little")
                 own[: len(packed)] = packed
                 places, scores = held.top(query, k, own.view(np.uint64))
                 best = np.lexsort((ids[places], -scores))[:k]
-                out += [(query_id, int(ids[places[b]]), int(scores[b])) for b in best]
-        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                out += [(row, query_id, int(ids[places[b]]), int(scores[b])) for b in best]
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["row", "query_id", "vec_id", "score"])
 
-    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(answer, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(answer, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
