@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a segment tree over adjacent pair ranks.
 
-encode() and decode() add a column and keep all others; null text counts as empty text
+encode() and decode() add a column (it replaces one of the same name) and keep all others; null text counts as empty text
 (no ids), null ids decode to the empty string, repeated rows are encoded alike. Texts of
 any length are handled whole: a run of n symbols costs O(n log n).
 """

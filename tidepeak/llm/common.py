@@ -18,11 +18,13 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of this machine only if that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only a local session may go without: it gets a folder of its own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("tidepeak.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidepeak-")
         spark.conf.set("tidepeak.scratch.dir", root)
     return root.rstrip("/")
@@ -41,9 +43,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keeps Arrow batches small enough for long texts, unless the session has limits of its own."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(value))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = next(m for m in ("_" * n for n in range(1, len(taken) + 2)) if not any(f"{m}{name}".lower() in taken for name in names))
+    return [f"{mark}{name}" for name in names]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

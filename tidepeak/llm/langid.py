@@ -3,12 +3,14 @@
 Embedded bytes pass filters of several widths, each filter is max-pooled over a window of fixed
 length, and a softmax layer gives the languages. A text is cut into such windows from start to
 end; its score is the mean probability over the windows, weighted by their bytes. Training takes
-up to SAMPLE labelled documents in all (a documented bound), dealt out evenly to the languages,
-with WINDOWS random windows of each.
+some SAMPLE labelled documents in all, at most twice as many (a documented bound; one of each language if
+those are more), dealt out evenly to the languages, with WINDOWS random windows of each. Every value of lang
+is learned.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is every text if
 nothing was learned (no labelled rows); null labels are not learned from; repeated rows are
-treated alike; other columns do not take part in a prediction.
+treated alike; an empty table gives no rows; texts of any length are read whole. Other columns are kept
+and do not take part in a prediction; one that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepeak.llm.common import bound_batches, remainder
+from tidepeak.llm.common import bound_batches, fresh, remainder
 
 UNKNOWN = "und"
 #: Bytes of a window, labelled documents learned from, and windows of each.
 LENGTH, SAMPLE, WINDOWS = 192, 6000, 3
-#: Languages that can be learned: the most frequent ones.
-LANGUAGES = 200
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 PAD = 256
@@ -137,16 +137,17 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> ByteCnn:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> ByteCnn | None:
     """A network from docs(doc_id, text, lang) with a known language; None if there are none."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not counts:
         return None
     share = max(1, sample // len(counts))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1 << 20, (share << 20) // n + 1))) for k, n in counts.items()], F.lit(0))
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, (share << 20) // n + 1))]), F.col("lang"))
     start = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.length("text") - LENGTH // 2, F.lit(1))) + 1
     cuts = F.array(*[F.substring("text", start(k), F.lit(LENGTH)) for k in range(WINDOWS)])
-    # about `sample` rows by the rate; the limit only makes that bound strict
-    rows = known.where(draw < rate).select("lang", "doc_id", cuts.alias("cuts")).limit(2 * sample).collect()
+    # about `sample` rows by the rate; the limit only makes that bound strict, by the same order every time
+    drawn = known.where(draw < rate).select(draw.alias("draw"), "lang", "doc_id", cuts.alias("cuts"))
+    rows = drawn.orderBy("draw", "doc_id", "lang", "cuts").limit(2 * max(sample, len(counts))).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["cuts"]))
     pairs = [(c.encode(), r["lang"]) for r in rows for c in r["cuts"]]
     return train([c for c, _ in pairs], [lang for _, lang in pairs])
@@ -182,13 +183,15 @@ def predict_column(text: Column, net: ByteCnn) -> Column:
 
 
 def identify(docs: DataFrame, net: ByteCnn | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its probability to docs(text, ...)."""
+    """Adds the predicted language and its probability to docs(text, ...), in columns of the given names."""
     bound_batches(docs.sparkSession)
     if net is None:
         return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
+    guess, = fresh(docs, "guess")
     lettered = F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_p", predict_column(docs["text"], net)).withColumn("_l", lettered)
-    return out.withColumns({lang: F.when(F.col("_l"), F.col("_p.lang")).otherwise(UNKNOWN), score: F.when(F.col("_l"), F.col("_p.score")).otherwise(0.0)}).drop("_p", "_l")
+    out = docs.withColumn(guess, F.struct(lettered.alias("lettered"), predict_column(docs["text"], net).alias("best")))
+    of = lambda c: F.col(f"{guess}.{c}")
+    return out.withColumns({lang: F.when(of("lettered"), of("best.lang")).otherwise(UNKNOWN), score: F.when(of("lettered"), of("best.score")).otherwise(0.0)}).drop(guess)
 
 
 def held_out_report(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, simhash, tokenbin
 
-#: Where tokenizer files are, on the driver and on every executor.
-TOKENIZERS = os.environ.get("TIDEPEAK_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer_file(name: str) -> str:
+    """Where a tokenizer file is, on the driver and on every executor: in the folder $TIDEPEAK_TOKENIZERS if set, else with the package of public tokenizers."""
+    if folder := os.environ.get("TIDEPEAK_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 #: The key of the pseudonyms; a deployment sets its own.
 PSEUDONYM_KEY = os.environ.get("TIDEPEAK_PSEUDONYM_KEY", "example-key")
@@ -21,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +56,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return counts.count(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepeak.llm import bpe, decontam, langid, pseudonyms, resemblance
-from tidepeak.llm.common import materialise
-from tidepeak.llm.queries import PSEUDONYM_KEY, TOKENIZERS, table
+from tidepeak.llm.common import fresh, materialise
+from tidepeak.llm.queries import PSEUDONYM_KEY, table, tokenizer_file
 
 #: A document whose best language has a lower mean probability than this is rejected, as are those of no language.
 LEAST_SCORE = 0.35
@@ -22,9 +22,10 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no recognisable language."""
-    out = langid.identify(docs, langid.learn(docs), "_lang", "_score")
-    return out.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    """Drops documents of no recognisable language: null texts, texts without a letter, and texts whose best language is unlikely."""
+    lang, score = fresh(docs, "lang", "score")
+    out = langid.identify(docs, langid.learn(docs), lang, score)
+    return out.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +34,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes spans of benchmark items, and documents that are mostly such spans."""
+    """Removes spans of benchmark items, and documents that are mostly such spans; null texts stay."""
     return with_length(decontam.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms."""
+    """Replaces personal data by pseudonyms; all documents stay."""
     return with_length(pseudonyms.masked(docs, PSEUDONYM_KEY))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, beside the id of its document."""
-    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), f"{TOKENIZERS}/word_bpe_49k.json").withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+    """Ids (ids, n_tokens) of every text in the place of the text; all other columns stay, but for ones of these two names."""
+    return bpe.encode(docs, tokenizer_file("word_bpe_49k.json")).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
 STAGES = [
