@@ -337,6 +337,24 @@ def test_language_without_labels(spark):
     assert langid.held_out_report(df.limit(0)).count() == 0
 
 
+def test_models_keep_columns_and_read_long_texts(spark):
+    names = ["_p", "_l", "guess", "_guess", "features", "x", "n"]
+    df = labelled(spark, 60).withColumns({c: F.lit(c) for c in names})
+    long = spark.createDataFrame([(2000, "the thing over with " * 30_000, "en")], "doc_id long, text string, lang string").withColumns({c: F.lit(c) for c in names})
+    out = langid.identify(df.unionByName(long), langid.learn(df)).collect()
+    assert len(out) == 64 and all(r[c] == c for r in out for c in names) and {r.doc_id: r.lang_pred for r in out}[2000] == "en"
+    ranked = quality.scored(df.unionByName(long), quality.learn(df, df.select("doc_id", (F.col("doc_id") % 2).alias("quality")))).collect()
+    assert len(ranked) == 64 and all(r[c] == c for r in ranked for c in names) and all(0 <= r.score <= 1 for r in ranked)
+
+
+def test_rare_languages_are_learned_too(spark):
+    texts = {f"l{i}": f"{chr(0x4E00 + 40 * i)}{chr(0x4E01 + 40 * i)} " * 60 for i in range(30)}
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(list(texts.items()) * 12)], "doc_id long, text string, lang string")
+    net = langid.learn(df)
+    assert net.classes == sorted(texts)
+    assert langid.learn(df).out.tolist() == net.out.tolist()  # the same rows are drawn each time
+
+
 def test_cnn_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = langid.ByteCnn.fresh(["a", "b"], rng)
@@ -590,3 +608,20 @@ def test_stages_decide_and_keep_columns(spark, tmp_path):
     assert rows[0].text == texts[0] and "a.b@c" not in rows[2].text and "benchmark" not in rows[3].text and all(len(r.text) == r.n_chars for r in rows.values())
     out = {r.doc_id: r for r in stages.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == [0, 2, 3] and out[0].n_tokens == len(out[0].ids) and not math.isnan(out[0].n_tokens)
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "some benchmark question that has at least ten words in it overall", 0)], "item_id long, text string, gram int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["ids", "n_tokens", "_lang", "_score", "_key", "_hit", "_guess", "node", "root", "hits", "grams", "n_words", "digest", "print"]
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here "
+    rows = docs(spark, [base * 3, base * 3, None, "", " ".join(f"the fox {i} of the house" for i in range(20_000))], extra=False).withColumns({c: F.lit(c) for c in names})
+    labels = rows.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    labels.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert stages.run(spark, str(tmp_path)).count() == 0
+    for name, stage in stages.STAGES:
+        columns, labels = labels.columns, stage(spark, labels, str(tmp_path))
+        labels.write.parquet(f"{tmp_path}/{name}")
+        labels = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "bpe" or labels.columns == columns
+    out = {r.doc_id: r for r in labels.collect()}
+    assert sorted(out) == [0, 4] and all(r[c] == c for r in out.values() for c in names[2:]) and len(out[4].ids) == out[4].n_tokens > 2000
