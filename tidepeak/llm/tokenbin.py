@@ -27,9 +27,9 @@ from tidepeak.llm.common import bound_batches, scratch_path
 END = 2
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 #: Pieces that a worker's memo holds before it starts afresh, and the longest one that it keeps.
-MEMO, KEPT = 1_000_000, 64
+MEMO, KEPT = 600_000, 64
 #: Rows and bytes that are encoded together.
-TOGETHER_ROWS, TOGETHER_BYTES = 4096, 16 << 20
+TOGETHER_ROWS, TOGETHER_BYTES = 4096, 8 << 20
 #: Characters that may mark where a text is cut: the first that a batch of texts lacks is taken.
 MARKS = [chr(c) for c in (*range(9), *range(14, 28), *range(0xE000, 0xE010))]
 #: White space, or what some library takes for it, beside spaces and line ends.
