@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepeak.config import Scoring, TwoStage
 from tidepeak.functions.settle import settle
 from tidepeak.functions.windows import nearest_mean
-from tidepeak.schema import ANCHORS
+from tidepeak.schema import ANCHORS, room_type
 
 KEY = ["room"]
 #: Anchor name of the fused curve's own peaks.
@@ -146,7 +146,7 @@ def merge_anchors(found: DataFrame, sizes: DataFrame, settings: TwoStage = TwoSt
         return pd.DataFrame(chosen, columns=["room", "t", "score", "anchors", "places"])
 
     capped = found.join(sizes, "room").withColumn("cap", budget(F.col("n"), settings.per_hour))
-    return capped.groupBy("room").applyInPandas(run, "room long, t int, score double, anchors array<string>, places array<int>")
+    return capped.groupBy("room").applyInPandas(run, f"room {room_type(found)}, t int, score double, anchors array<string>, places array<int>")
 
 
 def make_window(at: Column, n: Column, low: float, high: float, target: float = 30.0) -> tuple[Column, Column]:

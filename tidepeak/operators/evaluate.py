@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepeak.config import TARGETS, WEIGHT_NAMES, profile_rows
+from tidepeak.config import PROFILES, TARGETS, WEIGHT_NAMES, profile_rows
 from tidepeak.operators.intervals import iou, overlap
+from tidepeak.operators.normalize import variant_weights
+from tidepeak.schema import room_type
 
 
 def is_positive(min_quality: int = 3) -> Column:
@@ -83,7 +85,7 @@ def max_matching(edges: DataFrame) -> DataFrame:
         room = rows["room"].iloc[0]
         return pd.DataFrame([(room, a, b, value[a, b]) for b, a in holder.items()], columns=["room", "a_id", "b_id", "iou"])
 
-    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, "room long, a_id long, b_id long, iou double")
+    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, f"room {room_type(edges)}, a_id long, b_id long, iou double")
 
 
 def duplicate_pairs(top: DataFrame, least: float = 0.5, width: float = 64.0) -> DataFrame:
@@ -130,6 +132,55 @@ def metrics(clips: DataFrame, annotations: DataFrame, k: int = 10, match_iou: fl
     )
 
 
+def metrics_at(clips: DataFrame, annotations: DataFrame, ks: tuple[int, ...], **limits: float) -> DataFrame:
+    """metrics() of every case (room) at every k, in one plan."""
+    if not ks:
+        raise ValueError("at least one k is needed")
+    out = metrics(clips, annotations, ks[0], **limits)
+    for k in ks[1:]:
+        out = out.unionByName(metrics(clips, annotations, k, **limits))
+    return out
+
+
+def case_checks(rows: DataFrame, targets: tuple = TARGETS) -> DataFrame:
+    """(room, k, name, value, target, met) of every target of every metrics row; met is null where nothing was measured."""
+    columns = {"precisionAtK": "precision_at_k", "recallAtK": "recall_at_k", "meanIou": "mean_iou", "invalidRate": "invalid_rate", "duplicateRate": "duplicate_rate"}
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value")) for name, c in columns.items()])
+    return target_checks(rows.select("room", "k", F.inline(pairs)), targets)
+
+
+def failed_cases(checks: DataFrame) -> DataFrame:
+    """(room, k, missed): cases that miss a target, an unmeasured one counting as missed."""
+    return checks.where(~F.coalesce("met", F.lit(False))).groupBy("room", "k").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("missed"))
+
+
+def loaded_cases(tables: DataFrame, annotations: DataFrame, profiles: tuple[str, ...] = tuple(PROFILES)) -> tuple[DataFrame, DataFrame]:
+    """Cases (room, profile, duration, clips) and unknown profiles (room, profile), of time tables (room, doc) and annotation documents (room, doc).
+
+    A table without clips has none; the annotations' profile and duration count before the table's, and no profile is the default one.
+    """
+    table = tables.select("room", "doc", F.from_json("doc", "struct<profile:string,duration:double,clips:array<struct<id:bigint,start:double,end:double,score:double>>>").alias("t")).where(F.trim("doc").startswith("{"))
+    noted = annotations.select("room", F.from_json("doc", "struct<profile:string,duration:double>").alias("a"))
+    none = F.array().cast("array<struct<id:bigint,start:double,end:double,score:double>>")
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    cases = table.join(noted, "room", "left").select(
+        "room", F.coalesce(text("a.profile"), text("t.profile"), F.lit("default")).alias("profile"), F.coalesce("t.duration", "a.duration").alias("duration"), F.coalesce("t.clips", none).alias("clips")
+    )
+    return cases.where(F.col("profile").isin(*profiles)), cases.where(~F.col("profile").isin(*profiles)).select("room", "profile")
+
+
+def clips_of(cases: DataFrame) -> DataFrame:
+    """Clips (room, id, start, end, score) of loaded cases; a clip without an id is known by its place."""
+    each = cases.select("room", F.posexplode("clips").alias("pos", "c"))
+    return each.select("room", F.coalesce("c.id", F.col("pos") + 1).alias("id"), "c.start", "c.end", F.coalesce("c.score", F.lit(0.0)).alias("score")).where("start IS NOT NULL AND end IS NOT NULL")
+
+
+def finite(value: Column) -> Column:
+    """A number, or null for text that is none, and for what is not finite."""
+    x = value.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def aggregate(rows: DataFrame, *by: str) -> DataFrame:
     """Macro means of rates over cases, and micro rates from sums, for each value of `by`."""
     avg = lambda c: F.round(F.avg(c), 4).alias(f"macro_{c}")
@@ -194,6 +245,74 @@ def candidate_scores(z: DataFrame, candidates: list[dict[str, float]]) -> DataFr
     return each.groupBy(F.col("c.candidate").alias("candidate"), "room", "t").agg(F.sum(F.col("c.w") * F.col("value")).alias("score"))
 
 
+def in_variants(rows: DataFrame, variants: list[str]) -> DataFrame:
+    """Rows once for each variant (a short list), with rooms `variant|room`, so that all variants run in one job."""
+    return rows.withColumn("variant", F.explode(F.array(*map(F.lit, variants)))).withColumn("room", F.concat_ws("|", "variant", F.col("room").cast("string")))
+
+
+def out_of_variants(rows: DataFrame) -> DataFrame:
+    """(variant, room, ...) of rows whose rooms are `variant|room`; room is a text."""
+    rest = [c for c in rows.columns if c != "room"]
+    return rows.select(F.substring_index("room", "|", 1).alias("variant"), F.expr("substr(room, instr(room, '|') + 1)").alias("room"), *rest)
+
+
+def variant_metrics(signals: DataFrame, annotations: DataFrame, weights: DataFrame, score: object, k: int = 5, **limits: float) -> DataFrame:
+    """Metrics (variant, room, ...) of every case under every weight vector (variant, signal, w): score(signals, weights) gives the clips of all of them at once."""
+    variants = [r[0] for r in weights.select("variant").distinct().orderBy("variant").collect()]
+    many = in_variants(signals, variants)
+    clips = score(many.drop("variant"), variant_weights(many, weights))
+    return out_of_variants(metrics(clips, in_variants(annotations, variants).drop("variant"), k, **limits))
+
+
+def candidate_table(spark: SparkSession, candidates: list[dict[str, float]]) -> DataFrame:
+    """(variant, signal, w) of weight vectors, numbered in order."""
+    return spark.createDataFrame([(f"{i:05d}", name, float(w)) for i, c in enumerate(candidates) for name, w in c.items()], "variant string, signal string, w double")
+
+
+def evaluated_candidates(by_case: DataFrame, kind: str = "f1", scope: str = "micro") -> DataFrame:
+    """(variant, objective, precision, recall, invalid, duplicate): aggregates of variant_metrics() over the cases of each variant."""
+    if kind not in ("f1", "precision", "recall", "iou", "editing") or scope not in ("micro", "macro"):
+        raise ValueError("objective must be one of f1, precision, recall, iou, editing, and scope micro or macro")
+    rows = aggregate(by_case, "variant").join(by_case.groupBy("variant").agg(F.try_divide(F.sum("cost_sum"), F.sum("matched")).alias("micro_cost"), F.avg("editing_cost").alias("macro_cost")), "variant")
+    at = lambda c: F.col(f"{scope}_{c}")
+    value = {"f1": at("f1_at_k"), "precision": at("precision_at_k"), "recall": at("recall_at_k"), "iou": F.coalesce(at("mean_iou"), F.lit(0.0)), "editing": F.coalesce(-at("cost"), F.lit(-1e9))}[kind]
+    out = rows.select("variant", F.round(value, 6).alias("objective"), at("precision_at_k").alias("precision"), at("recall_at_k").alias("recall"), at("invalid_rate").alias("invalid"), at("duplicate_rate").alias("duplicate"))
+    return out
+
+
+def best_candidate(evaluated: DataFrame) -> DataFrame:
+    """The row of the best variant: by objective, then precision, recall, fewer invalid and fewer duplicate clips, then the first."""
+    order = [F.desc("objective"), F.desc("precision"), F.desc("recall"), F.asc("invalid"), F.asc("duplicate"), F.asc("variant")]
+    return evaluated.orderBy(*order).limit(1)
+
+
+def compare_profiles(by_case: DataFrame, cases: DataFrame, min_cases: int = 2, min_positives: int = 5, min_delta: float = 0.02) -> DataFrame:
+    """(profile, cases, positives, micro_f1, default_f1, delta, sufficient, recommendation) of variant_metrics() under every profile.
+
+    cases (room, profile) say which profile owns a case; a profile is judged on its own cases against the default on the same ones.
+    """
+    owned = cases.select(F.col("room").cast("string").alias("room"), F.col("profile").alias("own"))
+    rows = by_case.join(owned, "room")
+    f1 = lambda when: F.coalesce(F.try_divide(2.0 * F.sum(F.when(when, F.col("matched"))), F.sum(F.when(when, F.col("top") + F.col("positives")))), F.lit(0.0))
+    mine, plain = F.col("variant") == F.col("own"), F.col("variant") == "default"
+    judged = rows.groupBy(F.col("own").alias("profile")).agg(
+        F.count_if(mine).alias("cases"), F.sum(F.when(mine, F.col("positives"))).alias("positives"), F.round(f1(mine), 4).alias("micro_f1"), F.round(f1(plain), 4).alias("default_f1")
+    )
+    every = by_case.select(F.col("variant").alias("profile")).distinct().join(judged, "profile", "left").fillna(0, ["cases", "positives"])
+    return recommend(every.withColumn("delta", F.round(F.col("micro_f1") - F.col("default_f1"), 4)), min_cases, min_positives, min_delta)
+
+
+def top_features(weights: DataFrame, limit: int = 5) -> DataFrame:
+    """(variant, place, signal, w): the largest positive weights of each vector, equal ones by name."""
+    place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("w"), "signal"))
+    return weights.where("w > 0").withColumn("place", place).where(F.col("place") <= limit).select("variant", "place", "signal", F.round("w", 6).alias("w"))
+
+
+def positive_counts(annotations: DataFrame, min_quality: int = 3) -> DataFrame:
+    """(room, positives, annotations)."""
+    return annotations.groupBy("room").agg(F.count_if(is_positive(min_quality)).alias("positives"), F.count(F.lit(1)).alias("annotations"))
+
+
 def coordinate_search(evaluate: object, base: dict[str, float], multipliers: tuple[float, ...] = (0.5, 0.8, 1.25, 2.0), rounds: int = 1) -> dict[str, float]:
     """Greedy search, one weight at a time: evaluate(list of weight vectors) gives their objectives in one job."""
     best = dict(base)
@@ -274,4 +393,4 @@ def best_existing_match(clips: DataFrame, existing: DataFrame, least: float = 0.
         return pd.DataFrame(out, columns=["room", "id", "existing_id", "iou"])
 
     edges = match_edges(ranked(clips), existing, least)
-    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, "room long, id long, existing_id long, iou double")
+    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, f"room {room_type(edges)}, id long, existing_id long, iou double")

@@ -34,13 +34,21 @@ def valleys(z: DataFrame, radius: int = 5) -> DataFrame:
     return z.where("signal = 'rms'").withColumn("m", F.avg("value").over(w)).where("value < m").select("room", "t")
 
 
+def gathered(rows: DataFrame, like: DataFrame, *aggregates: Column) -> DataFrame:
+    """Exploded rows back to one for each (room, id), with the columns of `like` and aggregates."""
+    return rows.groupBy("room", "id").agg(*[F.first(c).alias(c) for c in like.columns if c not in ("room", "id")], *aggregates)
+
+
 def valley_bounds(intervals: DataFrame, z: DataFrame, n: DataFrame, settings: Scoring = Scoring()) -> DataFrame:
     """Starts moved to the farthest valley before, ends to the nearest valley after, or both by a fixed pad."""
-    quiet = valleys(z, settings.valley_radius)
+    quiet = valleys(z, settings.valley_radius).withColumn("quiet", F.lit(True))
     r = settings.valley_range
-    before = ticks(intervals, F.col("start") - r, F.col("start") - 1).join(quiet, ["room", "t"]).groupBy("room", "id").agg(F.min("t").alias("left"))
-    after = ticks(intervals, F.col("end"), F.col("end") + r - 1).join(quiet, ["room", "t"]).groupBy("room", "id").agg(F.min("t").alias("right"))
-    joined = intervals.join(before, ["room", "id"], "left").join(after, ["room", "id"], "left").join(n, "room")
+    first, last = F.col("start").cast("int"), F.col("end").cast("int")
+    around = F.concat(F.sequence(first - r, first - 1), F.sequence(last, last + (r - 1)))
+    spread = intervals.withColumn("t", F.explode(around)).join(quiet, ["room", "t"], "left")
+    before = F.min(F.when(F.col("quiet") & (F.col("t") < F.col("start")), F.col("t"))).alias("left")
+    after = F.min(F.when(F.col("quiet") & (F.col("t") >= F.col("end")), F.col("t"))).alias("right")
+    joined = gathered(spread, intervals, before, after).join(n, "room")
     start = F.greatest(F.lit(0.0), F.coalesce(F.col("left").cast("double"), F.greatest(F.lit(0.0), F.col("start") - settings.pad)))
     end = F.least(F.col("n").cast("double"), F.coalesce(F.col("right").cast("double"), F.col("end") + settings.pad))
     return joined.select("room", "id", start.alias("start"), end.alias("end"), "score")
@@ -57,12 +65,12 @@ def best_subwindow(intervals: DataFrame, curve: DataFrame, longest: float) -> Da
     """Intervals longer than `longest` cut to the part of that length with the highest sum of scores, the first of equals."""
     size = round(longest)
     ahead = Window.partitionBy("room").orderBy("t").rowsBetween(0, size - 1)
-    sums = curve.select("room", "t", F.round(F.sum("score").over(ahead), 9).alias("held"))
-    long = intervals.where(F.col("end") - F.col("start") > longest)
-    placed = ticks(long.select("room", "id", "start", "end"), F.col("start"), F.col("end") - size).join(sums, ["room", "t"])
-    best = placed.groupBy("room", "id").agg(F.max_by("t", F.struct("held", (-F.col("t")))).alias("at"))
-    moved = intervals.join(best, ["room", "id"], "left")
-    return moved.withColumns({"start": F.coalesce(F.col("at").cast("double"), "start"), "end": F.coalesce((F.col("at") + size).cast("double"), "end")}).select(*intervals.columns)
+    sums = curve.select("room", F.col("t").alias("_at"), F.round(F.sum("score").over(ahead), 9).alias("_held"))
+    places = F.when(F.col("end") - F.col("start") > longest, F.sequence(F.col("start").cast("int"), F.greatest(F.col("start").cast("int"), (F.col("end") - size).cast("int"))))
+    placed = intervals.withColumn("_at", F.explode_outer(places)).join(sums, ["room", "_at"], "left")
+    order = F.when(F.col("_held").isNotNull(), F.struct("_held", (-F.col("_at"))))
+    moved = gathered(placed, intervals, F.max_by("_at", order).alias("_best"))
+    return moved.withColumns({"start": F.coalesce(F.col("_best").cast("double"), "start"), "end": F.coalesce((F.col("_best") + size).cast("double"), "end")}).select(*intervals.columns)
 
 
 def widen(intervals: DataFrame, n: DataFrame, least: float) -> DataFrame:
@@ -77,9 +85,9 @@ def widen(intervals: DataFrame, n: DataFrame, least: float) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("_s")).select(*intervals.columns)
 
 
-def expand(intervals: DataFrame, curve: DataFrame, least: float, longest: float) -> DataFrame:
+def expand(intervals: DataFrame, curve: DataFrame, least: float, longest: float, n: DataFrame | None = None) -> DataFrame:
     """Peak ranges made publishable: an empty one lasts a tick, short ones are widened, long ones cut to their best part."""
-    n = sizes(curve)
+    n = sizes(curve) if n is None else n
     rows = clamp(intervals, n).join(n, "room").withColumn("end", F.when(F.col("end") <= F.col("start"), F.least(F.col("n").cast("double"), F.col("start") + 1)).otherwise(F.col("end"))).drop("n")
     return best_subwindow(widen(rows, n, least), curve, longest)
 
@@ -124,35 +132,59 @@ def t_test_p(t: Column, freedom: Column) -> Column:
     return 1 - F.when(odd, 2 / F.pi() * (angle + odd_sum)).otherwise(even_part)
 
 
-def t_tests(intervals: DataFrame, curve: DataFrame, before: int = 5) -> DataFrame:
-    """(room, id, p): pooled t-test of the scores in each interval against those just before it; null where there are too few."""
-    spread = ticks(intervals.select("room", "id", "start", "end"), F.greatest(F.lit(0), F.col("start").cast("int") - before), F.col("end").cast("int") - 1)
+def with_p(intervals: DataFrame, curve: DataFrame, before: int = 5) -> DataFrame:
+    """Adds p and tested: pooled t-test of the scores in each interval against those just before it, if there are over two of both."""
+    first, last = F.greatest(F.lit(0), F.col("start").cast("int") - before), F.col("end").cast("int") - 1
+    spread = intervals.withColumn("t", F.explode_outer(F.when(first <= last, F.sequence(first, last)))).join(curve.select("room", "t", F.col("score").alias("_s")), ["room", "t"], "left")
     inside = F.col("t") >= F.col("start").cast("int")
-    of = lambda f, flag: f(F.when(flag, F.col("s")))
-    stats = spread.join(curve.select("room", "t", F.col("score").alias("s")), ["room", "t"]).groupBy("room", "id").agg(
-        of(F.count, inside).alias("n1"), of(F.avg, inside).alias("m1"), of(F.var_samp, inside).alias("v1"),
+    of = lambda f, flag: f(F.when(flag, F.col("_s")))
+    stats = gathered(
+        spread, intervals, of(F.count, inside).alias("n1"), of(F.avg, inside).alias("m1"), of(F.var_samp, inside).alias("v1"),
         of(F.count, ~inside).alias("n2"), of(F.avg, ~inside).alias("m2"), of(F.var_samp, ~inside).alias("v2"),
     )
-    enough = stats.where("n1 > 2 AND n2 > 2")
     freedom = F.col("n1") + F.col("n2") - 2
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / freedom
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))))
-    return enough.select("room", "id", t_test_p(t, freedom).alias("p"))
+    tested = (F.col("n1") > 2) & (F.col("n2") > 2)
+    return stats.withColumn("tested", tested).withColumn("p", F.when(F.col("tested"), t_test_p(t, freedom))).select(*intervals.columns, "p", "tested")
+
+
+def t_tests(intervals: DataFrame, curve: DataFrame, before: int = 5) -> DataFrame:
+    """(room, id, p) of the intervals that have enough scores for with_p()."""
+    return with_p(intervals.select("room", "id", "start", "end"), curve, before).where("tested").select("room", "id", "p")
 
 
 def penalise(intervals: DataFrame, curve: DataFrame, settings: Scoring = Scoring()) -> DataFrame:
     """Scores lowered where the t-test finds no difference; equal variances of zero find neither."""
-    p = t_tests(intervals, curve, settings.before)
     weak = F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") > settings.p_value)
-    return intervals.join(p, ["room", "id"], "left").withColumn("score", F.when(weak, F.col("score") * settings.penalty).otherwise(F.col("score")))
+    rows = with_p(intervals, curve, settings.before).drop("tested")
+    return rows.withColumn("score", F.when(weak, F.col("score") * settings.penalty).otherwise(F.col("score")))
 
 
-def quality(intervals: DataFrame, curve: DataFrame, settings: Scoring = Scoring()) -> DataFrame:
-    """Intervals cut or widened to fit, empty ones dropped, insignificant ones penalised; p says why."""
-    n = sizes(curve)
-    rows = clamp(intervals, n).where("end > start")
+def judged(intervals: DataFrame, curve: DataFrame, settings: Scoring = Scoring(), n: DataFrame | None = None) -> DataFrame:
+    """Intervals cut or widened to fit, insignificant ones penalised, with what happened to each: those that have to go are marked, too.
+
+    Adds p, from_start and from_end (as they were inside the recording), and reasons, in order: too_short (of one that
+    goes), trimmed_too_long, insufficient_context (the recording itself is too short), t_test_insignificant.
+    """
+    n = sizes(curve) if n is None else n
+    rows = clamp(intervals, n).withColumns({"from_start": F.col("start"), "from_end": F.col("end")})
     fit = widen(best_subwindow(rows, curve, settings.max_duration), n, settings.min_duration)
-    return penalise(fit, curve, settings)
+    tested = with_p(fit, curve, settings.before).drop("tested").join(n, "room")
+    length = F.col("from_end") - F.col("from_start")
+    empty = length <= 0
+    short = F.when(length > settings.max_duration, float(round(settings.max_duration))).otherwise(length) < settings.min_duration
+    whole = ~empty & short & (F.col("n") <= settings.min_duration)
+    gone = empty | (F.col("end") - F.col("start") < settings.min_duration)
+    weak = ~gone & F.col("p").isNotNull() & ~F.isnan("p") & (F.col("p") > settings.p_value)
+    found = ((gone, "too_short"), (~empty & (length > settings.max_duration), "trimmed_too_long"), (whole, "insufficient_context"), (weak, "t_test_insignificant"))
+    reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in found]), lambda x: x.isNotNull())
+    return tested.withColumn("reasons", reasons).withColumn("score", F.when(weak, F.col("score") * settings.penalty).otherwise(F.col("score"))).drop("n")
+
+
+def quality(intervals: DataFrame, curve: DataFrame, settings: Scoring = Scoring(), n: DataFrame | None = None) -> DataFrame:
+    """Intervals of judged() that stay; p says why a score is lower."""
+    return judged(intervals, curve, settings, n).where(~F.array_contains("reasons", "too_short")).select(*intervals.columns, "p")
 
 
 def signal_stats(intervals: DataFrame, z: DataFrame) -> DataFrame:
@@ -161,11 +193,19 @@ def signal_stats(intervals: DataFrame, z: DataFrame) -> DataFrame:
     return held.join(z, ["room", "t"]).groupBy("room", "id", "signal", "ord").agg(F.max("value").alias("peak"), F.avg("value").alias("mean"))
 
 
+def with_trigger(intervals: DataFrame, z: DataFrame, limit: float = 2.0) -> DataFrame:
+    """Adds trigger: names of all signals over the limit within each interval, weighted or not, joined by +."""
+    first, last = F.col("start").cast("int"), F.ceil("end").cast("int") - 1
+    high = z.where(F.col("value") > limit).groupBy("room", "t").agg(F.collect_list(F.struct("ord", "signal")).alias("_high"))
+    spread = intervals.withColumn("t", F.explode_outer(F.when(first <= last, F.sequence(first, last)))).join(high, ["room", "t"], "left")
+    named = gathered(spread, intervals, F.array_sort(F.array_distinct(F.flatten(F.collect_list("_high")))).alias("_names"))
+    trigger = F.array_join(F.transform("_names", lambda x: x["signal"]), "+")
+    return named.withColumn("trigger", F.coalesce(F.nullif(trigger, F.lit("")), F.lit("unknown"))).drop("_names")
+
+
 def triggers(intervals: DataFrame, z: DataFrame, limit: float = 2.0) -> DataFrame:
-    """(room, id, trigger): names of all signals over the limit within each interval, weighted or not, joined by +."""
-    high = signal_stats(intervals, z).where(F.col("peak") > limit)
-    named = high.groupBy("room", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "signal"))), lambda x: x["signal"]), "+").alias("trigger"))
-    return intervals.select("room", "id").join(named, ["room", "id"], "left").select("room", "id", F.coalesce("trigger", F.lit("unknown")).alias("trigger"))
+    """(room, id, trigger) of with_trigger()."""
+    return with_trigger(intervals.select("room", "id", "start", "end"), z, limit).select("room", "id", "trigger")
 
 
 def title(trigger: Column, start: Column) -> Column:

@@ -65,13 +65,36 @@ def pending_chunks(chunks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def feature_status(artifacts: DataFrame) -> DataFrame:
-    """(artifact, status, features, misaligned) of (artifact, duration, features map of arrays): missing, empty, or ok; which lengths are off by more than a second."""
+    """(artifact, status, features, misaligned) of (artifact, duration, features map of arrays): missing, empty, or ok; which lengths are off by more than a second.
+
+    With a column doc, the text of the artifact, one that is there but holds no map of features is invalid.
+    """
     off = F.map_keys(F.map_filter("features", lambda k, v: F.abs(F.size(v) - F.ceil("duration")) > 1))
     held = F.map_filter(F.coalesce("features", F.create_map().cast("map<string,array<double>>")), lambda k, v: F.size(v) > 0)
-    status = F.when(F.col("features").isNull(), "missing").when(F.size(held) == 0, "empty").otherwise("ok")
+    invalid = F.col("doc").isNotNull() if "doc" in artifacts.columns else F.lit(False)
+    status = F.when(F.col("features").isNull() & invalid, "invalid").when(F.col("features").isNull(), "missing").when(F.size(held) == 0, "empty").otherwise("ok")
     return artifacts.select("artifact", status.alias("status"), F.size(held).alias("features"), F.array_sort(F.coalesce(off, F.array().cast("array<string>"))).alias("misaligned"))
 
 
+def record(produced: DataFrame, version: str = VERSION, generator: str = GENERATOR) -> DataFrame:
+    """Manifest rows, as reuse() reads them, of produced (artifact, step, settings, params, sources, digest)."""
+    return produced.select("artifact", F.lit(version).alias("schema_version"), F.lit(generator).alias("generator"), "step", "settings", "params", F.col("sources").alias("source_digests"), "digest")
+
+
+def updated(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """The manifest with rows in the place of older ones of the same artifact."""
+    return manifest.join(rows.select("artifact"), "artifact", "left_anti").unionByName(rows)
+
+
+def segment_report(segments: DataFrame, least: int = 1024) -> DataFrame:
+    """Recorded segments (room, idx, size, seconds, header) with usable or the reason of quarantine: missing, too_small, bad_header, no_duration."""
+    reason = F.coalesce(
+        F.when(F.col("size").isNull(), F.lit("missing")), F.when(F.col("size") < least, F.lit("too_small")), F.when(F.coalesce(F.col("header") != "FLV", F.lit(True)), F.lit("bad_header")),
+        F.when(~(F.coalesce("seconds", F.lit(0.0)) > 0), F.lit("no_duration")),
+    )
+    return segments.withColumn("quarantine", reason).withColumn("usable", F.col("quarantine").isNull())
+
+
 def step_range(steps: tuple[str, ...], first: str | None = None, only: str | None = None) -> tuple[str, ...]:
     """Steps of a run that starts at one, or does one only."""
     if only:

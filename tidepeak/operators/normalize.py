@@ -5,7 +5,7 @@ Scores are rounded to 9 digits, since sums of signals come in any order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidepeak.config import PROFILES, WEIGHT_NAMES, Scoring
 from tidepeak.functions.windows import nearest_mean, nearest_values
+from tidepeak.schema import room_type
 
 KEYS = ["room", "signal"]
 
@@ -22,16 +23,26 @@ def _time() -> Window:
     return Window.partitionBy(*KEYS).orderBy("t")
 
 
-def ewma(signals: DataFrame, alpha: float = 0.3, terms: int = 100) -> DataFrame:
+def ewma(signals: DataFrame, alpha: float = 0.3) -> DataFrame:
     """Exponentially weighted mean, y = alpha * x + (1 - alpha) * y before, starting from the first value.
 
-    Beyond `terms` places the weights are below rounding (0.7**100 is 3e-16), so the recursion is a weighted sum of a frame.
+    A running sum of scaled values inside blocks of ticks, short enough for the scale to stay a number, and the ends of the
+    two blocks before: what is farther away weighs less than rounding. Linear in the ticks.
     """
-    w = _time()
-    held = F.collect_list("value").over(w.rowsBetween(-(terms - 1), 0))
-    # newest last; the oldest in the frame of the first rows is the seed, which keeps its full weight
-    folded = F.aggregate(F.slice(held, 2, terms), F.get(held, F.lit(0)), lambda y, x: y * (1 - alpha) + x * alpha)
-    return signals.withColumn("value", folded)
+    keep = 1 - alpha
+    if keep <= 0:
+        return signals
+    block = max(1, int(27 / -math.log(keep)))
+    time, part = _time(), Window.partitionBy(*KEYS)
+    rows = signals.withColumn("_i", F.row_number().over(time) - 1)
+    rows = rows.withColumns({"_b": F.floor(F.col("_i") / block), "_k": F.pmod(F.col("_i"), F.lit(block)).cast("double")})
+    share = F.when(F.col("_i") == 0, 1.0).otherwise(alpha)
+    inside = F.sum(share * F.col("value") * F.pow(F.lit(keep), -F.col("_k"))).over(Window.partitionBy(*KEYS, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_y", inside * F.pow(F.lit(keep), F.col("_k")))
+    last = F.when(F.col("_k") == block - 1, F.col("_y"))
+    ends = [F.coalesce(F.sum(last).over(part.orderBy("_b").rangeBetween(-n, -n)), F.lit(0.0)) for n in (1, 2)]
+    carried = ends[0] + ends[1] * keep**block
+    return rows.withColumn("value", F.col("_y") + carried * F.pow(F.lit(keep), F.col("_k") + 1)).select(*signals.columns)
 
 
 def ewma_exact(signals: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -94,6 +105,14 @@ def profile_weights(signals: DataFrame, profile: str = "default") -> DataFrame:
     return have.withColumn("total", total).withColumn("k", F.count(F.lit(1)).over(room)).withColumn("w", w).where("w > 0").select("room", "signal", "w")
 
 
+def variant_weights(signals: DataFrame, weights: DataFrame) -> DataFrame:
+    """profile_weights() of signals whose rooms are in variants (variant, room, ...): weights are (variant, signal, w), not scaled yet."""
+    have = signals.select("variant", "room", "signal").distinct().join(weights.select("variant", "signal", F.col("w").alias("raw")), ["variant", "signal"], "left").fillna(0.0, ["raw"])
+    room = Window.partitionBy("room")
+    scaled = have.withColumn("total", F.sum("raw").over(room)).withColumn("k", F.count(F.lit(1)).over(room))
+    return scaled.withColumn("w", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1.0 / F.col("k"))).where("w > 0").select("room", "signal", "w")
+
+
 def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
     """Known names, no negative weights, sum 1."""
     kept = {k: max(0.0, float(v)) for k, v in weights.items() if k in WEIGHT_NAMES}
@@ -171,7 +190,7 @@ def lag_of(z: DataFrame, max_shift: int = 5, min_len: int = 10) -> DataFrame:
         return pd.DataFrame({"room": [room], "lag": [lag]})
 
     kept = z.where(F.col("signal").startswith("dm") | F.col("signal").isin("rms", "eventLaughter", "eventApplause"))
-    return kept.groupBy("room").applyInPandas(run, "room long, lag int")
+    return kept.groupBy("room").applyInPandas(run, f"room {room_type(z)}, lag int")
 
 
 def compensate_lag(z: DataFrame, max_shift: int = 5) -> DataFrame:

@@ -140,9 +140,16 @@ def clip_metadata(clips: DataFrame) -> DataFrame:
     )
 
 
-def clip_subtitles(cues: DataFrame, clips: DataFrame) -> DataFrame:
-    """(room, id, number, start, end, text): cues (room, start, end, text) that touch each clip, cut to it, from 0."""
-    joined = cues.select("room", F.col("start").alias("cs"), F.col("end").alias("ce"), "text").join(clips.select("room", "id", "start", "end"), "room").where("ce >= start AND cs <= end")
+def clip_subtitles(cues: DataFrame, clips: DataFrame, width: float = 64.0) -> DataFrame:
+    """(room, id, number, from, till, text): cues (room, start, end, text) that touch each clip, cut to it, from 0.
+
+    Cues and clips meet in shared buckets of time, and a pair counts in the first of them only.
+    """
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    spoken = cues.select("room", F.col("start").alias("cs"), F.greatest("start", "end").alias("ce"), "text").withColumn("bucket", buckets("cs", "ce"))
+    dealt = clips.where("start <= end").select("room", "id", "start", "end").withColumn("bucket", buckets("start", "end"))
+    first = F.floor(F.greatest("cs", "start") / width)
+    joined = spoken.join(dealt, ["room", "bucket"]).where((F.col("ce") >= F.col("start")) & (F.col("cs") <= F.col("end")) & (F.col("bucket") == first))
     place = F.row_number().over(Window.partitionBy("room", "id").orderBy("cs", "ce"))
     return joined.select("room", "id", place.alias("number"), F.greatest(F.lit(0.0), F.col("cs") - F.col("start")).alias("from"), F.least(F.col("end") - F.col("start"), F.col("ce") - F.col("start")).alias("till"), "text")
 
@@ -156,3 +163,16 @@ def subtitle_text(subtitles: DataFrame) -> DataFrame:
 def timing_summary(runs: DataFrame) -> DataFrame:
     """(mode, least, middle, most) of measured seconds."""
     return runs.groupBy("mode").agg(F.min("seconds").alias("least"), F.median("seconds").alias("middle"), F.max("seconds").alias("most"))
+
+
+def signal_order(stats: DataFrame, top: int = 5, limit: int = 10) -> DataFrame:
+    """(room, place, signal, share) of the signals (room, signal, ord, weight, contribution) that a report shows.
+
+    The `top` weighted ones come first, then all by contribution; share is the width of a bar, from 2 to 100.
+    """
+    rank = F.row_number().over(Window.partitionBy("room").orderBy(F.desc(F.col("weight") > 0), F.desc("contribution"), "ord"))
+    chosen = stats.withColumn("first", F.when((rank <= top) & (F.col("weight") > 0), rank))
+    place = F.row_number().over(Window.partitionBy("room").orderBy(F.col("first").asc_nulls_last(), F.desc("contribution"), "ord"))
+    shown = chosen.withColumn("place", place).where(F.col("place") <= limit)
+    most = F.max("contribution").over(Window.partitionBy("room"))
+    return shown.withColumn("share", F.greatest(F.lit(2.0), F.col("contribution") / F.when(most > 0, most).otherwise(1.0) * 100)).select("room", "place", "signal", "share")

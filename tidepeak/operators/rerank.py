@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tidepeak.functions.settle import settle
 from tidepeak.operators.detect import local_maxima
 from tidepeak.operators.intervals import ticks
 from tidepeak.operators.normalize import squash
+from tidepeak.schema import room_type
 
 #: Titles by the first name that a trigger contains, and tags by all names, in order.
 TITLES = (
@@ -246,7 +249,7 @@ def suppress_overlaps(clips: DataFrame, ratio: float = 0.6) -> DataFrame:
             out.append((r.room, r.id, by is None, None if by is None else by.start, None if by is None else by.end))
         return pd.DataFrame(out, columns=["room", "id", "kept", "kept_start", "kept_end"])
 
-    return clips.select("room", "id", "start", "end", "score").groupBy("room").applyInPandas(run, "room long, id int, kept boolean, kept_start double, kept_end double")
+    return clips.select("room", "id", "start", "end", "score").groupBy("room").applyInPandas(run, f"room {room_type(clips)}, id int, kept boolean, kept_start double, kept_end double")
 
 
 def top_k(clips: DataFrame, k: int = 20) -> DataFrame:
@@ -254,37 +257,87 @@ def top_k(clips: DataFrame, k: int = 20) -> DataFrame:
     return clips.withColumn("rank", F.row_number().over(Window.partitionBy("room").orderBy(F.desc("score"), "start", "id"))).where(F.col("rank") <= k)
 
 
-def rerank(candidates: DataFrame, z: DataFrame, weights: DataFrame, curve: DataFrame, asr: DataFrame | None = None, profile: str = "default", low: float = 15.0, high: float = 90.0, platform: str = "none", search: float = 8.0, settings: TwoStage = TwoStage()) -> DataFrame:
-    """Clips of the second stage: candidates typed, fitted, moved to good edges, scored, suppressed and cut to the top k of a room."""
-    who = F.lit(profile)
+class Reranked(NamedTuple):
+    """clips; dropped (room, start, end, score, source, reason, kept_start, kept_end); adjustments (room, start, end, from_start, from_end, reason, start_source, end_source)."""
+
+    clips: DataFrame
+    dropped: DataFrame
+    adjustments: DataFrame
+
+
+def reranked(
+    candidates: DataFrame, z: DataFrame, weights: DataFrame, curve: DataFrame, asr: DataFrame | None = None, profile: str | Column = "default", low: float = 15.0, high: float = 90.0,
+    platform: str = "none", search: float = 8.0, settings: TwoStage = TwoStage(),
+) -> Reranked:
+    """The second stage: candidates typed, fitted, moved to good edges, scored, suppressed and cut to the top k of a room.
+
+    Reasons of what is dropped: too_short, below_min_score, overlap, top_k_cut; of adjustments: stage2_duration_fit, boundary_optimized.
+    """
+    who = profile if isinstance(profile, Column) else F.lit(profile)
     kind = content_type(who, F.col("sources"))
     lo, hi = duration_range(kind, low, high, platform)
     # each step reads the one before several times, and candidates are few: they are kept
-    first = candidates.select("room", "id", "start", "end", "sources", F.col("score").alias("recall_score"), kind.alias("kind"), lo.alias("low"), hi.alias("high"))
-    fitted = settle(select_window(settle(first), curve, settings.radius).where("end - start >= 1"))
+    placed_at = [F.col("start").alias("from_start"), F.col("end").alias("from_end")]
+    first = candidates.select("room", "id", "start", "end", "sources", F.col("score").alias("recall_score"), kind.alias("kind"), lo.alias("low"), hi.alias("high"), *placed_at)
+    every = settle(select_window(settle(first), curve, settings.radius))
+    fitted = every.where("end - start >= 1")
     active = window_totals(window_signals(fitted, z, weights, settings.agreement_z)).select("room", "id", "active_signals")
     typed = fitted.join(active, ID).withColumn("kind", content_type(who, F.concat("sources", "active_signals")))
     lo, hi = duration_range(F.col("kind"), low, high, platform)
     typed = settle(typed.withColumns({"low": lo, "high": hi}).drop("active_signals").withColumnRenamed("changed", "refit"))
-    refitted = settle(select_window(typed, curve, settings.radius))
-    moved = search_edges(refitted, z, curve, asr, search, settings.edge_limit) if search > 0 else refitted.withColumns({"start_source": F.lit("original"), "end_source": F.lit("original"), "moved": F.lit(False)})
+    refitted = settle(select_window(typed, curve, settings.radius).withColumns({"edge_start": F.col("start"), "edge_end": F.col("end")}))
+    original = {"start_source": F.lit("original"), "end_source": F.lit("original")}
+    moved = search_edges(refitted, z, curve, asr, search, settings.edge_limit) if search > 0 else refitted.withColumns(original | {"moved": F.lit(False)})
     moved = settle(moved)
     # an edge search that leaves the range by over half a second is fitted again, and no longer counts as a move to edges
     fits = ~F.col("moved") | (F.col("end") - F.col("start")).between(F.col("low") - 0.5, F.col("high") + 0.5)
-    columns = [*[c for c in moved.columns if c not in ("start_source", "end_source", "changed")], "changed", "start_source", "end_source"]
-    again = select_window(moved.where(~fits).drop("changed", "start_source", "end_source"), curve, settings.radius).withColumns({"start_source": F.lit("original"), "end_source": F.lit("original")})
-    placed = settle(moved.where(fits).select(columns).unionByName(again.select(columns)))
+    fit = moved.where(fits).withColumn("fallback", F.lit(False))
+    again = select_window(moved.where(~fits).withColumnRenamed("changed", "before").drop("start_source", "end_source"), curve, settings.radius)
+    shifted = (F.abs(F.col("start") - F.col("edge_start")) >= 0.5) | (F.abs(F.col("end") - F.col("edge_end")) >= 0.5)
+    again = again.withColumn("fallback", shifted).withColumns(original | {"moved": F.lit(False), "changed": F.col("before") | F.col("fallback")})
+    again = again.withColumns({"start": F.when(F.col("fallback"), F.col("start")).otherwise(F.col("edge_start")), "end": F.when(F.col("fallback"), F.col("end")).otherwise(F.col("edge_end"))})
+    placed = settle(fit.unionByName(again.select(fit.columns)))
     signals = settle(window_signals(placed, z, weights, settings.agreement_z))
-    scored = window_score(window_totals(signals).join(placed.drop("start", "end"), ID), signals).where(F.col("score") >= settings.min_score)
+    scored = window_score(window_totals(signals).join(placed.drop("start", "end"), ID), signals)
     spoken = z.where("signal = 'asrKeyword' AND value <> 0").select("room").distinct().withColumn("spoken", F.lit(True))
     named = scored.join(spoken, "room", "left").withColumn("all_sources", F.array_distinct(F.concat("sources", "active_signals")))
     trigger = F.when(F.size("all_sources") > 0, F.array_join(F.slice("all_sources", 1, 5), "+")).otherwise("unknown")
-    clips = named.select(
+    edges = F.array_distinct(F.transform(F.filter(F.array("start_source", "end_source"), lambda x: x != "original"), lambda x: F.concat(F.lit("boundary_"), x)))
+    refit = F.col("changed") | F.col("refit")
+    warned = risks(refit | F.col("moved"), F.coalesce("spoken", F.lit(False)))
+    clips = settle(named.select(
         "room", F.col("id").cast("int").alias("id"), F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), "score", "confidence", F.col("kind").alias("content_type"),
-        "start_source", "end_source", trigger.alias("trigger"), risks(F.col("changed") | F.col("refit") | F.col("moved"), F.coalesce("spoken", F.lit(False))).alias("risks"), "recall_score",
+        "start_source", "end_source", trigger.alias("trigger"), F.when(F.col("fallback"), F.concat(warned, F.array(F.lit("boundary_fallback")))).otherwise(warned).alias("risks"), "recall_score",
+        edges.alias("boundary_reasons"), F.array_distinct(F.concat("all_sources", edges)).alias("reasons"), refit.alias("refitted"), "moved", "from_start", "from_end", "edge_start", "edge_end",
+    ))
+    good = clips.where(F.col("score") >= settings.min_score)
+    judged = settle(suppress_overlaps(good, settings.overlap))
+    ranked = settle(good.join(judged.where("kept").select("room", "id"), ID).withColumn("rank", F.row_number().over(Window.partitionBy("room").orderBy(F.desc("score"), "start", "id"))))
+    gone = lambda rows, reason, a="start", b="end", score="score", ka=None, kb=None: rows.select(
+        "room", F.col(a).alias("start"), F.col(b).alias("end"), F.col(score).alias("score"), F.lit("two_stage").alias("source"), F.lit(reason).alias("reason"),
+        (F.col(ka) if ka else F.lit(None).cast("double")).alias("kept_start"), (F.col(kb) if kb else F.lit(None).cast("double")).alias("kept_end"),
     )
-    clips = settle(clips)
-    kept = clips.join(suppress_overlaps(clips, settings.overlap).where("kept").select("room", "id"), ID)
-    best = top_k(kept, settings.top_k)
+    short = every.where("end - start < 1").withColumns({"from_start": F.bround("from_start", 2), "from_end": F.bround("from_end", 2)})
+    dropped = gone(short, "too_short", "from_start", "from_end", "recall_score").unionByName(gone(clips.where(F.col("score") < settings.min_score), "below_min_score"))
+    beaten = good.join(judged.where("NOT kept").select("room", "id", "kept_start", "kept_end"), ID)
+    dropped = dropped.unionByName(gone(beaten, "overlap", ka="kept_start", kb="kept_end")).unionByName(gone(ranked.where(F.col("rank") > settings.top_k), "top_k_cut"))
+    change = lambda rows, reason, a, b: rows.select("room", "start", "end", F.bround(a, 2).alias("from_start"), F.bround(b, 2).alias("from_end"), F.lit(reason).alias("reason"), "start_source", "end_source")
+    fitted = good.where("refitted AND (start <> from_start OR end <> from_end)")
+    adjustments = change(fitted, "stage2_duration_fit", "from_start", "from_end").unionByName(change(good.where("moved"), "boundary_optimized", "edge_start", "edge_end"))
+    best = ranked.where(F.col("rank") <= settings.top_k).drop("refitted", "moved", "from_start", "from_end", "edge_start", "edge_end")
     numbered = best.withColumn("id", F.row_number().over(Window.partitionBy("room").orderBy("start", "end")))
-    return numbered.withColumn("title", title(F.col("trigger"), F.col("start"))).withColumn("tags", tags(F.col("trigger")))
+    return Reranked(numbered.withColumn("title", title(F.col("trigger"), F.col("start"))).withColumn("tags", tags(F.col("trigger"))), dropped, adjustments)
+
+
+def rerank(candidates: DataFrame, z: DataFrame, weights: DataFrame, curve: DataFrame, asr: DataFrame | None = None, profile: str | Column = "default", low: float = 15.0, high: float = 90.0, platform: str = "none", search: float = 8.0, settings: TwoStage = TwoStage()) -> DataFrame:
+    """Clips of reranked()."""
+    return reranked(candidates, z, weights, curve, asr, profile, low, high, platform, search, settings).clips.drop("boundary_reasons", "reasons")
+
+
+def rerank_stats(candidates: DataFrame, result: Reranked) -> DataFrame:
+    """(room, candidates, kept, dropped, boundary_adjusted, content_types): what became of a room's candidates; content_types is a map of numbers of clips."""
+    kinds = result.clips.groupBy("room", "content_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("boundary_reasons") > 0).alias("adjusted"))
+    of_room = kinds.groupBy("room").agg(F.sum("n").alias("kept"), F.sum("adjusted").alias("boundary_adjusted"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("content_type", "n")))).alias("content_types"))
+    out = candidates.groupBy("room").agg(F.count(F.lit(1)).alias("candidates")).join(of_room, "room", "left").join(result.dropped.groupBy("room").agg(F.count(F.lit(1)).alias("dropped")), "room", "left")
+    none = F.create_map().cast("map<string,bigint>")
+    return out.fillna(0, ["kept", "boundary_adjusted", "dropped"]).select("room", "candidates", "kept", "dropped", "boundary_adjusted", F.coalesce("content_types", none).alias("content_types"))

@@ -5,10 +5,15 @@ Chat is (room, t, line_no, content, user_id, type); transcripts are (room, seg_i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepeak.functions.windows import sliding_distinct
+from tidepeak.schema import room_type
 
 #: Words of the rule-based mood.
 POSITIVE = ("哈哈", "哈哈哈", "好", "nice", "牛", "牛批", "赞", "喜欢", "漂亮", "精彩", "笑", "笑死", "乐", "666", "绝了", "感动", "爱了", "厉害", "优秀", "谢谢", "开心", "可爱", "好笑")
@@ -96,10 +101,29 @@ def mood(words: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[st
     return F.signum((hits(positive) - hits(negative)).cast("double")) * 0.5
 
 
-def sentiment(chat: DataFrame, spine: DataFrame, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> DataFrame:
+def split_words(text: Column) -> Column:
+    """Words apart by white space: the tokenizer unless another one is given."""
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def mood_of(text: Column, mode: str = "rules", model: Callable[[Column], Column] | None = None, tokenizer: Callable[[Column], Column] = split_words, length: int = 512, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
+    """Mood of a text from -1 to 1: by rules; by the model where the rules are neutral (hybrid); or by the model (hf).
+
+    The model maps the first `length` characters to a number; where it has none, or is not given, the rules hold.
+    """
+    if mode not in ("rules", "hybrid", "hf"):
+        raise ValueError("mode must be one of rules, hybrid, hf")
+    rules = mood(tokenizer(text), positive, negative)
+    if mode == "rules" or model is None:
+        return rules
+    judged = F.coalesce(model(F.substring(text, 1, length)), rules)
+    return F.when(rules != 0, rules).otherwise(judged) if mode == "hybrid" else judged
+
+
+def sentiment(chat: DataFrame, spine: DataFrame, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE, mode: str = "rules", model: Callable[[Column], Column] | None = None, tokenizer: Callable[[Column], Column] = split_words) -> DataFrame:
     """dmSentiment: mean mood of each tick's messages; 0 where there are none."""
-    words = F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " ")
-    means = chat.groupBy("room", "t").agg(F.avg(mood(words, positive, negative)).alias("dmSentiment"))
+    each = mood_of(F.col("content"), mode, model, tokenizer, positive=positive, negative=negative)
+    means = chat.groupBy("room", "t").agg(F.avg(each).alias("dmSentiment"))
     return spine.join(means, ["room", "t"], "left").select("room", "t", F.coalesce("dmSentiment", F.lit(0.0)).alias("dmSentiment"))
 
 
@@ -161,9 +185,16 @@ def keyword_rate(chat: DataFrame, asr: DataFrame, spine: DataFrame, phrases: lis
     return both.select("room", "t", F.least(F.lit(1.0), 0.6 * F.col("rate") + 0.4 * F.coalesce("hit", F.lit(0.0))).alias(to))
 
 
-def asr_keyword(asr: DataFrame, spine: DataFrame, phrases: list[str], n: int) -> DataFrame:
-    """1 where the transcript has a phrase, by exact case; the last tick is never set."""
-    hit = covered_ticks(asr.where(holds_any(F.col("text"), phrases)), n, True).select("room", "t", F.lit(1.0).alias("hit")).distinct()
+def asr_keyword(asr: DataFrame, spine: DataFrame, phrases: list[str], n: int, vectors: list[list[float]] | None = None, threshold: float = 0.7) -> DataFrame:
+    """1 where the transcript has a phrase, by exact case; the last tick is never set.
+
+    With phrase vectors, a segment (column vector) without a phrase counts if it is similar enough to one of them.
+    """
+    found = holds_any(F.col("text"), phrases)
+    if vectors:
+        keys = F.array(*[F.array(*map(F.lit, v)) for v in vectors])
+        found = found | F.coalesce(F.exists(keys, lambda k: cosine(F.col("vector"), k) > threshold), F.lit(False))
+    hit = covered_ticks(asr.where(found), n, True).select("room", "t", F.lit(1.0).alias("hit")).distinct()
     return spine.join(hit, ["room", "t"], "left").select("room", "t", F.coalesce("hit", F.lit(0.0)).alias("asrKeyword"))
 
 
@@ -190,20 +221,51 @@ def speaker_change(asr: DataFrame, spine: DataFrame, n: int) -> DataFrame:
     return spine.join(hit, ["room", "t"], "left").select("room", "t", F.coalesce("hit", F.lit(0.0)).alias("speakerChange"))
 
 
+def nearest_means(x: np.ndarray, k: int, seed: int, rounds: int = 20, tries: int = 10) -> np.ndarray:
+    """Labels of k-means on the rows of x: the best of some starts, whose centres are drawn far apart."""
+    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
+    for _ in range(tries):
+        centres = x[rng.integers(len(x))][None]
+        while len(centres) < k:
+            far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+            centres = np.concatenate([centres, x[rng.choice(len(x), p=far / far.sum())][None] if far.sum() > 0 else centres[:1]])
+        for _ in range(rounds):
+            distance = ((x[:, None] - centres) ** 2).sum(2)
+            labels = distance.argmin(1)
+            moved = np.stack([x[labels == j].mean(0) if (labels == j).any() else centres[j] for j in range(k)])
+            if np.array_equal(moved, centres):
+                break
+            centres = moved
+        cost = float(distance.min(1).sum())
+        if cost < best[0] - 1e-12:
+            best = cost, labels
+    return best[1]
+
+
 def topic_change(embedded: DataFrame, window: int = 30, clusters: int = 5, seed: int = 42) -> DataFrame:
-    """topicChange from window vectors (room, t, features): 1 where the cluster differs from the window before.
+    """(room, t, topicChange) at the start of each window of vectors (room, t, features): 1 where its cluster is another than that of the window before.
 
-    Windows are means of all components; clusters are k-means over all windows; at least two windows are needed.
+    Windows are means of all components. Each room's windows are clustered by themselves, by k-means with up to `clusters`
+    centres but no more than half the windows, at least two; a room of one window has no change.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     parts = embedded.select("room", F.floor(F.col("t") / window).cast("int").alias("w"), F.posexplode("features").alias("i", "x"))
     means = parts.groupBy("room", "w", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     pooled = means.groupBy("room", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
-    rows = pooled.withColumn("features", array_to_vector("v"))
-    k = max(2, min(clusters, rows.count() // 2))
-    labelled = KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows)
-    before = Window.partitionBy("room").orderBy("w")
-    changed = F.coalesce((F.col("prediction") != F.lag("prediction").over(before)).cast("double"), F.lit(0.0))
-    return labelled.select("room", (F.col("w") * window).alias("t"), changed.alias("topicChange"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("w")
+        change = np.zeros(len(rows))
+        if len(rows) >= 2:
+            width = max(map(len, rows["v"]))
+            x = np.stack([np.pad(np.asarray(v, float), (0, width - len(v))) for v in rows["v"]])
+            labels = nearest_means(x, max(2, min(clusters, len(rows) // 2)), seed)
+            change[1:] = labels[1:] != labels[:-1]
+        return pd.DataFrame({"room": rows["room"], "t": rows["w"] * window, "topicChange": change})
+
+    # one group a room: a vector for each window of a recording
+    return pooled.groupBy("room").applyInPandas(run, f"room {room_type(embedded)}, t int, topicChange double")
+
+
+def topic_signal(changes: DataFrame, spine: DataFrame, window: int = 30) -> DataFrame:
+    """topicChange for every tick of spine: 1 at the first tick of a window whose topic is new."""
+    return spine.join(changes, ["room", "t"], "left").select("room", "t", F.coalesce("topicChange", F.lit(0.0)).alias("topicChange"))

@@ -17,6 +17,11 @@ def duration(explicit: Column, asr_end: Column, chat_time: Column) -> Column:
     return F.coalesce(F.when(explicit > 0, explicit), F.greatest(F.coalesce(asr_end, F.lit(0.0)), F.coalesce(chat_time, F.lit(0.0)), F.lit(0.0)))
 
 
+def target_length(seconds: Column) -> Column:
+    """Ticks of a recording of so many seconds; null if the length is not known."""
+    return F.when(seconds > 0, F.ceil(seconds)).cast("int")
+
+
 def tick_of(seconds: Column, width: float = 1.0) -> Column:
     """Tick of a time, truncated toward zero."""
     return (seconds / F.lit(width)).cast("int")

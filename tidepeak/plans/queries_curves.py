@@ -179,9 +179,9 @@ def spaced_cuts(spark: SparkSession, sf: str) -> DataFrame:
     return media.scene_cuts(rows, 0.5, 5.0)
 
 
-@query("SELECT vec_id AS frame, round(coalesce(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(embedding[i]::DOUBLE - b[i]::DOUBLE, 2)))), 0), 6) AS value FROM (SELECT *, lag(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)")
+@query("SELECT vec_id AS frame, round(coalesce(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(embedding[i]::DOUBLE - b[i]::DOUBLE, 2)))), 0), 6) AS value FROM (SELECT *, lag(embedding) OVER (PARTITION BY vec_id // 900 ORDER BY vec_id) AS b FROM embeddings)")
 def vector_change(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.table(spark, sf, "embeddings").select(F.lit(0).alias("room"), F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("vec"))
+    rows = A.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 900).alias("room"), F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("vec"))
     return media.vector_change(rows).select("frame", r6("value").alias("value"))
 
 

@@ -295,7 +295,8 @@ def cosine_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def topic_change(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.table(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("room"), F.col("vec_id").cast("int").alias("t"), F.col("embedding").alias("features"))
+    """Vectors as recordings of up to 900 ticks, one after another."""
+    rows = A.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 900).cast("long").alias("room"), F.pmod(F.col("vec_id"), F.lit(900)).cast("int").alias("t"), F.col("embedding").alias("features"))
     return text.topic_change(rows)
 
 

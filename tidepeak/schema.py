@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Signal names, in the order in which they count as first.
@@ -23,6 +23,11 @@ ASR = "room string, seg_idx int, start double, end double, text string, speaker
 SIGNAL = "room long, t int, signal string, ord int, value double"
 
 
+def room_type(rows: DataFrame) -> str:
+    """The type of a table's rooms, for the schema of a grouped kernel."""
+    return rows.schema["room"].dataType.simpleString()
+
+
 def order_of(signal: Column) -> Column:
     """Place in the vocabulary; unknown names come last."""
     return F.coalesce(*[F.when(signal == s, F.lit(i)) for i, s in enumerate(SIGNALS)], F.lit(len(SIGNALS)))

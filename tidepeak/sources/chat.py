@@ -50,6 +50,27 @@ def transcript_status(doc: Column) -> Column:
     )
 
 
+def transcript_report(docs: DataFrame) -> DataFrame:
+    """(room, status, degraded, segments, duration, error) of docs (room, doc): degraded if only chat can be used; duration is the last end."""
+    status = transcript_status(F.col("doc"))
+    items = F.coalesce(transcript(F.col("doc")), F.array().cast(SEGMENTS))
+    last = F.array_max(F.transform(items, lambda x: x["end"]))
+    error = F.from_json("doc", "struct<status:string,error:string>")["error"]
+    return docs.select(
+        "room", status.alias("status"), (~status.isin("ok", "empty") | (F.size(items) == 0)).alias("degraded"), F.size(items).alias("segments"), F.greatest(F.lit(0.0), F.coalesce(last, F.lit(0.0))).alias("duration"),
+        F.substring(F.when(F.trim("doc").startswith("{"), error), 1, 300).alias("error"),
+    )
+
+
+def read_json_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(line): lines of a JSON-lines file that are objects; none if there is no such file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return spark.createDataFrame([], "line string")
+    lines = spark.read.text(path).select(F.trim("value").alias("line"))
+    return lines.where(F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """(room, seg_idx, start, end, text, speaker) of docs (room, doc); times to 0.1 s; segments without times are left out."""
     each = docs.select("room", F.posexplode(transcript(F.col("doc"))).alias("seg_idx", "s"))

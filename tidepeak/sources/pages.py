@@ -65,6 +65,11 @@ def payload_urls(payloads: DataFrame) -> DataFrame:
     return rows.groupBy("id", "quality").agg(F.min_by("url", "pos").alias("url"))
 
 
+#: Names before a page's state, and words of the scripts that may hold a room.
+STATE_MARKERS = ("__INITIAL_STATE__", "__NUXT__", "__SSR_DATA__", "__NEXT_DATA__")
+SCRIPT_WORDS = ("roomId", "pull-flv", "flv_pull_url")
+
+
 def _documents(html: str) -> Iterator[str]:
     """JSON documents of a page: the render data, after state markers, in scripts; the first that decodes from a brace."""
     decoder = JSONDecoder()
@@ -84,8 +89,11 @@ def _documents(html: str) -> Iterator[str]:
         if "RENDER_DATA" in head.partition(">")[0]:
             text = unescape(body.strip())
             yield from filter(None, [first(unquote(text)) or first(text)])
+    for marker in STATE_MARKERS:
+        for tail in html.split(marker)[1:]:
+            yield from filter(None, [first(tail)])
     for body in bodies:
-        if "__INITIAL_STATE__" in body or "roomId" in body:
+        if any(word in body for word in SCRIPT_WORDS):
             plain = body.replace("\\/", "/").replace('\\"', '"')
             yield from filter(None, [first(body) or first(plain)])
 

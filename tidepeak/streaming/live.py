@@ -6,14 +6,18 @@ an addition of this engine: a stored recording has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidepeak.schema import room_type
+
 LATE = "10 seconds"
 
 
@@ -28,9 +32,10 @@ def watermarked(chat: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def tumbling_counts(chat: DataFrame, size: str = "1 second", late: str = LATE) -> DataFrame:
-    """(room, start, n, users) of consecutive windows; users are counted approximately on a stream and on a table alike."""
+    """(room, start, n) of consecutive windows, and users if chat has user_id: counted approximately, on a stream and on a table alike."""
     grouped = watermarked(chat, late).groupBy("room", F.window("ts", size).alias("w"))
-    return grouped.agg(F.count(F.lit(1)).alias("n")).select("room", F.col("w.start").alias("start"), "n")
+    users = [F.approx_count_distinct("user_id").alias("users")] if "user_id" in chat.columns else []
+    return grouped.agg(F.count(F.lit(1)).alias("n"), *users).select("room", F.col("w.start").alias("start"), "n", *["users"] * len(users))
 
 
 def sliding_counts(chat: DataFrame, size: str = "11 seconds", step: str = "1 second", late: str = LATE) -> DataFrame:
@@ -51,10 +56,17 @@ def method_counts(chat: DataFrame) -> DataFrame:
     return chat.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stamped(chat: DataFrame, started: Column | None = None) -> DataFrame:
+    """Adds received, the time of processing, and recv_sec, the seconds since `started` (a timestamp), to the millisecond; a stored received stays."""
+    out = chat if "received" in chat.columns else chat.withColumn("received", F.current_timestamp())
+    return out if started is None else out.withColumn("recv_sec", F.round((F.unix_micros("received") - F.unix_micros(started)) / 1e6, 3))
+
+
 def token_diversity(chat: DataFrame, radius: int = 30) -> DataFrame:
-    """(room, t, distinct, n): different tokens and tokens of the last 2 * radius + 1 ticks, tick by tick, from counts kept per room.
+    """(room, t, distinct, n): different tokens and tokens of the last 2 * radius + 1 ticks, for each tick of a batch, from counts kept per room.
 
-    State is the tokens of the ticks in the window; it is dropped as ticks leave it.
+    State is the tokens of the ticks in the window before the latest tick; older ticks that arrive late count for themselves and
+    for later ticks of their batch, but a tick is reported in the batches that have rows of it only.
     """
     span = 2 * radius + 1
 
@@ -67,12 +79,65 @@ def token_diversity(chat: DataFrame, radius: int = 30) -> DataFrame:
         for t in sorted(set(rows["t"])):
             inside = [token for at, token in held if t - span < at <= t]
             out.append((key[0], int(t), len(set(inside)), len(inside)))
-        last = max(t for t in rows["t"])
+        last = max([*rows["t"], *(at for at, _ in held)])
         held = [(at, token) for at, token in held if at > last - span]
         state.update(([a for a, _ in held], [b for _, b in held]))
         yield pd.DataFrame(out, columns=["room", "t", "distinct", "n"])
 
-    return chat.groupBy("room").applyInPandasWithState(run, "room long, t int, distinct long, n long", "ticks array<int>, tokens array<string>", "append", GroupStateTimeout.NoTimeout)
+    return chat.groupBy("room").applyInPandasWithState(run, f"room {room_type(chat)}, t int, distinct long, n long", "ticks array<int>, tokens array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def recent(chat: DataFrame, keep: int = 1000) -> DataFrame:
+    """(room, held, newest): how many of the last `keep` messages of a room (t, line_no, content) are held after each batch, and the newest; older ones leave the state."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for rows in batches:
+            held = sorted([*held, *zip(rows["t"].astype(int), rows["line_no"].astype(int), rows["content"], strict=True)], key=lambda r: r[:2])[-keep:]
+        state.update(tuple([r[i] for r in held] for i in range(3)))
+        yield pd.DataFrame({"room": [key[0]], "held": [len(held)], "newest": [held[-1][2] if held else None]})
+
+    return chat.groupBy("room").applyInPandasWithState(run, f"room {room_type(chat)}, held long, newest string", "t array<long>, line_no array<long>, content array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def idle_rooms(chat: DataFrame, after: str = "10 seconds") -> DataFrame:
+    """(room, n, closed): a row when a room first speaks or speaks again, and one with closed when it was silent for `after` of processing time."""
+    wait = int(pd.Timedelta(after).total_seconds() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (n,) = state.get
+            state.remove()
+            yield pd.DataFrame({"room": [key[0]], "n": [n], "closed": [True]})
+            return
+        n = (state.get[0] if state.exists else 0) + sum(map(len, batches))
+        state.update((n,))
+        state.setTimeoutDuration(wait)
+        yield pd.DataFrame({"room": [key[0]], "n": [n], "closed": [False]})
+
+    return chat.groupBy("room").applyInPandasWithState(run, f"room {room_type(chat)}, n long, closed boolean", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def supervised(start: Callable[[], StreamingQuery], retries: int = 5, delay: float = 1.0, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Runs a query to its end and starts it again if it fails, after `delay` seconds, doubled each time up to `longest`; returns the number of failures.
+
+    The checkpoint of the query makes sure that a new start goes on where the last one stopped.
+    """
+    failed = 0
+    while True:
+        try:
+            start().awaitTermination()
+            return failed
+        except Exception:
+            failed += 1
+            if failed > retries:
+                raise
+            sleep(min(longest, delay * 2 ** (failed - 1)))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query's watermark has dropped so far, by its progress reports."""
+    return sum(int(s.get("numRowsDroppedByWatermark") or 0) for p in query.recentProgress for s in (p.get("stateOperators") if isinstance(p, dict) else json.loads(p.json)["stateOperators"]))
 
 
 def append_json(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
