@@ -257,6 +257,12 @@ def top_k(clips: DataFrame, k: int = 20) -> DataFrame:
     return clips.withColumn("rank", F.row_number().over(Window.partitionBy("room").orderBy(F.desc("score"), "start", "id"))).where(F.col("rank") <= k)
 
 
+def beyond_top_k(clips: DataFrame, k: int = 20) -> DataFrame:
+    """What top_k() leaves out, with its rank and the reason."""
+    rank = F.row_number().over(Window.partitionBy("room").orderBy(F.desc("score"), "start", "id"))
+    return clips.withColumn("rank", rank).where(F.col("rank") > k).withColumn("reason", F.lit("top_k_cut"))
+
+
 class Reranked(NamedTuple):
     """clips; dropped (room, start, end, score, source, reason, kept_start, kept_end); adjustments (room, start, end, from_start, from_end, reason, start_source, end_source)."""
 

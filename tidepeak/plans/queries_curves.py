@@ -138,9 +138,18 @@ def plateau_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return detect.peaks(rows, 1, height=3.0)
 
 
-@query()
+FAR = """, o AS (SELECT room, t, score, row_number() OVER (PARTITION BY room ORDER BY score DESC, t DESC) AS i FROM peak),
+rec AS (SELECT room, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT room FROM o) UNION ALL
+  SELECT o.room, o.i, CASE WHEN len(list_filter(r.kept, lambda k: abs(k - o.t) < 12)) = 0 THEN list_append(r.kept, o.t::BIGINT) ELSE r.kept END FROM rec r JOIN o ON o.room = r.room AND o.i = r.i + 1),
+far AS (SELECT room, unnest(kept) AS t FROM (SELECT room, arg_max(kept, i) AS kept FROM rec GROUP BY room)),
+base AS (SELECT f.room, f.t, c.score, coalesce((SELECT max(x.t) FROM curve x WHERE x.room = f.room AND x.t < f.t AND x.score > c.score), -1) AS l, coalesce((SELECT min(x.t) FROM curve x WHERE x.room = f.room AND x.t > f.t AND x.score > c.score), 720) AS r FROM far f JOIN curve c ON c.room = f.room AND c.t = f.t),
+prom AS (SELECT room, t, score, score - greatest((SELECT min(x.score) FROM curve x WHERE x.room = b.room AND x.t > b.l AND x.t <= b.t), (SELECT min(x.score) FROM curve x WHERE x.room = b.room AND x.t >= b.t AND x.t < b.r)) AS p FROM base b)
+SELECT room, t::INTEGER AS t, round(score, 6) AS score FROM prom WHERE p >= 0.8"""
+
+
+@query((ROBUST + MAXIMA.format(x="curve") + FAR).replace("WITH ev", "WITH RECURSIVE ev", 1))
 def peaks_distance_prominence(spark: SparkSession, sf: str) -> DataFrame:
-    return detect.peaks(curve_of(spark, sf), 12, prominence=0.8)
+    return detect.peaks(curve_of(spark, sf), 12, prominence=0.8).withColumn("score", r6("score"))
 
 
 @query()

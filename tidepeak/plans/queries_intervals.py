@@ -334,7 +334,7 @@ def candidate_weights(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def existing_matches(spark: SparkSession, sf: str) -> DataFrame:
     clips, _, positives, _ = judged(spark, sf)
-    return evaluate.best_existing_match(clips, positives, 0.3)
+    return evaluate.best_existing_match(clips, positives, 0.3).withColumn("iou", r6("iou"))
 
 
 # ── whole plans ──
