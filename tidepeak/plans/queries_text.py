@@ -211,7 +211,7 @@ def sentiment_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 POSTS = """WITH chat AS (SELECT substr(source, 4)::BIGINT AS room, (doc_id // 5)::INTEGER AS t, doc_id AS line_no, text AS content FROM documents),
-spine AS (SELECT room, t FROM (SELECT DISTINCT room FROM chat) CROSS JOIN (SELECT unnest(range(200))::INTEGER AS t))"""
+spine AS (SELECT room, t FROM (SELECT DISTINCT room FROM chat) CROSS JOIN (SELECT unnest(range((SELECT max(t) + 1 FROM chat)))::INTEGER AS t))"""
 
 
 @query(POSTS + ", c AS (SELECT room, t, regexp_replace(lower(content), '\\s+', '', 'g') AS item FROM chat) SELECT s.room, s.t, round(CASE WHEN count(item) = 0 THEN 0 ELSE (count(item) - count(DISTINCT item)) / count(item)::DOUBLE END, 6) AS rate FROM spine s LEFT JOIN c ON c.room = s.room AND c.t BETWEEN s.t - 20 AND s.t + 20 AND item <> '' GROUP BY s.room, s.t")
@@ -344,7 +344,7 @@ def clip_subtitles(spark: SparkSession, sf: str) -> DataFrame:
     return report.clip_subtitles(cues, clips).drop("id")
 
 
-@query("SELECT label_id, 'x' || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS label FROM (SELECT doc_id AS label_id, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS n, quality FROM labels WHERE quality = 0)")
+@query("SELECT label_id, label || CASE WHEN n > 1 THEN '#' || n ELSE '' END AS label FROM (SELECT doc_id AS label_id, 'x' || CASE WHEN quality = 0 THEN '' ELSE coalesce(quality::VARCHAR, '') END AS label, row_number() OVER (PARTITION BY 'x' || CASE WHEN quality = 0 THEN '' ELSE coalesce(quality::VARCHAR, '') END ORDER BY doc_id) AS n FROM labels)")
 def unique_labels(spark: SparkSession, sf: str) -> DataFrame:
     from tidepeak.operators import evaluate
 
@@ -404,7 +404,7 @@ def timing_summary(spark: SparkSession, sf: str) -> DataFrame:
     return report.timing_summary(A.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("mode"), F.col("o_totalprice").alias("seconds")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 20 THEN printf('%.1f MB', p_size * 100003 / 1048576.0) WHEN p_size >= 1 THEN printf('%.1f KB', p_size * 100003 / 1024.0) END AS size FROM part WHERE p_size NOT BETWEEN 11 AND 19")
+@query("SELECT p_partkey, CASE WHEN p_size * 100003 >= 1048576 THEN printf('%.1f MB', p_size * 100003 / 1048576.0) WHEN p_size * 100003 >= 1024 THEN printf('%.1f KB', p_size * 100003 / 1024.0) ELSE p_size * 100003 || ' B' END AS size FROM part")
 def file_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "part").select("p_partkey", report.file_size(F.col("p_size") * 100003).alias("size"))
 
