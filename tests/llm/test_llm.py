@@ -38,10 +38,14 @@ def test_bpe_equals_the_library():
 
     lib, own = Tokenizer.from_file(WORD), bpe.WordBpe(WORD)
     texts = random_texts()
-    for t, ids in zip(texts, own.encode_batch(texts)):
-        expected = lib.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<i4").tolist() == expected, t
-        assert own.decode(expected) == lib.decode(expected, skip_special_tokens=False)
+    for batch in (texts, texts[5:], ["only"], []):
+        ids = own.encode(pa.array(batch, pa.string()))
+        for t, own_ids, back in zip(batch, ids.to_pylist(), own.decode_lists(ids).to_pylist(), strict=True):
+            expected = lib.encode(t, add_special_tokens=False).ids
+            assert own_ids == expected, t
+            assert back == own.decode(expected) == lib.decode(expected, skip_special_tokens=False)
+    odd = pa.array([[0, -1, 10**6], None, []], pa.list_(pa.int32()))
+    assert own.decode_lists(odd).to_pylist() == [own.tokens[0], "", ""]
 
 
 def test_merging_takes_the_leftmost_lowest_rank():

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from tidepeak.llm.common import bound_batches
 
 #: Entries that a worker's memo may hold before it starts afresh.
-MEMO = 300_000
+MEMO = 400_000
+#: The longest chunk that it keeps.
+KEPT = 64
+LETTER_THEN_SIGN = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
 
 #: The leaf of a pair that no rule merges; in trees of numpy rows it is FREE.
@@ -191,6 +195,7 @@ class WordBpe:
         self.inner = np.array([self.vocab[c] for c in letters], np.int32)
         self.final = np.array([self.vocab[c + self.end] for c in letters], np.int32)
         self.pairs, self.merged_row = PairRanks(self.ranks), np.array(self.merged, np.int32)
+        self.token_array = pa.array(self.tokens, pa.string())
         self.words = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
         self.chunks: dict[str, bytes] = {}
 
@@ -235,8 +240,8 @@ class WordBpe:
         # one character at a time, as the library does: a final sigma is lower-cased like any other
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def learn_chunks(self, chunks: list[str]) -> None:
-        """Encodes chunks that the memo lacks."""
+    def learn_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that the memo lacks."""
         joined = " ".join(chunks)
         if self.marks.search(joined):
             split = [*map(self.pieces, chunks)]
@@ -248,21 +253,50 @@ class WordBpe:
         if new := [*{w for words in split for w in words}.difference(self.words)]:
             self.learn_words(new)
         word = self.words.__getitem__
-        for c, words in zip(chunks, split, strict=True):
-            self.chunks[c] = word(words[0]) if len(words) == 1 else b"".join(map(word, words))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as int32 bytes. No word, special string or composed character spans a space, so chunks are memoised."""
-        split = [t.split(" ") for t in texts]
+        return [word(words[0]) if len(words) == 1 else b"".join(map(word, words)) for words in split]
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Chunks of each text, cut at spaces and line ends, and between a letter and a sign, where words always end.
+
+        No word, special string or composed character spans a space; texts with a special string are cut at white space only.
+        """
+        plain = pc.replace_substring(texts, "\n", " ")
+        out = pc.replace_substring_regex(plain, LETTER_THEN_SIGN, r"\1 \2")
+        for s in self.special:
+            whole = pc.match_substring(texts, s)
+            if whole.true_count:
+                out = pc.replace_with_mask(out, whole, plain.filter(whole))
+        return pc.split_pattern(out, " ")
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of whole texts (strings, none null). Distinct chunks of a batch are numbered by Arrow; the memo has those met before."""
+        chunks = self.cut(texts)
+        numbered = chunks.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.chunks) >= MEMO:
             self.chunks.clear()
-        if new := [*{c for chunks in split for c in chunks}.difference(self.chunks)]:
-            self.learn_chunks(new)
-        chunk = self.chunks.__getitem__
-        return [b"".join(map(chunk, chunks)) for chunks in split]
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0], "<i4").tolist()
+        found = [*map(self.chunks.get, distinct)]
+        if new := [i for i, ids in enumerate(found) if ids is None]:
+            learnt = self.learn_chunks([distinct[i] for i in new])
+            for i, ids in zip(new, learnt, strict=True):
+                found[i] = ids
+                if len(distinct[i]) <= KEPT:
+                    self.chunks[distinct[i]] = ids
+        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+        values = np.frombuffer(ids.buffers()[2] or b"", "<i4")[ends[0] : ends[-1]] if len(ids) else np.empty(0, np.int32)
+        lists = chunks.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(ends[lists - lists[0]] - ends[0], pa.int32()), pa.array(values, pa.int32()))
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """decode() of whole batches; null lists give empty texts."""
+        values = lists.flatten()
+        known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(self.tokens)))
+        if values.null_count or not pc.all(known).as_py():
+            return pa.array([self.decode([i for i in x or [] if i is not None]) for x in lists.to_pylist()], pa.string())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.token_array.take(values))
+        return pc.binary_join(words, " ")
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens joined by spaces, special ones too. Ids beyond the vocabulary are skipped."""
@@ -280,21 +314,12 @@ def tokenizer(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def int_lists(rows: list[bytes]) -> pa.Array:
-    """int32 bytes of each row as a list array."""
-    ends = [0]
-    for row in rows:
-        ends.append(ends[-1] + len(row) // 4)
-    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(rows))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-
-
 def encode_column(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(path)
         for texts in batches:
-            yield int_lists(t.encode_batch([x or "" for x in texts.to_pylist()]))
+            yield t.encode(pc.fill_null(texts, ""))
 
     return bpe_encode(text)
 
@@ -304,7 +329,7 @@ def decode_column(ids: Column, path: str) -> Column:
     def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(path)
         for lists in batches:
-            yield pa.array([t.decode(x or []) for x in lists.to_pylist()], pa.string())
+            yield t.decode_lists(lists)
 
     return bpe_decode(ids)
 

@@ -36,7 +36,6 @@ MARKS = [chr(c) for c in (*range(9), *range(14, 28), *range(0xE000, 0xE010))]
 OTHER_SPACE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
 SOLID = rf"[^ \n{OTHER_SPACE}]"
 ODD = rf"[{OTHER_SPACE}]|[ \n][ \n]"
-LETTER_THEN_SIGN = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 #: What the ORC writer is told; Bloom filters and row groups let readers skip stripes by doc_id.
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20)}
 
