@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepeak.llm.bpe import LETTER_THEN_SIGN
 from tidepeak.llm.common import bound_batches, scratch_path
 
 END = 2
