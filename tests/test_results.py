@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepeak.config import Scoring, TwoStage
+from tidepeak.functions.settle import settle
 from tidepeak.operators import evaluate, intervals, manifest, media, normalize, report, rerank, text, timeline
 from tidepeak.plans import documents, highlights, text_signals
 from tidepeak.sources import chat as chat_source
@@ -106,23 +107,22 @@ def annotations(spark, rows):
 def test_cases_by_k_and_profile_in_one_plan(spark):
     s = signals(spark, 300)
     notes = annotations(spark, [(1, 38, 55, 5), (1, 118, 130, 4), (1, 200, 215, 3), (2, 40, 56, 4), (2, 10, 12, 1)])
-    found = highlights.point_scores(s, settings=SETTINGS)
+    found = settle(highlights.point_scores(s, settings=SETTINGS))
     rows = {(r.room, r.k): r for r in evaluate.metrics_at(found, notes, (1, 3)).collect()}
     assert rows.keys() == {(1, 1), (1, 3), (2, 1), (2, 3)} and rows[1, 3].recall_at_k >= rows[1, 1].recall_at_k
-    single = {r.room: r for r in evaluate.metrics(found, notes, 3).collect()}
-    assert all(rows[room, 3] == single[room] for room in (1, 2))
-    failed = evaluate.failed_cases(evaluate.case_checks(evaluate.metrics_at(found, notes, (1, 3)))).collect()
-    assert all(r.missed for r in failed)
+    failed = evaluate.failed_cases(evaluate.case_checks(spark.createDataFrame([*rows.values()]))).collect()
+    assert failed and all(r.missed for r in failed)
     with pytest.raises(ValueError):
         evaluate.metrics_at(found, notes, ())
     weights = evaluate.candidate_table(spark, [{"rms": 1.0}, {"dmDensity": 0.5, "rms": 0.5}])
     score = lambda many, w: highlights.point_scores(many, w, settings=SETTINGS)
-    by_case = evaluate.variant_metrics(s, notes, weights, score, 3).cache()
+    by_case = settle(evaluate.variant_metrics(s, notes, weights, score, 3))
     assert {(r.variant, r.room) for r in by_case.collect()} == {(v, r) for v in ("00000", "00001") for r in ("1", "2")}
     alone = evaluate.metrics(score(s.where("room = 1"), normalize.variant_weights(s.where("room = 1").withColumn("variant", F.lit("00000")), weights)), notes.where("room = 1"), 3).first()
     assert {r.room: r.matched for r in by_case.collect() if r.variant == "00000"}["1"] == alone.matched
-    best = evaluate.best_candidate(evaluate.evaluated_candidates(by_case)).collect()
-    assert len(best) == 1 and best[0].objective == max(r.objective for r in evaluate.evaluated_candidates(by_case).collect())
+    judged = settle(evaluate.evaluated_candidates(by_case))
+    best = evaluate.best_candidate(judged).collect()
+    assert len(best) == 1 and best[0].objective == max(r.objective for r in judged.collect())
     assert [r.signal for r in evaluate.top_features(weights, 1).orderBy("variant").collect()] == ["rms", "dmDensity"]
     with pytest.raises(ValueError):
         evaluate.evaluated_candidates(by_case, "speed")
@@ -228,6 +228,21 @@ def test_target_length(spark):
     assert media.scene_cuts(spark.createDataFrame([(1, 0, 30.0), (1, 5, 10.0)], "room long, t int, value double")).count() == 1
 
 
+def test_one_room_among_thousands_equals_itself_alone(spark):
+    many = spark.range(3000).selectExpr("id AS room", "explode(sequence(0, 19)) AS t").selectExpr("room", "CAST(t AS int) AS t", "'rms' AS signal", "0 AS ord", "CAST(pmod(xxhash64(room, t), 100) AS double) / 10 AS value")
+    large = spark.range(5000).selectExpr("-1L AS room", "CAST(id AS int) AS t", "'rms' AS signal", "0 AS ord", "CASE WHEN id % 61 < 3 THEN 9.0D ELSE CAST(pmod(xxhash64(id), 100) AS double) / 100 END AS value")
+    both = many.unionByName(large)
+    z = lambda rows: normalize.preprocess(rows, SETTINGS)
+    alone = {(r.room, r.t): r.value for r in z(both.where("room IN (-1, 7, 2999)")).collect()}
+    crowd = {(r.room, r.t): r.value for r in z(both).where("room IN (-1, 7, 2999)").collect()}
+    assert alone == crowd and len(alone) == 5040
+    exact = {(r.room, r.t): r.value for r in normalize.ewma_exact(large).collect()}
+    assert all(abs(r.value - exact[r.room, r.t]) < 1e-9 for r in normalize.ewma(large).collect())
+    clips = spark.range(4000).selectExpr("id % 1000 AS room", "CAST(id AS int) AS id", "CAST(id % 7 AS double) AS start", "CAST(id % 7 + 9 AS double) AS end", "CAST(id % 11 AS double) AS score")
+    kept = rerank.suppress_overlaps(clips).where("kept")
+    assert kept.select("room").distinct().count() == 1000 and kept.groupBy("room").count().agg(F.max("count")).first()[0] <= 4
+
+
 # ── streams ──
 def chat_folder(spark, folder, files):
     for i, rows in enumerate(files):

@@ -63,10 +63,34 @@ WEIGHT_NAMES = (
     "asrKeyword", "topicChange", "speakerChange", "rms", "mfccDist", "eventLaughter", "eventApplause", "eventMusic", "sceneChange", "motion", "faceCount",
 )
 PROFILES = {
-    "default": (0.15, 0.05, 0.05, 0.10, 0.03, 0.05, 0.00, 0.02, 0.02, 0.02, 0.04, 0.05, 0.02, 0.03, 0.03, 0.02, 0.10, 0.05, 0.05, 0.10, 0.02, 0.10, 0.05, 0.05, 0.05, 0.05, 0.00),
-    "game": (0.19, 0.09, 0.05, 0.05, 0.03, 0.04, 0.00, 0.02, 0.03, 0.01, 0.06, 0.05, 0.03, 0.03, 0.01, 0.00, 0.07, 0.05, 0.03, 0.07, 0.02, 0.09, 0.09, 0.03, 0.05, 0.09, 0.00),
-    "shopping": (0.12, 0.04, 0.04, 0.06, 0.04, 0.06, 0.00, 0.03, 0.01, 0.01, 0.02, 0.02, 0.02, 0.04, 0.01, 0.10, 0.22, 0.06, 0.06, 0.06, 0.02, 0.06, 0.06, 0.06, 0.06, 0.04, 0.00),
-    "talent": (0.10, 0.05, 0.03, 0.14, 0.03, 0.05, 0.00, 0.02, 0.02, 0.02, 0.04, 0.04, 0.01, 0.03, 0.05, 0.00, 0.10, 0.05, 0.10, 0.17, 0.02, 0.05, 0.05, 0.05, 0.03, 0.03, 0.00),
+    "default": {
+        "dmDensity": 0.15, "dmAcceleration": 0.05, "dmEntropy": 0.05, "dmSentiment": 0.10, "dmUtr": 0.03, "dmUniqueUsers": 0.05,
+        "dmRepeatRate": 0.00, "dmQuestionRate": 0.02, "dmExclamationRate": 0.02, "dmEmojiRate": 0.02, "keywordHighEnergy": 0.04, "keywordFunny": 0.05,
+        "keywordControversy": 0.02, "keywordInteractive": 0.03, "keywordEmotional": 0.03, "keywordShopping": 0.02, "asrKeyword": 0.10, "topicChange": 0.05,
+        "speakerChange": 0.05, "rms": 0.10, "mfccDist": 0.02, "eventLaughter": 0.10, "eventApplause": 0.05, "eventMusic": 0.05,
+        "sceneChange": 0.05, "motion": 0.05, "faceCount": 0.00,
+    },
+    "game": {
+        "dmDensity": 0.19, "dmAcceleration": 0.09, "dmEntropy": 0.05, "dmSentiment": 0.05, "dmUtr": 0.03, "dmUniqueUsers": 0.04,
+        "dmRepeatRate": 0.00, "dmQuestionRate": 0.02, "dmExclamationRate": 0.03, "dmEmojiRate": 0.01, "keywordHighEnergy": 0.06, "keywordFunny": 0.05,
+        "keywordControversy": 0.03, "keywordInteractive": 0.03, "keywordEmotional": 0.01, "keywordShopping": 0.00, "asrKeyword": 0.07, "topicChange": 0.05,
+        "speakerChange": 0.03, "rms": 0.07, "mfccDist": 0.02, "eventLaughter": 0.09, "eventApplause": 0.09, "eventMusic": 0.03,
+        "sceneChange": 0.05, "motion": 0.09, "faceCount": 0.00,
+    },
+    "shopping": {
+        "dmDensity": 0.12, "dmAcceleration": 0.04, "dmEntropy": 0.04, "dmSentiment": 0.06, "dmUtr": 0.04, "dmUniqueUsers": 0.06,
+        "dmRepeatRate": 0.00, "dmQuestionRate": 0.03, "dmExclamationRate": 0.01, "dmEmojiRate": 0.01, "keywordHighEnergy": 0.02, "keywordFunny": 0.02,
+        "keywordControversy": 0.02, "keywordInteractive": 0.04, "keywordEmotional": 0.01, "keywordShopping": 0.10, "asrKeyword": 0.22, "topicChange": 0.06,
+        "speakerChange": 0.06, "rms": 0.06, "mfccDist": 0.02, "eventLaughter": 0.06, "eventApplause": 0.06, "eventMusic": 0.06,
+        "sceneChange": 0.06, "motion": 0.04, "faceCount": 0.00,
+    },
+    "talent": {
+        "dmDensity": 0.10, "dmAcceleration": 0.05, "dmEntropy": 0.03, "dmSentiment": 0.14, "dmUtr": 0.03, "dmUniqueUsers": 0.05,
+        "dmRepeatRate": 0.00, "dmQuestionRate": 0.02, "dmExclamationRate": 0.02, "dmEmojiRate": 0.02, "keywordHighEnergy": 0.04, "keywordFunny": 0.04,
+        "keywordControversy": 0.01, "keywordInteractive": 0.03, "keywordEmotional": 0.05, "keywordShopping": 0.00, "asrKeyword": 0.10, "topicChange": 0.05,
+        "speakerChange": 0.10, "rms": 0.17, "mfccDist": 0.02, "eventLaughter": 0.05, "eventApplause": 0.05, "eventMusic": 0.05,
+        "sceneChange": 0.03, "motion": 0.03, "faceCount": 0.00,
+    },
 }
 #: Bonus of a signal that peaks in a window.
 BOOSTS = {
@@ -84,4 +108,4 @@ TARGETS = (("precisionAtK", 0.60, False), ("recallAtK", 0.70, False), ("meanIou"
 
 def profile_rows() -> list[tuple[str, str, float]]:
     """(profile, signal, weight), each profile scaled to a sum of 1."""
-    return [(p, s, w / sum(ws)) for p, ws in PROFILES.items() for s, w in zip(WEIGHT_NAMES, ws, strict=True)]
+    return [(p, s, w / sum(ws.values())) for p, ws in PROFILES.items() for s, w in ws.items()]

@@ -97,7 +97,7 @@ def robust_z(signals: DataFrame, clip: float = 5.0, eps: float = 1e-9) -> DataFr
 def profile_weights(signals: DataFrame, profile: str = "default") -> DataFrame:
     """(room, signal, w): a profile's weights over the signals that a room has, scaled to a sum of 1; equal ones if none has a weight."""
     known = PROFILES.get(profile, PROFILES["default"])
-    raw = F.coalesce(*[F.when(F.col("signal") == s, F.lit(w)) for s, w in zip(WEIGHT_NAMES, known, strict=True)], F.lit(0.0))
+    raw = F.coalesce(*[F.when(F.col("signal") == s, F.lit(w)) for s, w in known.items()], F.lit(0.0))
     have = signals.select("room", "signal").distinct().withColumn("raw", raw)
     room = Window.partitionBy("room")
     total = F.sum("raw").over(room)

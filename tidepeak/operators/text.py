@@ -130,7 +130,8 @@ def sentiment(chat: DataFrame, spine: DataFrame, positive: tuple[str, ...] = POS
 def repeat_rate(chat: DataFrame, spine: DataFrame, radius: int = 5) -> DataFrame:
     """dmRepeatRate: share of messages around a tick that repeat another, white space and case aside; blank ones do not count."""
     items = chat.select("room", "t", F.regexp_replace(F.lower("content"), r"\s+", "").alias("item")).where("item <> ''")
-    counts = sliding_distinct(items, spine, radius)
+    # digests move, not messages
+    counts = sliding_distinct(items.withColumn("item", F.unhex(F.md5("item"))), spine, radius)
     return counts.select("room", "t", F.when(F.col("n") == 0, 0.0).otherwise((F.col("n") - F.col("n_distinct")) / F.col("n")).alias("dmRepeatRate"))
 
 
