@@ -533,6 +533,27 @@ def test_token_files_round_trip(spark):
     assert tokenbin.round_trip(docs(spark, []), BYTE).count() == 0
 
 
+def test_token_files_are_pruned_by_id(spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    tokenbin.write(spark.range(20_000).selectExpr("2 * id AS doc_id", "concat('text ', id) AS text"), BYTE, folder, partitions=2)
+    found = tokenbin.lookup(spark, folder, [5000, 5001])
+    assert [r.doc_id for r in found.collect()] == [5000]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert "PushedFilters: [In(doc_id" in scan.toString() and scan.metrics().apply("numOutputRows").value() <= 4000
+
+
+def test_token_files_of_repeated_null_and_long_documents(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTE)
+    rows = [(1, "b c"), (1, "a"), (None, "z"), (0, "long words " * 40_000), (1, "a"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(1), "start": F.lit("x")})
+    out = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokenbin.round_trip(df, BYTE).collect()))
+    order = [(None, "z"), (0, rows[3][1]), (1, ""), (1, "a"), (1, "a"), (1, "b c")]
+    sizes = [len(lib.encode(t, add_special_tokens=False).ids) + 1 for _, t in order]
+    assert out == [(sum(sizes[:k]), i, sizes[k]) for k, (i, _) in enumerate(order)]
+
+
 def test_cache_encodes_each_text_once(spark, tmp_path):
     folder = f"file://{tmp_path}/cache"
     df = docs(spark, ["one two", "one two", None, ""])
