@@ -214,6 +214,19 @@ def test_recorded_artifacts_are_reused(spark):
     assert manifest.reuse(kept, made.withColumn("digest", F.lit("e"))).first().reason == "artifact modified"
 
 
+def test_fingerprints_of_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"x" * 100)
+    read = lambda: manifest.fingerprints(spark.read.format("binaryFile").load(f"file://{tmp_path}"), 50).collect()
+    first = read()
+    assert {r.path[-5:]: (r.size, r.digest is None) for r in first} == {"a.bin": (3, False), "b.bin": (100, True)}
+    (tmp_path / "a.bin").write_bytes(b"abd")
+    kind = "path string, size long, modified long, digest string"
+    table = lambda rows: spark.createDataFrame([tuple(r) for r in rows], kind)
+    assert {r.path[-5:]: r.same for r in manifest.unchanged(table(first), table(read())).collect()} == {"a.bin": False, "b.bin": True}
+    assert [r.same for r in manifest.unchanged(table(first), table(first[:1])).collect()].count(True) == 1
+
+
 def test_segments_in_quarantine(spark):
     rows = [(1, 1, 5000, 3.0, "FLV"), (1, 2, 10, 3.0, "FLV"), (1, 3, 5000, 3.0, "MP4"), (1, 4, 5000, 0.0, "FLV"), (1, 5, None, None, None)]
     out = manifest.segment_report(spark.createDataFrame(rows, "room long, idx int, size long, seconds double, header string")).orderBy("idx").collect()

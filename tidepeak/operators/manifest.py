@@ -17,9 +17,17 @@ def hash_json(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str).encode()).hexdigest()
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """(path, size, digest) of files as read by the binaryFile source."""
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+def fingerprints(files: DataFrame, longest: int = 256 << 20) -> DataFrame:
+    """(path, size, modified, digest) of files as read by the binaryFile source; the content of those over `longest` bytes is not read, and they have no digest."""
+    of = lambda rows, digest: rows.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), digest.alias("digest"))
+    return of(files.where(F.col("length") <= longest), F.sha2("content", 256)).unionByName(of(files.where(F.col("length") > longest), F.lit(None).cast("string")))
+
+
+def unchanged(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, same): whether files of two fingerprint tables are the same, by size and digest, or by time where there is no digest; one that is missing is not."""
+    a, b = before.select("path", F.struct("size", "modified", "digest").alias("a")), now.select("path", F.struct("size", "modified", "digest").alias("b"))
+    alike = F.when(F.col("a.digest").isNotNull() & F.col("b.digest").isNotNull(), F.col("a.digest") == F.col("b.digest")).otherwise(F.col("a.modified") == F.col("b.modified"))
+    return a.join(b, "path", "full").select("path", F.coalesce((F.col("a.size") == F.col("b.size")) & alike, F.lit(False)).alias("same"))
 
 
 def reuse(artifacts: DataFrame, expected: DataFrame, version: str = VERSION, generator: str = GENERATOR) -> DataFrame:

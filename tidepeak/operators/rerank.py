@@ -76,6 +76,13 @@ def window_totals(signals: DataFrame) -> DataFrame:
     return out.withColumn("novelty", F.when(F.col("s") > 0, F.coalesce("novelty", F.lit(0.0))).otherwise(0.0))
 
 
+def window_breakdown(signals: DataFrame, top: int = 8) -> DataFrame:
+    """(room, id, signal, contribution, rank): the largest contributions of weighted signals to each window, equal ones by name."""
+    part = signals.where("weight > 0").select("room", "id", "signal", F.round("contribution", 6).alias("contribution"))
+    rank = F.row_number().over(Window.partitionBy("room", "id").orderBy(F.desc(F.abs("contribution")), "signal"))
+    return part.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def content_type(profile: Column, signals: Column) -> Column:
     has = lambda s: F.array_contains(signals, s)
     return F.when(profile.isin("shopping", "talent", "game"), profile).when(has("speakerChange"), "interaction").when(has("eventLaughter"), "funny").when(has("eventMusic"), "talent").otherwise("default")

@@ -9,7 +9,7 @@ from tidepeak.config import Scoring
 from tidepeak.operators import evaluate, intervals, manifest, media, report, rerank, timeline
 from tidepeak.plans import adapters as A
 from tidepeak.plans.catalogue import EV, RANGES, query, r6
-from tidepeak.plans.queries_intervals import EVAL, EXPAND, SESSIONS, TTEST, parts, profile_sql
+from tidepeak.plans.queries_intervals import EVAL, EXPAND, SESSIONS, TTEST, WF, featured, parts, profile_sql
 from tidepeak.sources import chat as chat_source
 from tidepeak.streaming import live
 
@@ -37,6 +37,12 @@ def quality_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("room", F.col("id").cast("long").alias("id"), "from_start", "from_end", "start", "end", r6("score").alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(WF + " SELECT room, s AS \"start\", signal, c AS contribution, rank FROM (SELECT room, s, signal, round(w * mean, 6) AS c, row_number() OVER (PARTITION BY room, id ORDER BY abs(round(w * mean, 6)) DESC, signal)::INTEGER AS rank FROM f WHERE w > 0) WHERE rank <= 2")
+def window_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    wide, signals, _ = featured(spark, sf)
+    return rerank.window_breakdown(signals, 2).join(wide.select("room", "id", "start"), ["room", "id"]).select("room", "start", "signal", "contribution", "rank")
+
+
 USERS = EV + SESSIONS.format(n="c", where="true")
 
 
