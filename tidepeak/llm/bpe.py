@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidepeak.llm.common import bound_batches
 
 #: Entries that a worker's memo may hold before it starts afresh.
-MEMO = 400_000
+MEMO = 150_000
 #: The longest chunk that it keeps.
 KEPT = 64
 LETTER_THEN_SIGN = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
@@ -334,6 +334,19 @@ def decode_column(ids: Column, path: str) -> Column:
     return bpe_decode(ids)
 
 
+def codec_column(text: Column, path: str) -> Column:
+    """Struct of the ids of a text and of the text that they stand for: both ways in one worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def bpe_codec(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = tokenizer(path)
+        for texts in batches:
+            ids = t.encode(pc.fill_null(texts, ""))
+            yield pa.StructArray.from_arrays([ids, t.decode_lists(ids)], ["ids", "decoded"])
+
+    return bpe_codec(text)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids") -> DataFrame:
     """Adds the ids of every whole text."""
     bound_batches(docs.sparkSession)
@@ -348,7 +361,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of ids and decoded text for every document."""
-    out = decode(encode(docs.select("doc_id", "text"), path), path)
+    bound_batches(docs.sparkSession)
+    out = docs.select("doc_id", codec_column(docs["text"], path).alias("c")).select("doc_id", "c.ids", "c.decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
