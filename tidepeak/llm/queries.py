@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepeak.llm import bitslice, bpe, counts, decontam, langid, licenses, pseudonyms, quality, simhash, tokenbin
+from tidepeak.llm import balltree, bitslice, bpe, counts, decontam, divergence, langid, licenses, pseudonyms, quality, simhash, tokenbin
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,13 +67,28 @@ def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms each source has more of; see divergence."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector; see balltree."""
+    return balltree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": DECONTAMINATION_SQL, "op10_exact_search": SEARCH_SQL}
+    return {
+        "op6_decontamination": DECONTAMINATION_SQL,
+        "op10_exact_search": SEARCH_SQL,
+        "op11_source_divergence": DIVERGENCE_SQL,
+        "op12_centroid_clusters": CLUSTERS_SQL,
+    }
 
 
 SEARCH_SQL = """
@@ -111,3 +126,63 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS (
+  SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n) AS n FROM o GROUP BY lang, term HAVING count(*) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(s.n, 0) AS n
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM o GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), p AS (
+  SELECT lang, source, term, n,
+    1 + 1000000000 * (n + 2)::HUGEINT // ((sum(n) OVER (PARTITION BY lang, source)) + 2 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p,
+    1 + 1000000000 * (lang_n + 2)::HUGEINT // ((sum(lang_n) OVER (PARTITION BY lang, source)) + 2 * count(*) OVER (PARTITION BY lang, source))::HUGEINT AS q
+  FROM c
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, (SELECT coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) FROM p x JOIN p y USING (lang, term)
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q), row_number() OVER (PARTITION BY lang, source ORDER BY (p - q) * (p - q) // (p + q) DESC, term) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    """Rounds of exact assignment and floor means, one after the other."""
+    nearest = """
+  SELECT * FROM (SELECT x.row, x.vec_id, x.v, c.cluster, c.v AS centroid, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM x, c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1"""
+    parts = ["""x AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda z: floor(64 * z::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x ORDER BY h, v LIMIT 16)
+)"""]
+    for i in range(rounds):
+        parts.append(f"a{i} AS ({nearest.format(i=i)}\n)")
+        parts.append(f"""m{i} AS (
+  SELECT cluster, list(z ORDER BY place) AS v FROM (
+    SELECT cluster, place, floor(sum(v[place])::HUGEINT::DOUBLE / count(*))::BIGINT AS z FROM a{i}, range(1, 65) t(place) GROUP BY cluster, place) GROUP BY cluster
+), c{i + 1} AS (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster)
+)""")
+    parts.append(f"z AS ({nearest.format(i=rounds)}\n)")
+    return "WITH " + ", ".join(parts) + """
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(centroid, ',')) AS centroid_sha256 FROM z
+"""
+
+
+CLUSTERS_SQL = clusters_sql()
