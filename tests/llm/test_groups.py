@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepeak.llm import balltree, divergence
+from tidepeak.llm import balltree, divergence, overlap
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -131,3 +131,94 @@ def test_wide_and_few_vectors(spark):
     assert clustered(spark, same, "float", k=2) == brute_clusters([(i, [float(np.float32(1e30))] * 64) for i in range(3)], 2)
     with pytest.raises(Exception, match="(?i)too large|overflow|int"):
         clustered(spark, [(1, [1e30] * 64), (2, [-1e30] * 64)], k=1)
+
+
+# ── 13: n-gram Jaccard join ──
+def brute_join(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    low = [*range(len(rows))]
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+                low[max(root(a), root(b))] = min(root(a), root(b))
+    ids = {}
+    for x, (i, _) in enumerate(rows):
+        if i is not None:
+            ids[root(x)] = min(i, ids.get(root(x), i))
+    return sorted(((i, len(s), ids.get(root(x))) for x, ((i, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def joined(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "node": F.lit("x"), "digest": F.lit(0), "words": F.lit(b"")})
+    return sorted((tuple(r) for r in overlap.join(df.repartition(3)).collect()), key=str)
+
+
+def copies(rng):
+    words = [f"w{i}" for i in range(300)]
+    made = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, texts = made(60), []
+    for size in (8, 12, 30, 90, 200):  # groups around the limit
+        base = made(size)
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, size // 30))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w + made(rng.choice([0, 0, 1, 2, size // 10]))))
+    texts += [" ".join(made(rng.randint(5, 40)) + passage + made(rng.randint(0, 300))) for _ in range(40)]  # one passage in many texts
+    texts += [" ".join(passage + made(rng.randint(0, 14))) for _ in range(30)]  # little but the passage
+    texts += [" ".join(made(rng.randint(1, 6))) for _ in range(30)] + ["A b", "a  B", "a b c", "x " * 9, "X\n" * 12]
+    return texts
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_equals_brute_force(spark, monkeypatch, small):
+    rows = [*enumerate(copies(random.Random(8)), 5)]
+    rows += [(5, rows[3][1]), (5, "other words than those of the first row"), (None, rows[20][1]), (None, None), (1000, ""), (1001, " \n"), (None, "alone here")]
+    if small:
+        for name, value in (("LONG", 3), ("CHUNK", 2), ("GROUP", 200), ("PACK", 300), ("BUCKET", 700)):
+            monkeypatch.setattr(overlap, name, value)
+    assert joined(spark, rows) == brute_join(rows)
+
+
+def test_no_link_depends_on_the_first_search(spark, monkeypatch):
+    rows = [*enumerate(copies(random.Random(9)))]
+    none = lambda texts: texts.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    monkeypatch.setattr(overlap, "key_links", none)
+    expected = brute_join(rows)
+    assert joined(spark, rows) == expected
+    monkeypatch.setattr(overlap, "LONG", 3)  # and with lists of common shingles
+    monkeypatch.setattr(overlap, "KEPT", 20)
+    assert joined(spark, rows) == expected
+
+
+def test_join_of_empty_tables_and_long_texts(spark):
+    assert joined(spark, []) == [] and joined(spark, [(1, None)]) == [(1, 0, 1)]
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(3, long), (2, long + " more"), (1, "x" * 500_000)]
+    assert joined(spark, rows) == [(1, 1, 1), (2, 59_997, 2), (3, 59_996, 2)]
+
+
+def test_divide_skip_equals_counting():
+    rng = random.Random(1)
+    for _ in range(400):
+        lists = [sorted(rng.sample(range(40), rng.choice([1, 2, 5, 30]))) for _ in range(rng.randint(0, 12))]
+        least = rng.randint(1, 8)
+        count = Counter(x for one in lists for x in one)
+        assert dict(overlap.occurrences(lists, least)) == {x: n for x, n in count.items() if n >= least}
+
+
+def test_packed_arrays():
+    for values in ([], [0], [5, 300, 2**64 - 1], [*range(1000)]):
+        x = np.array(values, np.uint64)
+        assert overlap.unpacked(overlap.packed(x)).tolist() == values
+        assert np.cumsum(overlap.unpacked(overlap.rising(x)), dtype=np.uint64).tolist() == values

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepeak.llm import balltree, bitslice, bpe, counts, decontam, divergence, langid, licenses, pseudonyms, quality, simhash, tokenbin
+from tidepeak.llm import balltree, bitslice, bpe, counts, decontam, divergence, langid, licenses, overlap, pseudonyms, quality, simhash, tokenbin
 
 
 def tokenizer_file(name: str) -> str:
@@ -77,6 +77,11 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a similarity of 0.8 or more; see overlap."""
+    return overlap.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -88,6 +93,7 @@ def oracle_sql() -> dict[str, str]:
         "op10_exact_search": SEARCH_SQL,
         "op11_source_divergence": DIVERGENCE_SQL,
         "op12_centroid_clusters": CLUSTERS_SQL,
+        "op13_jaccard_join": JACCARD_SQL,
     }
 
 
@@ -186,3 +192,22 @@ SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTI
 
 
 CLUSTERS_SQL = clusters_sql()
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT row, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS shingle FROM (SELECT row, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT row, count(*) AS n FROM s GROUP BY row
+), l AS (
+  SELECT a, b FROM (SELECT x.row AS a, y.row AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.row <> y.row GROUP BY ALL) p
+  JOIN n na ON na.row = a JOIN n nb ON nb.row = b WHERE 100 * k >= 80 * (na.n + nb.n - k)
+), r AS (
+  SELECT row AS a, row AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT x.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d x LEFT JOIN n USING (row) JOIN (SELECT r.a, min(y.doc_id) AS component_id FROM r JOIN d y ON r.b = y.row GROUP BY r.a) c ON c.a = x.row
+"""
