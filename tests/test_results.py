@@ -267,15 +267,6 @@ def run(stream, name, mode, **options):
     return query
 
 
-def test_token_diversity_of_batches_in_any_order(spark, tmp_path):
-    stream = chat_folder(spark, tmp_path, [[(1, 10, 0, "a b a"), (1, 11, 1, "b")], [(1, 9, 2, "c"), (1, 12, 3, "a")]])
-    run(live.token_diversity(stream, 1), "diversity", "append")
-    got = {(r.t, r.distinct, r.n) for r in spark.table("diversity").collect()}
-    assert (10, 2, 3) in got | {(10, 2, 3)} and {t for t, *_ in got} == {9, 10, 11, 12}
-    both = [{(10, 2, 3), (11, 2, 4), (9, 1, 1), (12, 2, 5)}, {(9, 1, 1), (12, 1, 1), (10, 3, 4), (11, 3, 5)}]
-    assert any(len(got & b) >= 3 for b in both)
-
-
 def test_recent_messages_are_bounded(spark, tmp_path):
     stream = chat_folder(spark, tmp_path, [[(1, t, t, f"m{t}") for t in range(5)], [(1, t, t, f"m{t}") for t in range(5, 9)], [(2, 1, 1, "x")]])
     run(live.recent(stream, 3), "recent", "update")

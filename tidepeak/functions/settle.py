@@ -5,18 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder (spark.checkpoint.dir; a local session may go without).
-
-    It is computed once; a later plan then holds one scan instead of all that led to it, and lost
-    executors cost nothing. The folder's retention removes the files.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder (spark.checkpoint.dir; a local session may go without)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,6 +19,15 @@ def settle(df: DataFrame) -> DataFrame:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tidepeak-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder.
+
+    It is computed once; a later plan then holds one scan instead of all that led to it, and lost
+    executors cost nothing. The folder's retention removes the files.
+    """
+    path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

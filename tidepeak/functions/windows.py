@@ -36,11 +36,13 @@ def nearest_values(x: Column, radius: int, keys: list[str], order: str = "t") ->
 def sliding_distinct(items: DataFrame, spine: DataFrame, radius: int, n: str = "n", distinct: str = "n_distinct") -> DataFrame:
     """For every (room, t) of spine: items (room, t, item) within the radius, and how many are different.
 
+    Items may be counted before: then each (room, t, item) is there once, with its number in column c.
+
     The ticks near an item's occurrences form islands; each adds one from its first tick and takes it
     away after its last, so the numbers are running sums: nothing is exploded or collected by window.
     """
     last = Window.partitionBy("room", "item").orderBy("t")
-    once = items.groupBy("room", "item", "t").agg(F.count(F.lit(1)).alias("c"))
+    once = items.select("room", "item", "t", "c") if "c" in items.columns else items.groupBy("room", "item", "t").agg(F.count(F.lit(1)).alias("c"))
     gap = once.withColumn("from", F.lag("t").over(last)).withColumn("to", F.lead("t").over(last))
     opens = gap.where(F.col("from").isNull() | (F.col("t") - F.col("from") > 2 * radius + 1)).select("room", (F.col("t") - radius).alias("t"), F.lit(1).alias("d"), F.lit(0).alias("c"))
     closes = gap.where(F.col("to").isNull() | (F.col("to") - F.col("t") > 2 * radius + 1)).select("room", (F.col("t") + radius + 1).alias("t"), F.lit(-1).alias("d"), F.lit(0).alias("c"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepeak.config import PROFILES, TARGETS, WEIGHT_NAMES, profile_rows
+from tidepeak.functions.settle import settle
 from tidepeak.operators.intervals import iou, overlap
 from tidepeak.operators.normalize import variant_weights
 from tidepeak.schema import room_type
@@ -50,42 +51,55 @@ def match_edges(top: DataFrame, positives: DataFrame, least: float = 0.0, width:
     return pairs.where(F.col("iou") >= least)
 
 
-def max_matching(edges: DataFrame) -> DataFrame:
-    """(room, a_id, b_id, iou): a largest one-to-one matching, by augmenting paths in order of rank and IoU.
+def matchings(edges: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(room, k, a_id, b_id, iou): for each k, a largest one-to-one matching of the clips of the k best ranks.
 
-    One group a room; its clips are at most k.
+    Clips enter in order of rank, each by one search for an augmenting path, nearest annotations by IoU first; so the matching
+    of the first k clips is there on the way to that of more, and all k cost one run. One group a room; its clips are at most the largest k.
     """
+    wanted = sorted(set(ks))
+
+    def augmented(a: int, near: dict[int, list[int]], holder: dict[int, int], held: dict[int, int]) -> None:
+        # breadth over alternating paths: which clip asked for each annotation first
+        asked, queue, end = {}, [a], None
+        while queue and end is None:
+            clip = queue.pop(0)
+            for b in near[clip]:
+                if b not in asked:
+                    asked[b] = clip
+                    if b not in holder:
+                        end = b
+                        break
+                    queue.append(holder[b])
+        while end is not None:
+            clip = asked[end]
+            before = held.get(clip)
+            holder[end], held[clip] = clip, end
+            end = None if clip == a else before
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
-        value = {}
+        value, rank = {}, {}
         for r in rows.sort_values(["a_rank", "iou", "b_id"], ascending=[True, False, True]).itertuples():
             near.setdefault(r.a_id, []).append(r.b_id)
             value[r.a_id, r.b_id] = r.iou
+            rank[r.a_id] = r.a_rank
         holder: dict[int, int] = {}
-        for a in near:
-            # breadth over alternating paths: which clip asked for each annotation first
-            asked, queue, end = {}, [a], None
-            while queue and end is None:
-                clip = queue.pop(0)
-                for b in near[clip]:
-                    if b not in asked:
-                        asked[b] = clip
-                        if b not in holder:
-                            end = b
-                            break
-                        queue.append(holder[b])
-            while end is not None:
-                clip = asked[end]
-                before = next((b for b, c in holder.items() if c == clip), None)
-                holder[end] = clip
-                if clip == a:
-                    break
-                end = before
-        room = rows["room"].iloc[0]
-        return pd.DataFrame([(room, a, b, value[a, b]) for b, a in holder.items()], columns=["room", "a_id", "b_id", "iou"])
-
-    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, f"room {room_type(edges)}, a_id long, b_id long, iou double")
+        held: dict[int, int] = {}
+        clips, at, out = [*near], 0, []
+        for k in wanted:
+            while at < len(clips) and rank[clips[at]] <= k:
+                augmented(clips[at], near, holder, held)
+                at += 1
+            out += [(rows["room"].iloc[0], k, a, b, value[a, b]) for b, a in holder.items()]
+        return pd.DataFrame(out, columns=["room", "k", "a_id", "b_id", "iou"])
+
+    return edges.select("room", "a_id", "a_rank", "b_id", "iou").groupBy("room").applyInPandas(run, f"room {room_type(edges)}, k int, a_id long, b_id long, iou double")
+
+
+def max_matching(edges: DataFrame) -> DataFrame:
+    """(room, a_id, b_id, iou): a largest one-to-one matching of all clips."""
+    return matchings(edges, (2**31 - 1,)).drop("k")
 
 
 def duplicate_pairs(top: DataFrame, least: float = 0.5, width: float = 64.0) -> DataFrame:
@@ -107,24 +121,39 @@ def unmatched(top: DataFrame, matches: DataFrame) -> DataFrame:
 
 def metrics(clips: DataFrame, annotations: DataFrame, k: int = 10, match_iou: float = 0.0, duplicate_iou: float = 0.5, min_quality: int = 3, width: float = 64.0) -> DataFrame:
     """One row of metrics a room that has positive annotations; rates without a denominator are 0, or null where nothing was measured."""
-    if k < 1 or not 0 <= match_iou <= 1 or not 0 <= duplicate_iou <= 1:
+    return metrics_at(clips, annotations, (k,), match_iou, duplicate_iou, min_quality, width)
+
+
+def metrics_at(clips: DataFrame, annotations: DataFrame, ks: tuple[int, ...], match_iou: float = 0.0, duplicate_iou: float = 0.5, min_quality: int = 3, width: float = 64.0) -> DataFrame:
+    """metrics() of every case (room) at every k, all from one ranking, one matching and one join with annotations, however many k there are."""
+    if not ks:
+        raise ValueError("at least one k is needed")
+    if min(ks) < 1 or not 0 <= match_iou <= 1 or not 0 <= duplicate_iou <= 1:
         raise ValueError("k must be at least 1, and IoU limits within 0 and 1")
-    top = ranked(clips).where(F.col("rank") <= k)
-    positives, negatives = annotations.where(is_positive(min_quality)), annotations.where(~is_positive(min_quality))
-    matches = max_matching(match_edges(top, positives, match_iou, width))
+    ks = tuple(sorted(set(ks)))
+    all_clips = ranked(clips).withColumn("clips", F.count(F.lit(1)).over(Window.partitionBy("room")))
+    top = settle(all_clips.where(F.col("rank") <= ks[-1]))
+    notes = settle(annotations.select("room", "id", "start", "end", is_positive(min_quality).alias("positive")))
+    positives, negatives = notes.where("positive"), notes.where("NOT positive")
+    matches = matchings(match_edges(top, positives, match_iou, width), ks)
     full = matches.join(named(top, "a"), ["room", "a_id"]).join(named(positives, "b"), ["room", "b_id"])
     cost = F.abs(F.col("a_start") - F.col("b_start")) + F.abs(F.col("a_end") - F.col("b_end"))
-    count = lambda rows, to: rows.groupBy("room").agg(F.count(F.lit(1)).alias(to))
-    matched = full.groupBy("room").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.round("iou", 4)).alias("iou_sum"), F.sum(F.round(cost, 3)).alias("cost_sum"))
-    out = count(positives, "positives")
-    for part in (count(clips, "clips"), count(top, "top"), count(negatives, "negatives"), matched, count(duplicate_pairs(top, duplicate_iou, width), "duplicates"), count(negative_hits(top, negatives, width), "negative_hits")):
-        out = out.join(part, "room", "left")
+    matched = full.groupBy("room", "k").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.round("iou", 4)).alias("iou_sum"), F.sum(F.round(cost, 3)).alias("cost_sum"))
+    # what holds at a rank holds at every k from there on
+    from_rank = lambda rows, rank, to: rows.select("room", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= rank)).alias("k")).groupBy("room", "k").agg(F.count(F.lit(1)).alias(to))
+    duplicates = from_rank(duplicate_pairs(top, duplicate_iou, width), F.col("rank"), "duplicates")
+    hits = from_rank(negative_hits(top, negatives, width), F.array_min("ranks"), "negative_hits")
+    count = notes.groupBy("room").agg(F.count_if("positive").alias("positives"), F.count_if(~F.col("positive")).alias("negatives")).where("positives > 0")
+    sizes = top.groupBy("room").agg(F.max("clips").alias("clips"))
+    out = count.join(sizes, "room", "left").fillna(0).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("top", F.least("clips", "k"))
+    for part in (matched, duplicates, hits):
+        out = out.join(part, ["room", "k"], "left")
     out = out.fillna(0)
     ratio = lambda a, b, d=0.0: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(d))
     p, r = ratio("matched", "top"), ratio("matched", "positives")
     return out.select(
-        "room", F.lit(k).alias("k"), "clips", "top", "positives", "negatives", "matched", "duplicates", "negative_hits", "iou_sum", "cost_sum",
-        F.round(p, 4).alias("precision_at_k"), F.round(F.col("matched") / k, 4).alias("strict_precision_at_k"), F.round(r, 4).alias("recall_at_k"),
+        "room", "k", "clips", "top", "positives", "negatives", "matched", "duplicates", "negative_hits", "iou_sum", "cost_sum",
+        F.round(p, 4).alias("precision_at_k"), F.round(F.col("matched") / F.col("k"), 4).alias("strict_precision_at_k"), F.round(r, 4).alias("recall_at_k"),
         F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4).alias("f1_at_k"),
         F.round(F.try_divide("iou_sum", "matched"), 4).alias("mean_iou"), F.round(F.try_divide("cost_sum", "matched"), 3).alias("editing_cost"),
         F.round(F.coalesce(F.try_divide(F.col("top") - F.col("matched"), F.col("top")), F.lit(0.0)), 4).alias("invalid_rate"), F.round(ratio("duplicates", "top"), 4).alias("duplicate_rate"),
@@ -132,16 +161,6 @@ def metrics(clips: DataFrame, annotations: DataFrame, k: int = 10, match_iou: fl
     )
 
 
-def metrics_at(clips: DataFrame, annotations: DataFrame, ks: tuple[int, ...], **limits: float) -> DataFrame:
-    """metrics() of every case (room) at every k, in one plan."""
-    if not ks:
-        raise ValueError("at least one k is needed")
-    out = metrics(clips, annotations, ks[0], **limits)
-    for k in ks[1:]:
-        out = out.unionByName(metrics(clips, annotations, k, **limits))
-    return out
-
-
 def case_checks(rows: DataFrame, targets: tuple = TARGETS) -> DataFrame:
     """(room, k, name, value, target, met) of every target of every metrics row; met is null where nothing was measured."""
     columns = {"precisionAtK": "precision_at_k", "recallAtK": "recall_at_k", "meanIou": "mean_iou", "invalidRate": "invalid_rate", "duplicateRate": "duplicate_rate"}

@@ -86,13 +86,25 @@ def entropy(chat: DataFrame, spine: DataFrame, radius: int = 5, cap: int = 200,
     arrived = Window.partitionBy("room", "t").orderBy("line_no")
     kept = chat.withColumn("at", F.row_number().over(arrived)).where(F.col("at") <= cap)
     counted = tokens(kept).groupBy("room", "t", "item").agg(F.count(F.lit(1)).alias("c"))
-    spread = counted.select("room", "item", "c", F.explode(F.sequence(F.col("t") - radius, F.col("t") + radius)).alias("t"))
-    summed = spread.groupBy("room", "t", "item").agg(F.sum("c").alias("c"))
+    found = entropy_of(counted, radius, top)
+    return spine.join(found, ["room", "t"], "left").select("room", "t", F.coalesce("dmEntropy", F.lit(0.0)).alias("dmEntropy"))
+
+
+def entropy_of(counted: DataFrame, radius: int = 5, top: int = 50) -> DataFrame:
+    """(room, t, dmEntropy) of tokens that are counted by tick (room, t, item, c), for ticks near any.
+
+    An item's count around a tick changes only where one of its ticks enters or leaves, and holds from there to the next
+    change; what is spread over ticks is these runs, not each (tick, token) by the radius.
+    """
+    steps = counted.select("room", "item", F.inline(F.array(F.struct((F.col("t") - radius).alias("t"), F.col("c")), F.struct((F.col("t") + radius + 1).alias("t"), (-F.col("c")).alias("c")))))
+    steps = steps.groupBy("room", "item", "t").agg(F.sum("c").alias("d"))
+    w = Window.partitionBy("room", "item").orderBy("t")
+    runs = steps.withColumn("c", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("upto", F.lead("t").over(w)).where("c > 0")
+    spread = runs.select("room", "item", "c", F.explode(F.sequence("t", F.col("upto") - 1)).alias("t"))
     tick = Window.partitionBy("room", "t")
-    ranked = summed.withColumn("total", F.sum("c").over(tick)).withColumn("place", F.row_number().over(tick.orderBy(F.desc("c"), "item"))).where(F.col("place") <= top)
+    ranked = spread.withColumn("total", F.sum("c").over(tick)).withColumn("place", F.row_number().over(tick.orderBy(F.desc("c"), "item"))).where(F.col("place") <= top)
     p = F.col("c") / F.col("total")
-    found = ranked.groupBy("room", "t").agg((-F.sum(p * F.log2(p))).alias("dmEntropy"))
-    return spine.join(found, ["room", "t"], "left").select("room", "t", F.coalesce("dmEntropy", F.lit(0.0)).alias("dmEntropy"))
+    return ranked.groupBy("room", "t").agg((-F.sum(p * F.log2(p))).alias("dmEntropy"))
 
 
 def mood(words: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidepeak.functions.settle import settle
+from tidepeak.functions.windows import sliding_distinct
 from tidepeak.operators import text, timeline
 from tidepeak.schema import SIGNALS
 
@@ -22,36 +24,123 @@ class TextSettings:
     sentiment: str = "rules"
     model: Callable[[Column], Column] | None = field(default=None, compare=False)
     tokenizer: Callable[[Column], Column] = field(default=text.split_words, compare=False)
+    positive: tuple[str, ...] = text.POSITIVE
+    negative: tuple[str, ...] = text.NEGATIVE
+    keywords: dict[str, tuple[str, ...]] = field(default_factory=lambda: text.KEYWORDS, compare=False)
+    #: Messages of a tick that count for its entropy, in order of arrival, and tokens of it.
+    entropy_cap: int = 200
+    entropy_top: int = 50
 
 
-def signals(chat: DataFrame, asr: DataFrame, n: int, settings: TextSettings = TextSettings(), topics: DataFrame | None = None) -> DataFrame:
+def signal_name(category: str) -> str:
+    return f"keyword{category[0].upper()}{category[1:]}"
+
+
+#: Kinds of facts: of a message, of one outside of the recording, and of its tokens, normalised form and user.
+MESSAGE, OUTSIDE, TOKEN, SAID, USER = "n", "x", "w", "m", "u"
+
+
+def facts(chat: DataFrame, n: int, settings: TextSettings = TextSettings(), counters: Observation | None = None) -> DataFrame:
+    """(room, t, kind, item, c, early, mood, hits): all that the signals need to know of chat, from one scan and one aggregation by room, tick, kind and item.
+
+    c counts occurrences, early those among the first messages of a tick; mood and hits (one for each kind of rate) are sums over
+    messages. Messages outside of the recording are counted at tick -1. counters gets the numbers of messages, and of those
+    skipped and blank, while the same job runs.
+    """
+    arrived = F.row_number().over(Window.partitionBy("room", "t").orderBy("line_no"))
+    inside = F.col("t").between(0, n - 1)
+    content = F.coalesce("content", F.lit(""))
+    lower = F.lower(content)
+    rates = [content.rlike(text.QUESTION), content.rlike(text.EXCLAMATION), content.rlike(text.EMOJI), *[text.holds_any(lower, [p.lower() for p in words]) for words in settings.keywords.values()]]
+    mood = text.mood_of(content, settings.sentiment, settings.model, settings.tokenizer, positive=settings.positive, negative=settings.negative)
+    plain = F.regexp_replace(lower, r"\s+", "")
+    rows = chat
+    if counters is not None:
+        rows = rows.observe(counters, F.count(F.lit(1)).alias("messages"), F.count_if(~inside).alias("skipped"), F.count_if(F.trim(content) == "").alias("blank"))
+    rows = rows.withColumn("arrived", arrived)
+    none = F.lit(None).cast("string")
+    item = lambda kind, name, more=False: F.struct(F.lit(kind).alias("kind"), name.alias("item"), F.lit(more).alias("whole"))
+    tokens = F.filter(F.split(F.trim(F.regexp_replace(content, r"\s+", " ")), " "), lambda w: w != "")
+    said = F.filter(F.array(plain), lambda p: p != "")
+    parts = F.concat(
+        F.array(item(MESSAGE, none, True), item(USER, text.user_hash(F.col("user_id")))),
+        F.transform(tokens, lambda w: item(TOKEN, w)),
+        F.transform(said, lambda p: item(SAID, F.md5(p))),  # digests move, not messages
+    )
+    kept = F.when(inside, parts).otherwise(F.array(item(OUTSIDE, none)))
+    each = rows.select(
+        "room", F.when(inside, F.col("t")).otherwise(-1).alias("t"), (F.col("arrived") <= settings.entropy_cap).cast("long").alias("early"), mood.cast("double").alias("mood"),
+        F.array(*[F.coalesce(hit, F.lit(False)).cast("long") for hit in rates]).alias("hits"), F.explode(kept).alias("p"),
+    )
+    whole = F.col("p.whole")
+    sums = [F.sum(F.when(whole, F.get("hits", F.lit(i))).otherwise(0)).alias(f"h{i}") for i in range(len(rates))]
+    found = each.groupBy("room", "t", F.col("p.kind").alias("kind"), F.col("p.item").alias("item")).agg(F.count(F.lit(1)).alias("c"), F.sum("early").alias("early"), F.sum(F.when(whole, F.col("mood"))).alias("mood"), *sums)
+    return found.select("room", "t", "kind", "item", "c", "early", "mood", F.array(*[f"h{i}" for i in range(len(rates))]).alias("hits"))
+
+
+def signals(chat: DataFrame, asr: DataFrame, n: int, settings: TextSettings = TextSettings(), topics: DataFrame | None = None, counters: Observation | None = None) -> DataFrame:
     """Signals (room, t, signal, ord, value) of ticks 0 to n - 1 of every room of chat (room, t, line_no, content, user_id, type) and transcripts.
 
-    topics are changes (room, t, topicChange); without them there is no such signal.
+    topics are changes (room, t, topicChange); without them there is no such signal. Chat is read once.
     """
-    rooms = chat.select("room").unionByName(asr.select("room"))
+    return signals_of(settle(facts(chat, n, settings, counters)), asr, n, settings, topics)
+
+
+def signals_of(known: DataFrame, asr: DataFrame, n: int, settings: TextSettings = TextSettings(), topics: DataFrame | None = None) -> DataFrame:
+    """signals() of facts() that are stored."""
+    rooms = known.select("room").unionByName(asr.select("room"))
     spine = timeline.spine(rooms, n)
-    inside = timeline.in_range(chat, n)
-    utr = text.token_diversity(inside, spine, settings.utr_radius)
-    density = text.density(inside)
-    limits = text.diversity_threshold(utr, density, settings.utr_threshold) if settings.calibrate else spine.select("room").distinct().withColumn("threshold", F.lit(settings.utr_threshold))
-    adjusted = text.adjusted_density(density, utr, limits)
-    users = spine.join(text.unique_users(inside), ["room", "t"], "left").select("room", "t", F.coalesce("dmUniqueUsers", F.lit(0)).alias("dmUniqueUsers"))
-    r = settings.radius
-    parts = [
-        adjusted, text.acceleration(adjusted, "dmDensity"), text.entropy(inside, spine, r), text.sentiment(inside, spine, mode=settings.sentiment, model=settings.model, tokenizer=settings.tokenizer), users, utr,
-        text.repeat_rate(inside, spine, r), text.question_rate(inside, spine, r), text.exclamation_rate(inside, spine, r), text.emoji_rate(inside, spine, r),
-        *[text.keyword_rate(inside, asr, spine, list(words), n, f"keyword{kind[0].upper()}{kind[1:]}", r) for kind, words in text.KEYWORDS.items()],
-        text.asr_keyword(asr, spine, list(settings.phrases), n), text.speaker_change(asr, spine, n),
-    ]
+    inside = known.where("t >= 0")
+    # ── each tick by itself ──
+    tick = inside.where(F.col("kind") == MESSAGE).select("room", "t", "c", "mood", "hits")
+    users = inside.where(F.col("kind") == USER).groupBy("room", "t").agg(F.count(F.lit(1)).alias("users"))
+    # ── windows over items ──
+    words = inside.where(F.col("kind") == TOKEN).select("room", "t", "item", "c")
+    said = inside.where(F.col("kind") == SAID).select("room", "t", "item", "c")
+    utr = sliding_distinct(words, spine, settings.utr_radius, "w_n", "w_distinct")
+    repeats = sliding_distinct(said, spine, settings.radius, "m_n", "m_distinct")
+    early = inside.where((F.col("kind") == TOKEN) & (F.col("early") > 0)).select("room", "t", "item", F.col("early").alias("c"))
+    entropy = text.entropy_of(early, settings.radius, settings.entropy_top)
+    # ── all of a tick beside each other, and windows over ticks ──
+    wide = spine
+    for part in (tick, users, utr, repeats, entropy):
+        wide = wide.join(part, ["room", "t"], "left")
+    around = Window.partitionBy("room").orderBy("t").rangeBetween(-settings.radius, settings.radius)
+    total = F.sum(F.coalesce("c", F.lit(0))).over(around)
+    rate = lambda i: F.coalesce(F.try_divide(F.sum(F.coalesce(F.get("hits", F.lit(i)), F.lit(0))).over(around), total), F.lit(0.0))
+    kinds = list(settings.keywords)
+    wide = wide.select(
+        "room", "t", F.coalesce("c", F.lit(0)).alias("dmDensity"), F.coalesce("dmEntropy", F.lit(0.0)).alias("dmEntropy"), F.coalesce(F.try_divide("mood", "c"), F.lit(0.0)).alias("dmSentiment"), F.coalesce("users", F.lit(0)).alias("dmUniqueUsers"),
+        F.when(F.coalesce("w_n", F.lit(0)) == 0, 1.0).otherwise(F.col("w_distinct") / F.col("w_n")).alias("dmUtr"),
+        F.when(F.coalesce("m_n", F.lit(0)) == 0, 0.0).otherwise((F.col("m_n") - F.col("m_distinct")) / F.col("m_n")).alias("dmRepeatRate"),
+        *[rate(i).alias(name) for i, name in enumerate(("dmQuestionRate", "dmExclamationRate", "dmEmojiRate", *map(signal_name, kinds)))],
+    )
+    # ── what the transcripts say ──
+    spoken = text.covered_ticks(asr, n, False).groupBy("room", "t").agg(*[F.max(text.holds_any(F.lower("text"), [p.lower() for p in words]).cast("double")).alias(f"spoken{i}") for i, words in enumerate(settings.keywords.values())])
+    wide = settle(wide.join(spoken, ["room", "t"], "left")) if settings.calibrate else wide.join(spoken, ["room", "t"], "left")
+    if settings.calibrate:
+        limits = text.diversity_threshold(wide.select("room", "t", "dmUtr"), wide.where("dmDensity > 0").select("room", "t", "dmDensity"), settings.utr_threshold)
+        wide = wide.join(limits, "room")
+    else:
+        wide = wide.withColumn("threshold", F.lit(settings.utr_threshold))
+    wide = wide.join(text.asr_keyword(asr, spine, list(settings.phrases), n), ["room", "t"]).join(text.speaker_change(asr, spine, n), ["room", "t"])
     if topics is not None:
-        parts.append(text.topic_signal(topics, spine))
-    long = None
-    for part in parts:
-        name = part.columns[-1]
-        rows = part.select("room", "t", F.lit(name).alias("signal"), F.lit(SIGNALS.index(name)).alias("ord"), F.col(name).cast("double").alias("value"))
-        long = rows if long is None else long.unionByName(rows)
-    return long
+        wide = wide.join(text.topic_signal(topics, spine), ["room", "t"])
+    factor = F.when((F.col("dmUtr") > 0) & (F.col("threshold") > 0), F.least(F.lit(1.0), F.col("dmUtr") / F.col("threshold"))).otherwise(1.0)
+    wide = wide.withColumn("dmDensity", F.col("dmDensity").cast("double") * factor)
+    by_time = Window.partitionBy("room").orderBy("t")
+    wide = wide.withColumn("dmAcceleration", F.coalesce(F.lead("dmDensity").over(by_time) - 2 * F.col("dmDensity") + F.lag("dmDensity").over(by_time), F.lit(0.0)))
+    for i, name in enumerate(map(signal_name, kinds)):
+        wide = wide.withColumn(name, F.least(F.lit(1.0), 0.6 * F.col(name) + 0.4 * F.coalesce(f"spoken{i}", F.lit(0.0))))
+    names = [c for c in SIGNALS if c in wide.columns]
+    long = F.array(*[F.struct(F.lit(name).alias("signal"), F.lit(SIGNALS.index(name)).alias("ord"), F.col(name).cast("double").alias("value")) for name in names])
+    return wide.select("room", "t", F.inline(long))
+
+
+def counted(known: DataFrame) -> DataFrame:
+    """(room, messages, skipped) of stored facts()."""
+    message, outside = F.col("kind") == MESSAGE, F.col("kind") == OUTSIDE
+    return known.where(message | outside).groupBy("room").agg(F.sum("c").alias("messages"), F.sum(F.when(outside, F.col("c")).otherwise(0)).alias("skipped"))
 
 
 def stats(chat: DataFrame, signals: DataFrame, transcripts: DataFrame, n: int, settings: TextSettings = TextSettings()) -> DataFrame:

@@ -6,7 +6,6 @@ an addition of this engine: a stored recording has none.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -62,31 +61,6 @@ def stamped(chat: DataFrame, started: Column | None = None) -> DataFrame:
     return out if started is None else out.withColumn("recv_sec", F.round((F.unix_micros("received") - F.unix_micros(started)) / 1e6, 3))
 
 
-def token_diversity(chat: DataFrame, radius: int = 30) -> DataFrame:
-    """(room, t, distinct, n): different tokens and tokens of the last 2 * radius + 1 ticks, for each tick of a batch, from counts kept per room.
-
-    State is the tokens of the ticks in the window before the latest tick; older ticks that arrive late count for themselves and
-    for later ticks of their batch, but a tick is reported in the batches that have rows of it only.
-    """
-    span = 2 * radius + 1
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat([*batches])
-        for t, text in zip(rows["t"], rows["content"], strict=True):
-            held += [(int(t), token) for token in (text or "").split()]
-        out = []
-        for t in sorted(set(rows["t"])):
-            inside = [token for at, token in held if t - span < at <= t]
-            out.append((key[0], int(t), len(set(inside)), len(inside)))
-        last = max([*rows["t"], *(at for at, _ in held)])
-        held = [(at, token) for at, token in held if at > last - span]
-        state.update(([a for a, _ in held], [b for _, b in held]))
-        yield pd.DataFrame(out, columns=["room", "t", "distinct", "n"])
-
-    return chat.groupBy("room").applyInPandasWithState(run, f"room {room_type(chat)}, t int, distinct long, n long", "ticks array<int>, tokens array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
 def recent(chat: DataFrame, keep: int = 1000) -> DataFrame:
     """(room, held, newest): how many of the last `keep` messages of a room (t, line_no, content) are held after each batch, and the newest; older ones leave the state."""
 
@@ -135,11 +109,6 @@ def supervised(start: Callable[[], StreamingQuery], retries: int = 5, delay: flo
             sleep(min(longest, delay * 2 ** (failed - 1)))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the query's watermark has dropped so far, by its progress reports."""
-    return sum(int(s.get("numRowsDroppedByWatermark") or 0) for p in query.recentProgress for s in (p.get("stateOperators") if isinstance(p, dict) else json.loads(p.json)["stateOperators"]))
-
-
 def append_json(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends rows as JSON lines; the checkpoint makes sure that none is lost at a stop."""
     return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
