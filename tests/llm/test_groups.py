@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidepeak.llm import balltree, divergence, overlap
+from tidepeak.llm import balltree, divergence, overlap, resemblance
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -208,13 +209,25 @@ def test_join_of_empty_tables_and_long_texts(spark):
     assert joined(spark, rows) == [(1, 1, 1), (2, 59_997, 2), (3, 59_996, 2)]
 
 
-def test_divide_skip_equals_counting():
+def test_divide_skip_equals_counting(monkeypatch):
     rng = random.Random(1)
     for _ in range(400):
         lists = [sorted(rng.sample(range(40), rng.choice([1, 2, 5, 30]))) for _ in range(rng.randint(0, 12))]
         least = rng.randint(1, 8)
         count = Counter(x for one in lists for x in one)
-        assert dict(overlap.occurrences(lists, least)) == {x: n for x, n in count.items() if n >= least}
+        for heap in (0, 10**6):  # by sorting, and by a heap
+            monkeypatch.setattr(overlap, "HEAP", heap)
+            places, found = overlap.occurrences([np.array(x) for x in lists], least)
+            assert dict(zip(places.tolist(), found.tolist(), strict=True)) == {x: n for x, n in count.items() if n >= least}
+
+
+def test_shingles_equal_plain_ones():
+    texts = ["a b c d e f", "A  b\tc d", "", " \n", None, "x", "É é\x0b\x0cz w v u", "a b c d e a b c d e", "\u00a0 q\x1cr"]
+    words = overlap.words_of(pa.array(texts, pa.string()))
+    for t, w, found in zip(texts, words.to_pylist(), overlap.shingle_sets(words), strict=True):
+        plain = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        assert [x.encode() for x in w if x] == plain
+        assert found.tolist() == resemblance.shingle_hashes(plain, 5).tolist()
 
 
 def test_packed_arrays():
