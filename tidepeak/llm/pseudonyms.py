@@ -39,12 +39,19 @@ PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|\(?\b[0-9]{3}\)?[ .-][0-9]
 IPV4 = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 #: Eight groups, or a global, local or link prefix and a gap.
 IPV6 = r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|\b(?:[23][0-9A-Fa-f]{3}|[fF][cdefCDEF][0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}"
+#: A date may be followed by a time, as in 2024-02-29T10:00:00Z.
 DATE = r"\b[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|\b[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"\b[0-9]{4}[ .-][0-9]{4}[ .-][0-9]{4}[ .-][0-9]{4}|\b3[0-9]{3}[ .-][0-9]{6}[ .-][0-9]{4,5}|\b[0-9]{13,19}"
-IBAN = r"\b[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?"
+#: Countries by the length of their IBANs.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A country's IBANs end where their length is reached, whatever word follows.
+IBAN = "|".join(rf"\b(?:{'|'.join(countries.split())})[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{length - 4}}}" for length, countries in IBAN_COUNTRIES.items())
 #: One pattern for all; the kind of a match is told by matching it again as a whole.
-ANY = f"{EMAIL}|{SECRET}|(?:{ACCESS_KEY})\\b|{IBAN}\\b|(?:{IPV6})\\b|(?:{CARD})\\b|(?:{SSN})\\b|(?:{DATE})\\b|(?:{IPV4})\\b|(?:{PHONE})\\b"
+ANY = f"{EMAIL}|{SECRET}|(?:{ACCESS_KEY})\\b|(?:{IBAN})\\b|(?:{IPV6})\\b|(?:{CARD})\\b|(?:{SSN})\\b|(?:{DATE})(?:\\b|(?=T[0-9]{{2}}:))|(?:{IPV4})\\b|(?:{PHONE})\\b"
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -145,7 +152,7 @@ def pseudonym(m: str, key: str) -> str:
     char = f"substr({m}, i, 1)"
     ip6 = let("v", permuted_characters(f"lower(replace({m}, ':', ''))", key, "ip6"), f"array_join(transform(sequence(1, length({m})), i -> CASE WHEN {char} = ':' THEN ':' ELSE substr(v, length(replace(substr({m}, 1, i), ':', '')), 1) END), '')")
     hidden = lambda v: f"sha2(concat({key}, '|', {v}), 256)"
-    email = f"concat('u', substr({hidden(f'lower({m})')}, 1, 12), '@mail.invalid')"
+    email = f"concat('u', substr({hidden(f'lower({m})')}, 1, 20), '@mail.invalid')"
     access = let("k", f"length(regexp_extract({m}, '^(AKIA|ASIA|gh[pousr]_)', 1))", f"concat(substr({m}, 1, k), upper(substr({hidden(m)}, 1, length({m}) - k)))")
     value = f"regexp_extract({m}, r'[=:] ?[\"\\x27]?([^\"\\x27]+)[\"\\x27]?$', 1)"
     secret = let("q", value, f"concat(substr({m}, 1, length({m}) - length(q) - CASE WHEN {m} RLIKE r'[\"\\x27]$' THEN 1 ELSE 0 END), substr(repeat({hidden('q')}, 1 + length(q) DIV 64), 1, length(q)), CASE WHEN {m} RLIKE r'[\"\\x27]$' THEN right({m}, 1) ELSE '' END)")
