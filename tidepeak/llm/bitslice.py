@@ -9,10 +9,12 @@ rest of a score is bounded by the norms of query and rests (Cauchy-Schwarz), so
 still be among the k best is known; those rows are resolved by the exact integer product.
 
 Rows and queries are cut into blocks of bounded size, and each pair of blocks is one group; the k
-best of a query in each block meet in a window over k rows a block.
+best of a query in each block meet in a window over k rows a block. A row is copied once for QUERIES queries.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do those whose
-quantised components have a sum of squares of LARGEST or more (scores of all others fit a long); vectors
+Vectors with a squared length of LARGEST or more are wide: their products may not fit 64 bits on the way, so they
+stay out of the slices and are multiplied as Python's integers. A score among the k best that does not fit a long raises.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors
 of different lengths are compared as if padded by zeros; ties go to smaller ids; fewer candidates than k
 give all. Rows that share an id are rows of their own: each is asked if its id is one to be asked, and
 each is a candidate of all rows but itself. Empty tables give no rows; other columns do not take part.
@@ -33,15 +35,16 @@ STEP = 4
 #: Inner products of vectors below this squared length are below it, too.
 LARGEST = 2.0**62
 #: Rows and queries of a block.
-ROWS, QUERIES = 8192, 2048
+ROWS, QUERIES = 32_768, 65_536
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v = floor(scale * x) of every vector that is whole."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
+    """vec_id, v = floor(scale * x) as whole doubles, and wide, of every vector that is whole."""
+    scaled = lambda c: c.cast("double") * scale
+    v = F.transform("embedding", lambda c: F.rint(scaled(c)) - (F.rint(scaled(c)) > scaled(c)).cast("double"))
     whole = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('infinity'))")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + F.pow(F.floor(c.cast("double") * scale).cast("double"), F.lit(2.0)))
-    return whole.where((squares < LARGEST) & F.forall("embedding", lambda c: F.abs(c) < LARGEST)).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("v"))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    return whole.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).withColumn("wide", ~(squares < LARGEST))
 
 
 def powers(weight: int) -> list[tuple[int, int]]:
@@ -155,13 +158,40 @@ class SlicedBlock:
         return places, self.vectors[places] @ query
 
 
-def as_matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def as_matrix(lists: list[list[float]], width: int) -> np.ndarray:
     out = np.zeros((len(lists), width), np.int64)
-    for i, v in enumerate(lists.to_pylist()):
+    for i, v in enumerate(lists):
         out[i, : len(v)] = v
     return out
 
 
+def exact_product(a: list[float], b: list[float]) -> int:
+    return sum(int(x) * int(y) for x, y in zip(a, b, strict=False))
+
+
+class Block:
+    """Rows (id, number, vector, wide) of a block: sliced ones, and wide ones apart."""
+
+    def __init__(self, ids: list[int], rows: list[int], vectors: list[list[float]], wide: list[bool], width: int) -> None:
+        order = sorted(range(len(ids)), key=lambda i: wide[i])
+        self.ids, self.rows = np.array([ids[i] for i in order], np.int64), np.array([rows[i] for i in order], np.int64)
+        self.vectors, self.narrow = [vectors[i] for i in order], len(ids) - sum(wide)
+        self.sliced = SlicedBlock(as_matrix(self.vectors[: self.narrow], width))
+
+    def best(self, row: int, query: list[float], wide: bool, k: int, width: int) -> list[tuple[int, int]]:
+        """(id, score) of the k best rows other than `row`."""
+        exact = range(len(self.ids)) if wide else range(self.narrow, len(self.ids))
+        found = [(-exact_product(query, self.vectors[i]), int(self.ids[i])) for i in exact if self.rows[i] != row]
+        if not wide:
+            own = np.zeros(len(self.sliced.valid) * 8, np.uint8)
+            packed = np.packbits(self.rows[: self.narrow] == row, bitorder="little")
+            own[: len(packed)] = packed
+            places, scores = self.sliced.top(as_matrix([query], width)[0], k, own.view(np.uint64))
+            some = np.lexsort((self.ids[places], -scores))[:k]
+            found += [(-int(scores[i]), int(self.ids[places[i]])) for i in some]
+        return [(vec_id, -score) for score, vec_id in sorted(found)[:k]]
+
+
 def search(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -178,16 +208,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, rows: int = ROWS, qu
     def answer(block: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, int]] = []
         if block.num_rows and asked.num_rows:
-            width = max((len(v) for t in (block, asked) for v in t.column("v").to_pylist()), default=0)
-            ids, uids, held = block.column("vec_id").to_numpy(), block.column("row").to_numpy(), SlicedBlock(as_matrix(block.column("v"), width))
-            names = (asked.column(c).to_pylist() for c in ("row", "vec_id"))
-            for row, query_id, query in zip(*names, as_matrix(asked.column("v"), width), strict=True):
-                own = np.zeros(len(held.valid) * 8, np.uint8)
-                packed = np.packbits(uids == row, bitorder="little")
-                own[: len(packed)] = packed
-                places, scores = held.top(query, k, own.view(np.uint64))
-                best = np.lexsort((ids[places], -scores))[:k]
-                out += [(row, query_id, int(ids[places[b]]), int(scores[b])) for b in best]
+            each = lambda t: [t.column(c).to_pylist() for c in ("vec_id", "row", "v", "wide")]
+            rows, queries = each(block), each(asked)
+            width = max(map(len, [*rows[2], *queries[2]]), default=0)
+            held = Block(*rows, width)
+            for query_id, row, query, wide in zip(*queries, strict=True):
+                out += [(row, query_id, vec_id, score) for vec_id, score in held.best(row, query, wide, k, width)]
         return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["row", "query_id", "vec_id", "score"])
 
     near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(answer, "row bigint, query_id bigint, vec_id bigint, score bigint")
