@@ -4,7 +4,8 @@ All of it is DataFrame expressions. Distinct item windows are counted before use
 SET_LIMIT of them go into the plan as a hash set that every task holds, so documents are
 scanned once and nothing is shuffled. More are joined by their 64-bit hashes alone: up to HASH_LIMIT
 of those (8 bytes each) are broadcast, and still more are joined by shuffling hashes of document windows, salted
-against common passages. What the hashes find is verified by its words.
+against common passages. Of rows with a likely hit the numbers (8 bytes each) are broadcast, up to ROW_LIMIT of them, so that
+the texts of all other rows stay where they are. What the hashes find is verified by its words.
 
 Defined cases: null text has no words; null items and items without words have no windows; a null
 item_id is not listed; repeated rows are treated one by one; empty tables work; texts of any length are
@@ -23,6 +24,8 @@ WINDOW = 10
 SET_LIMIT = 50_000
 #: Hashes of item windows that may be broadcast, and parts of each hash that are joined by a shuffle beyond that.
 HASH_LIMIT, SALTS = 8_000_000, 16
+#: Numbers of rows with likely hits that may be broadcast.
+ROW_LIMIT = 4_000_000
 #: A document with more than this share of its words hit goes as a whole.
 DROP_SHARE = 0.5
 
@@ -90,18 +93,31 @@ def with_hits_by_hash(docs: DataFrame, known: DataFrame, to: str, broadcast: boo
         likely = spot.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["len", "h", "salt"])
     # a document has fewer places than words and lengths
     places = likely.groupBy("row").agg(F.collect_list(F.struct("at", "len")).alias("places"))
-    texts = rows.select(F.col(row).alias("row"), F.expr(words_sql("text")).alias("w")).join(places, "row")
+    places = materialise(places, "decontam-places")
+    some, others = apart(rows, row, places)
+    texts = some.select(F.col(row).alias("row"), F.expr(words_sql("text")).alias("w")).join(places, "row")
     hits = materialise(texts.selectExpr("row", "explode(transform(places, x -> named_struct('at', x.at, 'len', x.len, 'gram', array_join(slice(w, x.at, x.len), ' ')))) AS s").select("row", "s.*"), "decontam-hits")
     # windows that only share a hash with an item's: hardly ever any
     false = hits.select("len", "gram").distinct().join(known.select("len", "gram"), ["len", "gram"], "left_anti")
     hits = hits.join(false, ["len", "gram"], "left_anti") if not false.isEmpty() else hits
     of_row = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "len"))).alias("hits"), F.collect_set("gram").alias("grams"))
     found = of_row.select(F.col("row").alias(words), F.struct("hits", "grams").alias(to))
-    out = rows.drop(to).join(found, rows[row] == found[words], "left")
+    out = some.drop(to).join(found, some[row] == found[words], "left")
+    if others is not None:
+        out = out.unionByName(others.drop(to).withColumns({words: F.lit(None).cast("bigint"), to: F.lit(None).cast(found.schema[to].dataType)}))
     filled = f"named_struct('n_words', size({words_sql('text')}), 'hits', coalesce(`{to}`.hits, {NO_HITS}), 'grams', coalesce(`{to}`.grams, CAST(array() AS array<string>)))"
     return out.withColumn(to, F.expr(filled)).drop(row, words)
 
 
+def apart(rows: DataFrame, row: str, places: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with places (of row numbers) and the others, which no shuffle moves; all rows and none if the numbers are too many to be broadcast."""
+    numbers = places.select(F.col("row").alias("_row"))
+    if numbers.count() > (ROW_LIMIT if limit is None else limit):
+        return rows, None
+    numbers = F.broadcast(numbers)
+    return (rows.join(numbers, rows[row] == numbers["_row"], how) for how in ("left_semi", "left_anti"))
+
+
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, set_limit: int = SET_LIMIT, hash_limit: int = HASH_LIMIT) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
     windows = item_windows(items, window)
