@@ -1,6 +1,9 @@
 """Streams with state of their own, ledgers, rotation, long correlations."""
 
+import json
 import random
+import re
+import threading
 
 import numpy as np
 import pytest
@@ -8,8 +11,9 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidepeak.functions.windows import sliding_distinct
-from tidepeak.operators import evaluate, normalize, rotation, text, timeline
+from tidepeak.operators import evaluate, normalize, report, rotation, text, timeline
 from tidepeak.plans import text_signals
+from tidepeak.sources import cases, pages, store
 from tidepeak.streaming import diversity, ledger, live
 
 
@@ -183,3 +187,134 @@ def brute_matching(clips, notes, room, k, least):
         return False
 
     return sum(free(c.id, set()) for c in best)
+
+
+# ── walks, folders, manifests ──
+def plain_urls(value, out, alias):
+    if isinstance(value, dict):
+        for key, item in value.items():
+            if isinstance(item, str) and ".flv" in item:
+                own = re.search(r"_(or4|hd|sd|ld|md)\.flv", item, re.I)
+                quality = alias.get(key.upper()) or (own and own[1].lower()) or (key.lower() if key.lower() in ("or4", "hd", "sd", "ld", "md") else None)
+                if quality:
+                    out.setdefault(quality, item.replace("&amp;", "&"))
+            else:
+                plain_urls(item, out, alias)
+    elif isinstance(value, list):
+        for item in value:
+            plain_urls(item, out, alias)
+    return out
+
+
+def test_payload_urls_at_any_depth(spark):
+    rng = random.Random(7)
+
+    def made(depth, n):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([1, None, "text", f"https://h/{n}/{rng.random()}_{rng.choice(['hd', 'SD', 'x'])}.flv?a=1&amp;b=/2", f"https://h/{rng.random()}.flv"])
+        if rng.random() < 0.4:
+            return [made(depth - 1, n) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(["FULL_HD1", "hd1", "sd", "MD", "b", "a", "z", "other"]) + ("" if rng.random() < 0.5 else str(rng.randint(0, 9))): made(depth - 1, n) for _ in range(rng.randint(0, 4))}
+
+    docs = [(i, json.dumps(made(rng.randint(0, 7), i))) for i in range(150)] + [(200, None), (201, "{broken"), (202, '{"hd":"http:\\/\\/h\\/x.flv?a\\u0026b"}')]
+    got = {}
+    for r in pages.payload_urls(spark.createDataFrame(docs, "id long, doc string")).collect():
+        got.setdefault(r.id, {})[r.quality] = r.url
+    expected = {i: u for i, d in docs if d and d != "{broken" and (u := plain_urls(json.loads(d), {}, pages.QUALITIES))}
+    assert got == expected and len(expected) > 20
+    assert pages.payload_values(spark.createDataFrame([], "id long, doc string")).count() == 0
+
+
+def test_cases_of_folders(spark, tmp_path):
+    feature = '{"features":{"rms":[1,2]}}'
+    files = {
+        "deep/a/time_table.json": '{"roomId":"r1","duration":60,"clips":[{"start":1,"end":2}]}', "deep/a/annotations.json": '{"profile":"game","annotations":[{"start":1,"end":2}]}', "deep/a/audio_features.json": feature, "deep/a/ignored.json": "{}",
+        "b/time_table.json": "[1]", "b/annotations.json": "[]", "c/time_table.json": "{}", "d/time_table.json": "{}", "d/annotations.json": "[]", "e/annotations.json": "[]", "f/time_table.json": "{}", "f/annotations.json": '[{"start":2,"end":3}]', "f/text_features.json": feature,
+    }
+    for name, text_ in files.items():
+        store.write_document(spark, f"file://{tmp_path}/{name}", text_)
+    found = cases.cases(cases.read_files(spark, f"file://{tmp_path}"))
+    rows = {r.label: r for r in found.collect()}
+    assert {k: r.problem for k, r in rows.items()} == {"a": None, "b": "invalid time table", "c": "no annotations", "d": "no features", "e": "no time table", "f": None}
+    a = rows["a"]
+    assert (a.room_id, a.profile, a.duration, a.sensitivity, a.missing) == ("r1", "game", 60.0, 2.5, ["text_features.json", "visual_features.json"]) and rows["f"].profile == "default"
+    assert sorted(map(tuple, cases.signals(found).collect())) == [("a", "audio", "rms", 0, 1.0), ("a", "audio", "rms", 1, 2.0), ("f", "text", "rms", 0, 1.0), ("f", "text", "rms", 1, 2.0)]
+    assert [(r.room, r.id) for r in cases.clips(found).collect()] == [("a", 1)] and cases.annotations(found)[0].count() == 2
+
+
+def made_rows(spark, names, digest="d"):
+    return spark.createDataFrame([(n, "s", "x", "p", {"f": "1"}, digest) for n in names], "artifact string, step string, settings string, params string, sources map<string,string>, digest string")
+
+
+def test_two_writers_and_a_reader_of_one_manifest(spark, tmp_path):
+    root, failed, seen = f"file://{tmp_path}/m", [], []
+    done = threading.Event()
+
+    def write(name):
+        try:
+            kept = store.ManifestStore(spark, root)
+            for i in range(4):
+                kept.record(made_rows(spark, [f"{name}{i}"]))
+        except Exception as e:
+            failed.append(e)
+
+    def read():
+        try:
+            kept = store.ManifestStore(spark, root)
+            while not done.is_set():
+                seen.append(kept.read().count())
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in "ab"]
+    reader = threading.Thread(target=read)
+    for t in (*threads, reader):
+        t.start()
+    for t in threads:
+        t.join(240)
+    done.set()
+    reader.join(60)
+    kept = store.ManifestStore(spark, root)
+    assert not failed and sorted(r.artifact for r in kept.read().collect()) == sorted(f"{n}{i}" for n in "ab" for i in range(4))
+    assert kept.version() == 8 and seen == sorted(seen) and kept.read(1).count() == 1
+    left = [n for n in kept.files.names(root) if n.startswith("data-")]
+    assert len(left) == 8 and not [n for n in kept.files.names(f"{root}/versions") if n.endswith(".tmp")]
+
+
+def test_invalidated_and_missed_artifacts(spark, tmp_path):
+    kept = store.ManifestStore(spark, f"file://{tmp_path}/m")
+    assert kept.version() == 0 and kept.read().count() == 0
+    rows = made_rows(spark, "abc")
+    kept.record(rows)
+    kept.invalidate(made_rows(spark, "b"))
+    decided = kept.reuse(rows)
+    assert {r.artifact: r.reason for r in decided.collect()} == {"a": "cache hit", "b": "metadata missing", "c": "cache hit"}
+    missed = store.mark_miss(decided, spark.createDataFrame([("c", "file gone")], "artifact string, reason string"))
+    assert {r.artifact: (r.hit, r.reason) for r in missed.collect()} == {"a": (True, "cache hit"), "b": (False, "metadata missing"), "c": (False, "file gone")}
+    assert tuple(store.stats(missed, kept.read()).first()) == (1, 2, 2)
+
+
+def test_a_document_is_whole_at_any_time(spark, tmp_path):
+    path, failed = f"file://{tmp_path}/d/doc.json", []
+    store.write_document(spark, path, "x" * 10)
+
+    def write():
+        for i in range(60):
+            store.write_document(spark, path, str(i % 10) * 200_000)
+
+    thread = threading.Thread(target=write)
+    thread.start()
+    while thread.is_alive():
+        text_ = store.read_document(spark, path)
+        if len(set(text_)) != 1 or len(text_) not in (10, 200_000):
+            failed.append(len(text_))
+    assert not failed and store.Files(spark, path).names(f"file://{tmp_path}/d") in (["doc.json"], [".doc.json.crc", "doc.json"])
+
+
+def test_baseline_of_rooms_and_of_all(spark):
+    clips = spark.createDataFrame([(1, 0.0, 10.0), (1, 5.0, 9.0), (2, 0.0, 1.0)], "room long, start double, end double")
+    dropped = spark.createDataFrame([(1, "overlap"), (1, None), (2, "overlap")], "room long, reason string")
+    signals = spark.createDataFrame([(1, "rms", 9), (1, "rms", 3), (2, "rms", 4)], "room long, signal string, t int")
+    out = {(r.level, r.room, r.kind, r.name): (r.n, r.least, r.mean, r.most) for r in report.baseline(clips, dropped, dropped.limit(0), signals, spark.createDataFrame([(1, "pad")], "room long, how string")).collect()}
+    assert out["all", None, "clip", None] == (3, 1.0, 5.0, 10.0) and out["name", 1, "dropped", "unknown"][0] == 1 and out["name of all", None, "dropped", "overlap"][0] == 2
+    assert out["room", 1, "dropped", None][0] == 2 and out["name of all", None, "signal", "rms"] == (2, 5.0, 7.5, 10.0) and out["all", None, "aligned", None][0] == 1

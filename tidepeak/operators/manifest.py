@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VERSION, GENERATOR = "1.0", "sprint5"
+VERSION, GENERATOR = "1.0", "tidepeak-3"
 STATUSES = ("pending", "running", "ok", "empty", "failed", "skipped", "invalid")
 
 

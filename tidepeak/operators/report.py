@@ -176,3 +176,26 @@ def signal_order(stats: DataFrame, top: int = 5, limit: int = 10) -> DataFrame:
     shown = chosen.withColumn("place", place).where(F.col("place") <= limit)
     most = F.max("contribution").over(Window.partitionBy("room"))
     return shown.withColumn("share", F.greatest(F.lit(2.0), F.col("contribution") / F.when(most > 0, most).otherwise(1.0) * 100)).select("room", "place", "signal", "share")
+
+
+def baseline(clips: DataFrame, dropped: DataFrame, adjusted: DataFrame, signals: DataFrame, alignment: DataFrame) -> DataFrame:
+    """(level, room, kind, name, n, least, mean, most): what came out of every room, and of all, in one grouping of all facts.
+
+    Facts are durations of clips (room, start, end), reasons of dropped and adjusted ones (room, reason), lengths of signals (room, signal, t) and changes by
+    alignment (room, how). level says what a row sums up: name (of a room), room, name of all, or all; room and name are null where they are summed up.
+    """
+    fact = lambda rows, kind, name, value: rows.select("room", F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    lengths = signals.groupBy("room", "signal").agg((F.max("t") + 1).alias("ticks"))
+    facts = fact(clips, "clip", F.lit("duration"), F.col("end") - F.col("start"))
+    reason = F.coalesce("reason", F.lit("unknown"))
+    for more in (fact(dropped, "dropped", reason, none), fact(adjusted, "adjusted", reason, none), fact(lengths, "signal", F.col("signal"), F.col("ticks")), fact(alignment, "aligned", F.col("how"), none)):
+        facts = facts.unionByName(more)
+    sets = [["room", "kind", "name"], ["room", "kind"], ["kind", "name"], ["kind"]]
+    # names of rows that sum up are null, so a fact has none that is null itself
+    facts = facts.fillna("", ["name"])
+    out = facts.groupingSets([[F.col(c) for c in some] for some in sets], "room", "kind", "name").agg(
+        F.grouping("room").alias("all_rooms"), F.grouping("name").alias("all_names"), F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.round(F.avg("value"), 3).alias("mean"), F.max("value").alias("most")
+    )
+    level = F.when(F.col("all_rooms") + F.col("all_names") == 2, "all").when(F.col("all_rooms") == 1, "name of all").when(F.col("all_names") == 1, "room").otherwise("name")
+    return out.select(level.alias("level"), "room", "kind", "name", "n", "least", "mean", "most")

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepeak.functions.settle import shared_path
-from tidepeak.operators import evaluate, rotation
+from tidepeak.operators import evaluate, report, rotation, timeline
 from tidepeak.plans import adapters as A
 from tidepeak.plans import text_signals
-from tidepeak.plans.catalogue import EV, query, r6
-from tidepeak.plans.queries_intervals import EVAL, judged
+from tidepeak.plans.catalogue import SIG, query, r6
+from tidepeak.plans.queries_intervals import EVAL, SESSIONS, judged
 from tidepeak.plans.queries_text import COVER, HIT, PHRASES, TALK
+from tidepeak.sources import cases as case_source
+from tidepeak.sources import pages as page_source
+from tidepeak.sources import store
 from tidepeak.streaming import diversity, ledger, live
 
 # ── all text signals from one scan ──
@@ -169,3 +172,84 @@ def file_rotation(spark: SparkSession, sf: str) -> DataFrame:
     """Events as chunks of files that end after 36 hours or 60 000 bytes."""
     rows = A.table(spark, sf, "events").select((F.col("user_id") % 5).alias("room"), F.col("ts").cast("timestamp").alias("ts"), (100 + F.col("event_id") % 900).alias("bytes"))
     return rotation.files(rows, 36 * 3600.0, 60_000).select("room", F.col("file").cast("int").alias("file"), "chunks", "bytes")
+
+
+# ── payloads of any depth ──
+@query("""WITH k AS (SELECT c_custkey AS id FROM customer), u AS (
+  SELECT id, 'or4' AS quality, 'http://h.example/' || id || '_x.flv' AS url FROM k UNION ALL SELECT id, 'hd', 'http://h.example/' || id || '_hd.flv?a=1&b=2' FROM k
+  UNION ALL SELECT id, 'sd', 'http://h.example/' || id || '.flv' FROM k WHERE id % 2 = 0 UNION ALL SELECT id, 'ld', 'http://h.example/ld' || id || '_sd.flv' FROM k WHERE id % 2 = 0)
+SELECT * FROM u""")
+def payload_stream_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Stream addresses of nested API documents, one for each customer; every third has a later address of the same quality under an earlier key."""
+    i = F.col("c_custkey").cast("string")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    first = join('{"z":{"rooms":[{"stream":{"flv":{"FULL_HD1":"http:\\/\\/h.example\\/', i, '_x.flv","HD1":"http://h.example/', i, '_hd.flv?a=1\\u0026amp;b=2"}}}')
+    deep = F.when(F.col("c_custkey") % 2 == 0, join(',{"more":[[{"deep":{"sd":"http://h.example/', i, '.flv"}}],{"SD2":"http://h.example/ld', i, '_sd.flv","note":"no address"}]}')).otherwise("")
+    late = F.when(F.col("c_custkey") % 3 == 0, join(',"a":{"HD1":"http://h.example/late_hd.flv","list":["http://h.example/own_md.flv"]}')).otherwise("")
+    docs = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(first, deep, F.lit("]}"), late, F.lit("}")).alias("doc"))
+    return page_source.payload_urls(docs)
+
+
+# ── cases in folders ──
+CASES = """WITH r AS (SELECT user_id % 5 AS room, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY ALL)
+SELECT 'case' || room AS label, CASE WHEN room = 4 THEN 'a4' ELSE 't' || room END AS room_id, CASE room WHEN 1 THEN 'game' WHEN 2 THEN 'odd' ELSE 'default' END AS profile, CASE WHEN room = 4 THEN 7 ELSE n END::DOUBLE AS duration, CASE WHEN room = 4 THEN 0 ELSE 2 END AS clips,
+  CASE room WHEN 2 THEN 'unknown profile' WHEN 3 THEN 'no features' WHEN 4 THEN 'no time table' END AS problem, CASE WHEN room = 3 THEN 'audio_features.json,visual_features.json' ELSE 'visual_features.json' END AS missing,
+  CASE WHEN room < 2 THEN 1 ELSE 0 END AS notes, CASE WHEN room < 2 THEN n + clicks END AS signal_sum FROM r"""
+
+
+@query(CASES)
+def case_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases of the five rooms of events, written as documents into a folder each and read back in one scan; the unusable ones with what is wrong."""
+    root = shared_path(spark, "cases")
+    per_room = A.events(spark, sf).groupBy("room").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "click").alias("clicks"))
+    for r in per_room.collect():  # the rooms that adapters make of events: five
+        docs = {
+            case_source.TABLE: f'{{"roomId":"t{r.room}","duration":{r.n},"profile":"talent","clips":[{{"start":1,"end":2,"score":0.5}},{{"id":9,"start":3,"end":4}}]}}',
+            case_source.NOTES: f'{{"roomId":"a{r.room}","duration":7,"profile":"{ {1: "game", 2: "odd"}.get(r.room, "default") }","annotations":[{{"start":1,"end":2}},{{"start":5,"end":3}}]}}',
+            case_source.FEATURES["audio"]: f'{{"features":{{"rms":[{r.n},{r.clicks}],"zcr":[]}}}}', case_source.FEATURES["text"]: '{"features":null}',
+        }
+        gone = {3: case_source.FEATURES["audio"], 4: case_source.TABLE}.get(r.room)
+        for name in docs.keys() - {gone}:
+            store.write_document(spark, f"{root}/more/case{r.room}/{name}", docs[name])
+    found = case_source.cases(case_source.read_files(spark, root))
+    good, _ = case_source.annotations(found)
+    notes = good.groupBy(F.col("room").alias("label")).agg(F.count(F.lit(1)).alias("notes"))
+    sums = case_source.signals(found).groupBy(F.col("room").alias("label")).agg(F.sum("value").cast("long").alias("signal_sum"))
+    rows = found.select("label", "room_id", "profile", "duration", F.size("clips").alias("clips"), "problem", F.array_join("missing", ",").alias("missing"))
+    return rows.join(notes, "label", "left").join(sums, "label", "left").withColumn("notes", F.coalesce("notes", F.lit(0)).cast("int"))
+
+
+# ── manifests ──
+@query("""WITH p AS (SELECT s_suppkey AS k FROM supplier), d AS (SELECT k, CASE WHEN k % 7 = 0 AND k % 2 = 1 THEN 'metadata missing' WHEN k % 5 = 0 AND k % 2 = 1 THEN 'artifact modified' WHEN k % 11 = 0 THEN 'parameters changed' ELSE 'cache hit' END AS reason FROM p),
+m AS (SELECT k, CASE WHEN k % 13 = 0 THEN 'checked by hand' ELSE reason END AS reason FROM d) SELECT 's' || k AS artifact, reason = 'cache hit' AS hit, reason FROM m""")
+def manifest_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as artifacts in a versioned manifest: recorded, partly invalidated, partly recorded again, then decided on, with misses of the caller's own."""
+    kept = store.ManifestStore(spark, shared_path(spark, "manifest"))
+    key = F.col("s_suppkey")
+    rows = A.table(spark, sf, "supplier").select(
+        key, F.concat(F.lit("s"), key).alias("artifact"), F.lit("score").alias("step"), F.lit("x").alias("settings"), F.lit("p").alias("params"), F.create_map(F.lit("in"), key.cast("string")).alias("sources"), F.lit("d1").alias("digest")
+    )
+    kept.record(rows)
+    kept.invalidate(rows.where("s_suppkey % 7 = 0"))
+    kept.record(rows.where("s_suppkey % 2 = 0"))
+    digest, params = F.when((key % 5 == 0) & (key % 2 == 1), "d2").otherwise("d1"), F.when(key % 11 == 0, "q").otherwise("p")
+    # a changed parameter is told before a changed file
+    params = F.when((key % 5 == 0) & (key % 2 == 1), F.lit("p")).otherwise(params)
+    decided = kept.reuse(rows.withColumns({"digest": digest, "params": params}))
+    own = rows.where("s_suppkey % 13 = 0").select("artifact", F.lit("checked by hand").alias("reason"))
+    return store.mark_miss(decided, own)
+
+
+# ── what came out of every room ──
+@query(SIG + SESSIONS.format(n="c", where="true") + """, x AS (SELECT room % 5 AS room, s, e, k FROM c), f AS (
+  SELECT room, 'clip' AS kind, 'duration' AS name, e - s AS value FROM x UNION ALL SELECT room, 'dropped', CASE WHEN k % 2 = 0 THEN 'overlap' ELSE 'unknown' END, NULL FROM x WHERE k % 3 = 0 UNION ALL SELECT room, 'adjusted', 'trimmed', NULL FROM x WHERE k % 5 = 0
+  UNION ALL SELECT room, 'signal', signal, max(t) + 1 FROM sig WHERE t < 700 GROUP BY room, signal UNION ALL SELECT room, 'aligned', CASE WHEN signal IN ('sceneChange', 'eventLaughter') THEN 'pad' ELSE 'stretch' END, NULL FROM sig GROUP BY room, signal)
+SELECT CASE WHEN grouping(room) + grouping(name) = 2 THEN 'all' WHEN grouping(room) = 1 THEN 'name of all' WHEN grouping(name) = 1 THEN 'room' ELSE 'name' END AS level, room, kind, name, count(*) AS n, round(min(value), 3)::DOUBLE AS least, round(avg(value), 2)::DOUBLE AS mean, round(max(value), 3)::DOUBLE AS most
+FROM f GROUP BY GROUPING SETS ((room, kind, name), (room, kind), (kind, name), (kind))""")
+def room_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    clips = A.intervals_of_users(spark, sf).withColumn("room", F.col("room") % 5)
+    dropped = clips.where("k % 3 = 0").select("room", F.when(F.col("k") % 2 == 0, "overlap").alias("reason"))
+    adjusted = clips.where("k % 5 = 0").select("room", F.lit("trimmed").alias("reason"))
+    short = A.signals(spark, sf).where("t < 700")
+    rows = report.baseline(clips, dropped, adjusted, short, timeline.alignment_report(short, A.HOURS))
+    return rows.select("level", "room", "kind", "name", "n", F.round("least", 3).alias("least"), F.round("mean", 2).alias("mean"), F.round("most", 3).alias("most"))

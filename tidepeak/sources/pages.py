@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from html import unescape
 from json import JSONDecodeError, JSONDecoder
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepeak.functions.settle import settle
+
 SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
 STREAM = r"(https?://[^\s\"'<>]*?pull-flv[^\s\"'<>]*?_(or4|hd|sd|ld|md)\.flv[^\s\"'<>\\]*)"
 #: Quality names that mean another.
@@ -54,15 +57,40 @@ def stream_urls(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "quality").agg(F.min_by("url", F.struct("pos", "at")).alias("url"))
 
 
+def payload_values(payloads: DataFrame) -> DataFrame:
+    """(id, path, key, text): every text of payloads (id, doc) at any depth, and the key that it stands under; texts in lists have the key of none.
+
+    The documents are variants that are opened one level at a time, all of a level at once; documents that are no JSON have no texts.
+    """
+    spark = payloads.sparkSession
+    level = settle(payloads.select("id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json("doc").alias("value")).where("value IS NOT NULL"))
+    found = []
+    while not level.isEmpty():
+        open_ = level.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "name", "inner"))
+        inside = settle(open_.select("id", F.concat("path", F.lit("/"), F.coalesce("name", F.col("pos").cast("string"))).alias("path"), F.col("name").alias("key"), F.col("inner").alias("value")))
+        kind = F.schema_of_variant("value")
+        found.append(inside.where(kind == "STRING").select("id", "path", "key", F.try_variant_get("value", "$", "string").alias("text")))
+        level = inside.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    none = spark.createDataFrame([], "path string, key string, text string")
+    return functools.reduce(DataFrame.unionByName, found) if found else payloads.select("id").where(F.lit(False)).join(none)
+
+
 def payload_urls(payloads: DataFrame) -> DataFrame:
-    """(id, quality, url) of payloads (id, doc): each text with .flv whose key, or whose own name, tells a quality; the first wins."""
-    pairs = payloads.select("id", F.regexp_extract_all("doc", F.lit(r"\"([A-Za-z0-9_]+)\"\s*:\s*\"([^\"]*\.flv[^\"]*)\""), F.lit(1)).alias("k"), F.regexp_extract_all("doc", F.lit(r"\"([A-Za-z0-9_]+)\"\s*:\s*\"([^\"]*\.flv[^\"]*)\""), F.lit(2)).alias("v"))
-    each = pairs.select("id", F.posexplode(F.arrays_zip("k", "v")).alias("pos", "p")).select("id", "pos", F.col("p.k").alias("k"), unescaped(F.col("p.v")).alias("url"))
-    named = F.coalesce(*[F.when(F.upper("k") == a, F.lit(q)) for a, q in QUALITIES.items()])
-    own = F.nullif(F.lower(F.regexp_extract("url", r"(?i)_(or4|hd|sd|ld|md)\.flv", 1)), F.lit(""))
-    key = F.when(F.lower("k").isin("or4", "hd", "sd", "ld", "md"), F.lower("k"))
-    rows = each.withColumn("quality", F.coalesce(named, own, key)).where("quality IS NOT NULL")
-    return rows.groupBy("id", "quality").agg(F.min_by("url", "pos").alias("url"))
+    """(id, quality, url) of payloads (id, doc): each text with .flv under a key at any depth, whose key, or whose own name, tells a quality.
+
+    Of several of a quality the one that stands first in the document wins.
+    """
+    texts = payload_values(payloads).where(F.col("key").isNotNull() & F.col("text").contains(".flv"))
+    named = F.coalesce(*[F.when(F.upper("key") == a, F.lit(q)) for a, q in QUALITIES.items()])
+    own = F.nullif(F.lower(F.regexp_extract("text", r"(?i)_(or4|hd|sd|ld|md)\.flv", 1)), F.lit(""))
+    key = F.when(F.lower("key").isin("or4", "hd", "sd", "ld", "md"), F.lower("key"))
+    rows = texts.withColumn("quality", F.coalesce(named, own, key)).where("quality IS NOT NULL")
+    # a variant keeps its keys sorted: the order is that of the texts in the document, without its escapes
+    plain = F.replace(F.replace("doc", F.lit("\\u0026"), F.lit("&")), F.lit("\\/"), F.lit("/"))
+    placed = rows.join(payloads.select("id", plain.alias("plain")), "id")
+    at = F.expr("locate(text, plain)")
+    first = placed.groupBy("id", "quality").agg(F.min_by("text", F.struct(F.when(at == 0, F.lit(2**31 - 1)).otherwise(at), F.col("path"))).alias("url"))
+    return first.select("id", "quality", F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url"))
 
 
 #: Names before a page's state, and words of the scripts that may hold a room.
