@@ -6,11 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidepeak.llm import balltree, divergence, overlap, resemblance
+from tidepeak.llm import balltree, divergence, overlap
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -212,22 +211,33 @@ def test_join_of_empty_tables_and_long_texts(spark):
 def test_divide_skip_equals_counting(monkeypatch):
     rng = random.Random(1)
     for _ in range(400):
-        lists = [sorted(rng.sample(range(40), rng.choice([1, 2, 5, 30]))) for _ in range(rng.randint(0, 12))]
-        least = rng.randint(1, 8)
-        count = Counter(x for one in lists for x in one)
-        for heap in (0, 10**6):  # by sorting, and by a heap
+        sets = [np.array(sorted(rng.sample(range(30), rng.randint(0, 30))), np.uint64) for _ in range(rng.randint(0, 30))]
+        asked = np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64)
+        index, least = overlap.Index(sets), rng.randint(1, 12)
+        at = np.flatnonzero(np.isin(index.shingles, asked))
+        count = {i: n for i, s in enumerate(sets) if (n := len(set(s.tolist()) & set(asked.tolist()))) >= least}
+        for heap, probes in ((0, 1), (10**6, 10**6)):  # by counting, and by a heap
             monkeypatch.setattr(overlap, "HEAP", heap)
-            places, found = overlap.occurrences([np.array(x) for x in lists], least)
-            assert dict(zip(places.tolist(), found.tolist(), strict=True)) == {x: n for x, n in count.items() if n >= least}
+            monkeypatch.setattr(overlap, "PROBES", probes)
+            places, found = index.occurrences(at, least)
+            assert dict(zip(places.tolist(), found.tolist(), strict=True)) == count
 
 
 def test_shingles_equal_plain_ones():
-    texts = ["a b c d e f", "A  b\tc d", "", " \n", None, "x", "É é\x0b\x0cz w v u", "a b c d e a b c d e", "\u00a0 q\x1cr"]
-    words = overlap.words_of(pa.array(texts, pa.string()))
-    for t, w, found in zip(texts, words.to_pylist(), overlap.shingle_sets(words), strict=True):
-        plain = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        assert [x.encode() for x in w if x] == plain
-        assert found.tolist() == resemblance.shingle_hashes(plain, 5).tolist()
+    texts = ["a b c d e f", "A  b\tc d", "", " \n", None, "x", "É é\x0b\x0cz w v u", "a b c d e a b c d e", "\u00a0 q\x1cr", "a b c d e", "12345678 123456789 " * 3, "y" * 64 + " " + "y" * 65 + " " + "y" * 300 + " c d", "aaaaaaaa b c d e", "aaaaaaaaa b c d e", "z \0 \0\0 q w e"]
+    words = [overlap.words_of(t) for t in texts]
+    plain = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    assert [w.split(b" ") if w else [] for w in words] == plain
+    named = {}
+    for w, found in zip(plain, overlap.shingle_sets(words), strict=True):
+        expected = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        assert len(found) == len(expected) and found.tolist() == sorted(found.tolist())
+        for shingles in expected:
+            named.setdefault(shingles, set()).add(len(expected) == 1 and found.tolist()[0])
+    ones = {s: v for s, v in named.items() if False not in v}
+    assert all(len(v) == 1 for v in ones.values()) and len({min(v) for v in ones.values()}) == len(ones)
+    again = overlap.shingle_sets([w for w in words if w][::-1])[::-1]  # whatever stands beside them
+    assert [x.tolist() for x in again] == [x.tolist() for x in overlap.shingle_sets(words) if len(x)]
 
 
 def test_packed_arrays():
