@@ -92,10 +92,11 @@ RANGES = (
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidepeak.plans import queries_curves, queries_intervals, queries_mechanisms, queries_results, queries_text  # noqa: F401
+    from tidepeak.plans import queries_curves, queries_intervals, queries_mechanisms, queries_results, queries_text, recursive_sql, scorer_sql  # noqa: F401
 
     # greedy choices as recursive queries
     ORACLE["suppress_overlaps"], ORACLE["existing_matches"] = queries_results.OVERLAPS, queries_results.MATCHES
+    ORACLE["anchor_merge"], ORACLE["recall_candidates"] = recursive_sql.ANCHOR_MERGE, recursive_sql.RECALL
 
 
 load()

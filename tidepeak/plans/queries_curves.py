@@ -157,7 +157,8 @@ def anchor_merge(spark: SparkSession, sf: str) -> DataFrame:
     z, w = z_and_weights(spark, sf)
     curve = normalize.recall_curve(z, w)
     settings = TwoStage(min_gap=6)
-    return detect.merge_anchors(detect.anchors(curve, z, w, settings), intervals.sizes(curve), settings)
+    rows = detect.merge_anchors(detect.anchors(curve, z, w, settings), intervals.sizes(curve), settings)
+    return rows.select("room", "t", r6("score").alias("score"), F.array_join("anchors", ",").alias("anchors"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
 
 
 @query(ROBUST + MAXIMA.format(x="curve") + " SELECT room, t, round_even(greatest(0, least(t - 12, 696)), 2)::DOUBLE AS \"start\", round_even(greatest(0, least(t - 12, 696)) + 24, 2)::DOUBLE AS \"end\" FROM peak")

@@ -358,4 +358,5 @@ def two_stage_scorer(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def recall_candidates(spark: SparkSession, sf: str) -> DataFrame:
     z, w = z_and_weights(spark, sf)
-    return detect.recall(normalize.recall_curve(z, w), z, w, 5.0, 24.0, TwoStage(per_hour=150.0, min_gap=6.0, window=12.0))
+    rows = detect.recall(normalize.recall_curve(z, w), z, w, 5.0, 24.0, TwoStage(per_hour=150.0, min_gap=6.0, window=12.0))
+    return rows.select("room", "id", "start", "end", r6("score").alias("score"), F.array_join("sources", ",").alias("sources"))
