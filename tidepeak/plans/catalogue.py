@@ -92,7 +92,7 @@ RANGES = (
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from tidepeak.plans import queries_curves, queries_intervals, queries_mechanisms, queries_results, queries_sources, queries_text, recursive_sql, scorer_sql  # noqa: F401
+    from tidepeak.plans import queries_curves, queries_intervals, queries_mechanisms, queries_results, queries_sources, queries_text, recursive_sql, scorer_sql, two_stage_sql  # noqa: F401
 
     # greedy choices as recursive queries
     ORACLE["suppress_overlaps"], ORACLE["existing_matches"] = queries_results.OVERLAPS, queries_results.MATCHES
