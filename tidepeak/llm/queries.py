@@ -28,42 +28,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to; null is empty; see bpe."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see simhash."""
     return simhash.assign(table(spark, sf_dir, "documents"))
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data replaced, and whether it differs; null stays null; see pseudonyms."""
     return pseudonyms.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from documents that are not held out; see langid."""
     return langid.held_out_report(table(spark, sf_dir, "documents"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of licences in every text; null is empty; see licenses."""
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text, learned from labels that are not held out; see quality."""
     return quality.held_out_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are in a benchmark item's windows; null has none; see decontam."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids are in the files that were written and read back; see tokenbin."""
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, from a cache that starts empty; null is empty; see counts."""
     return counts.count(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op10_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best other vectors of every fiftieth id, by exact integer products; see bitslice."""
     return bitslice.search(table(spark, sf_dir, "embeddings"))
 
 
