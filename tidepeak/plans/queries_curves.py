@@ -26,9 +26,9 @@ def curve_of(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.base_score(*z_and_weights(spark, sf))
 
 
-@query(EWMA + " SELECT room, signal, t, round(round(value, 9), 3) AS value FROM e")
+@query(EWMA + " SELECT room, signal, t, round(value, 6) AS value FROM e")
 def ewma(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.ewma(A.signals(spark, sf)).select("room", "signal", "t", F.round(F.round("value", 9), 3).alias("value"))
+    return normalize.ewma(A.signals(spark, sf)).select("room", "signal", "t", r6("value").alias("value"))
 
 
 @query(SIG + ", n AS (SELECT a.room, a.signal, a.t, any_value(a.value) AS x, avg(b.value) AS m, avg(b.value * b.value) AS q FROM sig a CROSS JOIN (SELECT unnest(range(-30, 31)) AS o) " + NEAR.format(x="sig") + " GROUP BY a.room, a.signal, a.t) SELECT room, signal, t, round(CASE WHEN sqrt(greatest(q - m * m, 0)) > 1e-6 THEN (x - m) / sqrt(greatest(q - m * m, 0)) ELSE 0 END, 5) AS z FROM n")
@@ -71,9 +71,9 @@ def change_boost(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.change_boost(*z_and_weights(spark, sf)).select("room", "t", r6("boost").alias("boost"))
 
 
-@query(STEP + " SELECT room, t, round(round((sum(w * value) + sum(w * tanh(abs(d) / 2))) * exp(-t / 720.0::DOUBLE * 0.1::DOUBLE), 9), 4) AS score FROM d JOIN weights USING (signal) GROUP BY room, t")
+@query(STEP + " SELECT room, t, round((sum(w * value) + sum(w * tanh(abs(d) / 2))) * exp(-t / 720.0::DOUBLE * 0.1::DOUBLE), 9) AS score FROM d JOIN weights USING (signal) GROUP BY room, t")
 def decayed_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.decayed_curve(*z_and_weights(spark, sf)).select("room", "t", F.round("score", 4).alias("score"))
+    return normalize.decayed_curve(*z_and_weights(spark, sf)).select("room", "t", "score")
 
 
 @query(STEP + " SELECT room, t, round(round(sum(w * value) + 0.2::DOUBLE * tanh(sum(w * greatest(d, 0))), 9), 6) AS score FROM d JOIN weights USING (signal) GROUP BY room, t")
@@ -82,10 +82,10 @@ def recall_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(ROBUST + """, s AS (SELECT room, signal, any_value(ord) AS ord, avg(value) AS mean_z, max(value) AS max_z, any_value(w) * avg(abs(value)) AS c FROM z JOIN weights USING (signal) GROUP BY room, signal)
-SELECT room, signal, round(mean_z, 6) AS mean_z, round(max_z, 6) AS max_z, round(c, 6) AS contribution, row_number() OVER (PARTITION BY room ORDER BY c DESC, ord)::INTEGER AS rank FROM s""")
+SELECT room, signal, round(mean_z, 6) AS mean_z, round(max_z, 6) AS max_z, round(c, 6) AS contribution, rank FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY c DESC, ord)::INTEGER AS rank FROM s) WHERE rank <= 3""")
 def signal_stats(spark: SparkSession, sf: str) -> DataFrame:
     z, w = z_and_weights(spark, sf)
-    return normalize.signal_stats(z, w).select("room", "signal", r6("mean_z").alias("mean_z"), r6("max_z").alias("max_z"), r6("contribution").alias("contribution"), "rank")
+    return normalize.signal_stats(z, w, 3).select("room", "signal", r6("mean_z").alias("mean_z"), r6("max_z").alias("max_z"), r6("contribution").alias("contribution"), "rank")
 
 
 LAGGED = SIG + """, src AS (SELECT room, signal, ord, t, CASE WHEN signal LIKE 'dm%' THEN coalesce(lag(value, 3) OVER (PARTITION BY room, signal ORDER BY t), 0) ELSE value END AS value FROM (

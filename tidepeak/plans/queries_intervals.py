@@ -105,11 +105,11 @@ def trigger_concat(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("room", "start", "trigger", intervals.title(F.col("trigger"), F.col("start")).alias("title"), F.array_join(intervals.tags(F.col("trigger")), ",").alias("tags"))
 
 
-@query(STATS + ", b AS (SELECT room, s, signal, ord, round(w * mean, 4) AS c FROM st JOIN weights USING (signal)), r AS (SELECT *, row_number() OVER (PARTITION BY room, s, signal ORDER BY 1) AS one FROM b) SELECT room, s AS \"start\", signal, c AS contribution FROM r")
+@query(STATS + ", b AS (SELECT room, id, s, signal, ord, round(w * mean, 4) AS c FROM st JOIN weights USING (signal)), r AS (SELECT *, row_number() OVER (PARTITION BY room, id ORDER BY abs(c) DESC, ord) AS rank FROM b) SELECT room, s AS \"start\", signal, c AS contribution FROM r WHERE rank <= 3")
 def breakdown_topn(spark: SparkSession, sf: str) -> DataFrame:
     z, w, curve, ranges = parts(spark, sf)
     wide = intervals.expand(ranges, curve, 5.0, 24.0)
-    return intervals.breakdown(wide, z, w, 5).join(wide.select("room", "id", "start"), ["room", "id"]).select("room", "start", "signal", "contribution")
+    return intervals.breakdown(wide, z, w, 3).join(wide.select("room", "id", "start"), ["room", "id"]).select("room", "start", "signal", "contribution")
 
 
 WF = RANGES + EXPAND + """, f0 AS (SELECT w.room, w.id, any_value(w.s) AS s, any_value(w.e) AS e, signal, max(value) FILTER (t >= w.s AND t < w.e) AS peak, avg(value) FILTER (t >= w.s AND t < w.e) AS mean, sum(greatest(value, 0)) FILTER (t >= w.s AND t < w.e) AS area,

@@ -283,7 +283,7 @@ def ngram_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "benchmark").select("item_id", F.size(tokens).alias("n"), F.array_join(tokens, "|").alias("tokens"))
 
 
-@query("""WITH k AS (SELECT vec_id AS key_id, embedding AS e FROM embeddings WHERE vec_id < 8),
+@query("""WITH k AS (SELECT vec_id AS key_id, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 8),
 s AS (SELECT v.vec_id, key_id, list_dot_product(v.embedding::DOUBLE[], e::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) + 1e-10) * (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) + 1e-10)) AS sim FROM embeddings v CROSS JOIN k),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, key_id) AS place FROM s) SELECT vec_id, key_id, round(sim, 6) AS similarity FROM r WHERE place = 1 AND sim > 0.3""")
 def cosine_match(spark: SparkSession, sf: str) -> DataFrame:
