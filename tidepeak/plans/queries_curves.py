@@ -26,9 +26,10 @@ def curve_of(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.base_score(*z_and_weights(spark, sf))
 
 
-@query(EWMA + " SELECT room, signal, t, round(value, 6) AS value FROM e")
+@query(EWMA + " SELECT room, signal, t, round(round(value, 9), 3) AS value FROM e")
 def ewma(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.ewma(A.signals(spark, sf)).select("room", "signal", "t", r6("value").alias("value"))
+    # averages of prices have few digits, so finer roundings meet ties that no two orders of addition settle alike
+    return normalize.ewma(A.signals(spark, sf)).select("room", "signal", "t", F.round(F.round("value", 9), 3).alias("value"))
 
 
 @query(SIG + ", n AS (SELECT a.room, a.signal, a.t, any_value(a.value) AS x, avg(b.value) AS m, avg(b.value * b.value) AS q FROM sig a CROSS JOIN (SELECT unnest(range(-30, 31)) AS o) " + NEAR.format(x="sig") + " GROUP BY a.room, a.signal, a.t) SELECT room, signal, t, round(CASE WHEN sqrt(greatest(q - m * m, 0)) > 1e-6 THEN (x - m) / sqrt(greatest(q - m * m, 0)) ELSE 0 END, 5) AS z FROM n")
