@@ -307,3 +307,10 @@ def test_a_failing_query_is_started_again(spark):
     calls.clear()
     with pytest.raises(RuntimeError):
         live.supervised(Query, retries=1, delay=0.0, sleep=waits.append)
+
+
+def test_stats_of_a_rooms_signals_are_all_told(spark):
+    from tidepeak.plans.catalogue import ORACLE, QUERIES
+
+    got = QUERIES["signal_stats"](spark, "/root/testdata/sf0.001").groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.n for r in got} == {5} and "rank <= 3" not in ORACLE["signal_stats"]
