@@ -4,6 +4,7 @@ import json
 import random
 import re
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -106,6 +107,29 @@ def test_rotation_equals_a_loop(spark, seconds, size):
     assert sum(x.bytes for x in each) == sum(b for chunks in rooms.values() for _, b in chunks) and sum(x.reason == "open" for x in each) <= 3
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_file_starts_by_blocks_equal_a_walk(spark, block):
+    rng = random.Random(block)
+    rooms = {r: [min(n, i + 1 + rng.randint(0, 9)) for i in range(n)] for r, n in ((1, 300), (2, 1), (3, 40))}
+    rows = spark.createDataFrame([(r, i, a if a < len(to) else None) for r, to in rooms.items() for i, a in enumerate(to)], "room long, idx long, after long")
+    expected = set()
+    for r, to in rooms.items():
+        at = 0
+        while at < len(to):
+            expected.add((r, at))
+            at = to[at]
+    got = [tuple(r) for r in rotation.starts(rows, block).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_rotation_of_many_chunks_takes_time_in_proportion(spark):
+    # a frame to the end of the room would read 2 * 10^10 rows here
+    rows = spark.range(200_000).select(F.lit(1).alias("room"), F.timestamp_seconds(F.col("id") / 10).alias("ts"), (F.col("id") % 7).alias("bytes"))
+    begun = time.monotonic()
+    each = rotation.files(rows, 100.0, 250).collect()
+    assert time.monotonic() - begun < 60 and sum(r.chunks for r in each) == 200_000 and {r.reason for r in each} == {"size_cap", "open"}
+
+
 def test_correlation_by_transforms_equals_the_direct_one():
     rng = np.random.default_rng(1)
     for n in (11, 64, 501):
