@@ -314,3 +314,12 @@ def test_stats_of_a_rooms_signals_are_all_told(spark):
 
     got = QUERIES["signal_stats"](spark, "/root/testdata/sf0.001").groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.n for r in got} == {5} and "rank <= 3" not in ORACLE["signal_stats"]
+
+
+def test_recent_messages_of_a_table_in_several_files(spark, tmp_path):
+    from tidepeak.plans.catalogue import QUERIES
+
+    rows = spark.createDataFrame([(c, t, "user", f"m{c}-{t}") for c in range(4) for t in range(1 + 2 * c)], "conv_id long, turn long, role string, text string")
+    rows.orderBy("turn", "conv_id").repartitionByRange(3, "turn").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["recent_messages"](spark, str(tmp_path)).join(rows.select(F.md5("text").alias("newest"), "text"), "newest").collect()
+    assert sorted((r.room, r.held, r.text) for r in got) == [(0, 1, "m0-0"), (1, 3, "m1-2"), (2, 3, "m2-4"), (3, 3, "m3-6")]

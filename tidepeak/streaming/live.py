@@ -21,9 +21,10 @@ LATE = "10 seconds"
 
 
 def read_events(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """Files of one table in a folder, as a stream."""
+    """Files of one table in a folder, as a stream; the table is a file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
+    # a stream takes a pattern for either, and a plain path for a folder only
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{name}}}")
 
 
 def watermarked(chat: DataFrame, late: str = LATE) -> DataFrame:
