@@ -342,3 +342,18 @@ def test_baseline_of_rooms_and_of_all(spark):
     out = {(r.level, r.room, r.kind, r.name): (r.n, r.least, r.mean, r.most) for r in report.baseline(clips, dropped, dropped.limit(0), signals, spark.createDataFrame([(1, "pad")], "room long, how string")).collect()}
     assert out["all", None, "clip", None] == (3, 1.0, 5.0, 10.0) and out["name", 1, "dropped", "unknown"][0] == 1 and out["name of all", None, "dropped", "overlap"][0] == 2
     assert out["room", 1, "dropped", None][0] == 2 and out["name of all", None, "signal", "rms"] == (2, 5.0, 7.5, 10.0) and out["all", None, "aligned", None][0] == 1
+
+
+def test_many_small_rooms_cost_no_frame_each(spark):
+    # a data frame for each room took some 2 ms, those of a greedy choice more
+    edges = spark.range(120_000).select((F.col("id") / 3).cast("long").alias("room"), (F.col("id") % 3).alias("a_id"), (F.col("id") % 3 + 1).alias("a_rank"), F.lit(7).cast("long").alias("b_id"), F.lit(0.5).alias("iou"))
+    begun = time.monotonic()
+    got = evaluate.matchings(edges.coalesce(1), (1, 3)).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("a_id").alias("a")).collect()
+    assert {(r.k, r.n, r.a) for r in got} == {(1, 40_000, 0), (3, 40_000, 0)} and time.monotonic() - begun < 20
+
+
+def test_taken_annotations_are_not_given_again(spark):
+    clips = spark.createDataFrame([("x", 1, 0.0, 10.0, 9.0), ("x", 2, 1.0, 9.0, 8.0), ("y", 1, 0.0, 10.0, 1.0)], "room string, id long, start double, end double, score double")
+    known = spark.createDataFrame([("x", 5, 0.0, 10.0), ("x", 6, 2.0, 9.0), ("y", 5, 0.0, 9.0)], "room string, id long, start double, end double")
+    got = {(r.room, r.id, r.existing_id, round(r.iou, 4)) for r in evaluate.best_existing_match(clips, known, 0.5).collect()}
+    assert got == {("x", 1, 5, 1.0), ("x", 2, 6, 0.875), ("y", 1, 5, 0.9)}
