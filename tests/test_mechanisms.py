@@ -357,3 +357,10 @@ def test_taken_annotations_are_not_given_again(spark):
     known = spark.createDataFrame([("x", 5, 0.0, 10.0), ("x", 6, 2.0, 9.0), ("y", 5, 0.0, 9.0)], "room string, id long, start double, end double")
     got = {(r.room, r.id, r.existing_id, round(r.iou, 4)) for r in evaluate.best_existing_match(clips, known, 0.5).collect()}
     assert got == {("x", 1, 5, 1.0), ("x", 2, 6, 0.875), ("y", 1, 5, 0.9)}
+
+
+def test_documents_of_payloads_are_not_broadcast(spark):
+    docs = spark.range(5).select("id", F.concat(F.lit('{"HD1":"http://h/'), F.col("id").cast("string"), F.lit('_hd.flv"}')).alias("doc"))
+    urls = pages.payload_urls(docs)
+    assert "BroadcastHashJoin" not in urls._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.quality, r.url) for r in urls.collect()) == [(i, "hd", f"http://h/{i}_hd.flv") for i in range(5)]

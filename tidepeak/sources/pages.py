@@ -87,7 +87,8 @@ def payload_urls(payloads: DataFrame) -> DataFrame:
     rows = texts.withColumn("quality", F.coalesce(named, own, key)).where("quality IS NOT NULL")
     # a variant keeps its keys sorted: the order is that of the texts in the document, without its escapes
     plain = F.replace(F.replace("doc", F.lit("\\u0026"), F.lit("&")), F.lit("\\/"), F.lit("/"))
-    placed = rows.join(payloads.select("id", plain.alias("plain")), "id")
+    # documents are made from narrow columns: their size is taken for that of these, so a join may not choose to broadcast them
+    placed = rows.join(payloads.select("id", plain.alias("plain")).hint("merge"), "id")
     at = F.expr("locate(text, plain)")
     first = placed.groupBy("id", "quality").agg(F.min_by("text", F.struct(F.when(at == 0, F.lit(2**31 - 1)).otherwise(at), F.col("path"))).alias("url"))
     return first.select("id", "quality", F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url"))
