@@ -323,3 +323,17 @@ def test_recent_messages_of_a_table_in_several_files(spark, tmp_path):
     rows.orderBy("turn", "conv_id").repartitionByRange(3, "turn").write.parquet(f"{tmp_path}/conversations.parquet")
     got = QUERIES["recent_messages"](spark, str(tmp_path)).join(rows.select(F.md5("text").alias("newest"), "text"), "newest").collect()
     assert sorted((r.room, r.held, r.text) for r in got) == [(0, 1, "m0-0"), (1, 3, "m1-2"), (2, 3, "m2-4"), (3, 3, "m3-6")]
+
+def test_every_edge_is_ranked_as_a_whole(spark):
+    from tidepeak.plans import catalogue  # noqa: F401
+    from tidepeak.plans.queries_intervals import parts
+
+    # both sides of the search in one plan, so that exchanges are reused below the union of their places
+    z, _, c, ranges = parts(spark, "/root/testdata/sf0.001")
+    windows = intervals.expand(ranges, c, 5.0, 24.0)
+    sides = [rerank.edge_candidates(windows.select("room", "id", F.col(end).alias("edge")), z, c, None, 4.0).select("room", "id", F.col("time").alias(end), F.col("rank").alias(f"{end}_rank")) for end in ("start", "end")]
+    rows = sides[0].join(sides[1], ["room", "id"]).collect()
+    for end in ("start", "end"):
+        places = {(r.room, r.id, r[end], r[f"{end}_rank"]) for r in rows}
+        assert len(places) == len({p[:3] for p in places}) == len({(*p[:2], p[3]) for p in places})
+        assert {r[f"{end}_rank"] for r in rows} <= set(range(1, 11))

@@ -101,9 +101,12 @@ def duration_range(kind: Column, low: float, high: float, platform: str = "none"
 
 def prefix_sums(curve: DataFrame) -> DataFrame:
     """(room, t, upto): sum of scores before t, for t from 0 to the end."""
-    w = Window.partitionBy("room").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    sums = curve.select("room", (F.col("t") + 1).alias("t"), F.sum("score").over(w).alias("upto"))
-    return sums.unionByName(curve.select("room").distinct().select("room", F.lit(0).alias("t"), F.lit(0.0).alias("upto")))
+    w = Window.partitionBy("room").orderBy("t")
+    upto = F.sum("score").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    sums = curve.select("room", F.row_number().over(w).alias("place"), F.struct((F.col("t") + 1).alias("t"), upto.alias("upto")).alias("s"))
+    # the first row brings the empty sum too
+    none = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("upto"))
+    return sums.select("room", F.inline(F.when(F.col("place") == 1, F.array(none, "s")).otherwise(F.array("s"))))
 
 
 def select_window(windows: DataFrame, curve: DataFrame, radius: int = 8) -> DataFrame:
@@ -162,6 +165,9 @@ def edge_candidates(edges: DataFrame, z: DataFrame, curve: DataFrame, asr: DataF
         spoken = around.join(ends, ["room", "t"]).where("mark BETWEEN lo AND hi").select("room", "id", "edge", F.bround("mark").alias("time"), F.lit("asrSentence").alias("source"))
         found = found.unionByName(spoken.distinct())
     weight = F.coalesce(*[F.when(F.col("source") == s, F.lit(w)) for s, w in EDGE_WEIGHTS.items()])
+    # dealt explicitly: Spark 4.1 takes the union of sides that are dealt by room as dealt by room, also where a reused exchange
+    # makes it a plain concatenation (spark.sql.unionOutputPartitioning), and an edge would then be ranked in several parts
+    found = found.repartition("room", "id")
     one = Window.partitionBy("room", "id", "time").orderBy(F.desc("weight"), "source")
     best = found.withColumn("weight", weight).withColumn("place", F.row_number().over(one)).where("place = 1")
     cost = F.abs(F.col("time") - F.col("edge")) / max(search, 1.0) - F.col("weight")
