@@ -444,6 +444,23 @@ def test_quality_ranks_held_out_texts(spark):
     assert len({r.score for r in alone}) == 1
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(q), [float(v) for v in rng.normal(q * 0.8, 1.0, len(quality.FEATURES))]) for q in rng.random(6000) < 0.6]
+    ranker = quality.fit(spark.createDataFrame(rows, "quality int, x array<double>"), 0.4)
+    x, q = np.array([v for _, v in rows]), np.array([g for g, _ in rows])
+    assert np.allclose(ranker.mean, x.mean(0), atol=1e-9) and np.allclose(ranker.scale, x.std(0) + 1e-6, atol=1e-9)
+    z = quality.standard(x, ranker.mean, ranker.scale)
+    good, bad, s = z[q == 1], z[q == 0], z @ ranker.weights
+    # the gradient over every single pair is zero there
+    lost = 1 / (1 + np.exp(s[q == 1][:, None] - s[q == 0][None]))
+    gradient = (lost.sum(0) @ bad - lost.sum(1) @ good) / lost.size + quality.RIDGE * ranker.weights
+    assert np.abs(gradient).max() < 1e-4
+    weight = np.where(q == 1, 0.6 / (q == 1).sum(), 0.4 / (q == 0).sum())[np.argsort(s)]
+    at = int(np.searchsorted(np.cumsum(weight), 0.4 - 1e-12))
+    assert abs(ranker.cut - np.sort(s)[at : at + 2].mean()) < 1e-9
+
+
 # ── 5: licenses ──
 def test_license_places_equal_brute_force(spark):
     rng = random.Random(6)
