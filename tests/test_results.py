@@ -337,3 +337,17 @@ def test_every_edge_is_ranked_as_a_whole(spark):
         places = {(r.room, r.id, r[end], r[f"{end}_rank"]) for r in rows}
         assert len(places) == len({p[:3] for p in places}) == len({(*p[:2], p[3]) for p in places})
         assert {r[f"{end}_rank"] for r in rows} <= set(range(1, 11))
+
+
+def test_moods_are_made_once_a_message(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def model(_content):
+        calls.add(1)
+        return 1.0
+
+    chat = spark.createDataFrame([(1, t, t, "word " * 50 + str(t), "u", "chat") for t in range(3)], "room long, t int, line_no long, content string, user_id string, type string")
+    known = text_signals.facts(chat, 3, text_signals.TextSettings(sentiment="hf", model=model)).collect()
+    assert sorted(r.mood for r in known if r.kind == text_signals.MESSAGE) == [1.0] * 3 and all(r.mood is None for r in known if r.kind != text_signals.MESSAGE)
+    assert calls.value == 3

@@ -59,22 +59,21 @@ def facts(chat: DataFrame, n: int, settings: TextSettings = TextSettings(), coun
         rows = rows.observe(counters, F.count(F.lit(1)).alias("messages"), F.count_if(~inside).alias("skipped"), F.count_if(F.trim(content) == "").alias("blank"))
     rows = rows.withColumn("arrived", arrived)
     none = F.lit(None).cast("string")
-    item = lambda kind, name, more=False: F.struct(F.lit(kind).alias("kind"), name.alias("item"), F.lit(more).alias("whole"))
+    # moods and hits are fields of the message's own item: columns beside an explode are made anew for each token
+    no_mood, no_hits = F.lit(None).cast("double"), F.lit(None).cast("array<bigint>")
+    item = lambda kind, name, mood=no_mood, hits=no_hits: F.struct(F.lit(kind).alias("kind"), name.alias("item"), mood.alias("mood"), hits.alias("hits"))
+    found_hits = F.array(*[F.coalesce(hit, F.lit(False)).cast("long") for hit in rates])
     tokens = F.filter(F.split(F.trim(F.regexp_replace(content, r"\s+", " ")), " "), lambda w: w != "")
     said = F.filter(F.array(plain), lambda p: p != "")
     parts = F.concat(
-        F.array(item(MESSAGE, none, True), item(USER, text.user_hash(F.col("user_id")))),
+        F.array(item(MESSAGE, none, mood.cast("double"), found_hits), item(USER, text.user_hash(F.col("user_id")))),
         F.transform(tokens, lambda w: item(TOKEN, w)),
         F.transform(said, lambda p: item(SAID, F.md5(p))),  # digests move, not messages
     )
     kept = F.when(inside, parts).otherwise(F.array(item(OUTSIDE, none)))
-    each = rows.select(
-        "room", F.when(inside, F.col("t")).otherwise(-1).alias("t"), (F.col("arrived") <= settings.entropy_cap).cast("long").alias("early"), mood.cast("double").alias("mood"),
-        F.array(*[F.coalesce(hit, F.lit(False)).cast("long") for hit in rates]).alias("hits"), F.explode(kept).alias("p"),
-    )
-    whole = F.col("p.whole")
-    sums = [F.sum(F.when(whole, F.get("hits", F.lit(i))).otherwise(0)).alias(f"h{i}") for i in range(len(rates))]
-    found = each.groupBy("room", "t", F.col("p.kind").alias("kind"), F.col("p.item").alias("item")).agg(F.count(F.lit(1)).alias("c"), F.sum("early").alias("early"), F.sum(F.when(whole, F.col("mood"))).alias("mood"), *sums)
+    each = rows.select("room", F.when(inside, F.col("t")).otherwise(-1).alias("t"), (F.col("arrived") <= settings.entropy_cap).cast("long").alias("early"), F.explode(kept).alias("p"))
+    sums = [F.sum(F.coalesce(F.get("p.hits", F.lit(i)), F.lit(0))).alias(f"h{i}") for i in range(len(rates))]
+    found = each.groupBy("room", "t", F.col("p.kind").alias("kind"), F.col("p.item").alias("item")).agg(F.count(F.lit(1)).alias("c"), F.sum("early").alias("early"), F.sum("p.mood").alias("mood"), *sums)
     return found.select("room", "t", "kind", "item", "c", "early", "mood", F.array(*[f"h{i}" for i in range(len(rates))]).alias("hits"))
 
 
