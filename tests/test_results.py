@@ -1,6 +1,7 @@
 """Result tables, documents, drivers of evaluation and of text signals, manifests, and live operators."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +352,11 @@ def test_moods_are_made_once_a_message(spark):
     known = text_signals.facts(chat, 3, text_signals.TextSettings(sentiment="hf", model=model)).collect()
     assert sorted(r.mood for r in known if r.kind == text_signals.MESSAGE) == [1.0] * 3 and all(r.mood is None for r in known if r.kind != text_signals.MESSAGE)
     assert calls.value == 3
+
+
+def test_entropy_sorts_tokens_around_a_tick_once(spark):
+    counted = spark.createDataFrame([(1, 0, "a", 3), (1, 0, "b", 1), (1, 2, "a", 1)], "room long, t int, item string, c long")
+    found = text.entropy_of(counted, 1, 50)
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert sum("AS total" in w or "AS place" in w for w in windows) == 1
+    assert [round(r.dmEntropy, 6) for r in found.where("t = 1").collect()] == [round(-(0.8 * math.log2(0.8) + 0.2 * math.log2(0.2)), 6)]
