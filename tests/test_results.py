@@ -329,7 +329,7 @@ def test_every_edge_is_ranked_as_a_whole(spark):
     from tidepeak.plans import catalogue  # noqa: F401
     from tidepeak.plans.queries_intervals import parts
 
-    # both sides of the search in one plan, so that exchanges are reused below the union of their places
+    # both sides of the search in one plan, as in search_edges()
     z, _, c, ranges = parts(spark, "/root/testdata/sf0.001")
     windows = intervals.expand(ranges, c, 5.0, 24.0)
     sides = [rerank.edge_candidates(windows.select("room", "id", F.col(end).alias("edge")), z, c, None, 4.0).select("room", "id", F.col("time").alias(end), F.col("rank").alias(f"{end}_rank")) for end in ("start", "end")]

@@ -165,8 +165,8 @@ def edge_candidates(edges: DataFrame, z: DataFrame, curve: DataFrame, asr: DataF
         spoken = around.join(ends, ["room", "t"]).where("mark BETWEEN lo AND hi").select("room", "id", "edge", F.bround("mark").alias("time"), F.lit("asrSentence").alias("source"))
         found = found.unionByName(spoken.distinct())
     weight = F.coalesce(*[F.when(F.col("source") == s, F.lit(w)) for s, w in EDGE_WEIGHTS.items()])
-    # dealt explicitly: Spark 4.1 takes the union of sides that are dealt by room as dealt by room, also where a reused exchange
-    # makes it a plain concatenation (spark.sql.unionOutputPartitioning), and an edge would then be ranked in several parts
+    # dealt explicitly: Spark 4.1 takes the union of sides that are dealt by room as dealt by room (spark.sql.unionOutputPartitioning),
+    # and in the plan of search_edges() an edge was then ranked in several parts
     found = found.repartition("room", "id")
     one = Window.partitionBy("room", "id", "time").orderBy(F.desc("weight"), "source")
     best = found.withColumn("weight", weight).withColumn("place", F.row_number().over(one)).where("place = 1")
