@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -201,6 +202,54 @@ def test_no_link_depends_on_the_first_search(spark, monkeypatch):
     assert joined(spark, rows) == expected
 
 
+def test_no_link_depends_on_short_keys_or_broadcasts(spark, monkeypatch):
+    rows = [*enumerate(copies(random.Random(10)))]
+    none = lambda texts: texts.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    for name, value in (("key_links", none), ("short_of", lambda hashes: hashes >> np.uint64(50)), ("FEW", 0), ("LONG", 6), ("KEPT", 20), ("PLAIN", 5), ("BUCKET", 700)):
+        monkeypatch.setattr(overlap, name, value)  # many shingles share a key
+    assert joined(spark, rows) == brute_join(rows)
+
+
+def test_only_words_that_are_searched_are_shuffled(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(words) for _ in range(400)] for _ in range(1500)]
+    texts += [t[:380] + [rng.choice(words) for _ in range(20)] for t in texts[:40]]  # similar
+    texts += [t[:300] + [rng.choice(words) for _ in range(100)] for t in texts[40:80]]  # half similar
+    texts += [texts[80][:120] + [rng.choice(words) for _ in range(20)] for _ in range(40)]  # a family
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
+    assert df.count() == len(texts)
+    stored = sum(len(zlib.compress(" ".join(t).encode(), 1)) for t in texts)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the texts were too many to be broadcast
+    try:
+        assert overlap.join(df).select("component_id").distinct().count() < len(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (shuffled() - before) / stored < 3
+    df.unpersist()
+
+
+def test_class_counts_bound_what_sets_share():
+    rng = random.Random(12)
+    near = 0
+    for k in range(300):
+        pool = [rng.getrandbits(64 if k % 5 else 20) for _ in range(600)]  # and sets whose hashes are all in one class
+        made = [np.unique(np.array(rng.sample(pool, rng.choice([1, 2, 3, 17, 200, 500])), np.uint64)) for _ in range(2)]
+        a, b = ((x, overlap.class_counts(x)) for x in made)
+        most = overlap.most_common(a[1], b[1], len(a[0]), len(b[0]))
+        assert len(np.intersect1d(*made)) <= most == overlap.most_common(b[1], a[1], len(b[0]), len(a[0]))
+        assert overlap.most_common(a[1], a[1], len(a[0]), len(a[0])) >= len(a[0])
+        other = [np.unique(np.array([rng.getrandbits(64) for _ in range(700)], np.uint64)) for _ in range(2)]
+        near += overlap.most_common(*map(overlap.class_counts, other), 700, 700) * 180 >= 1400 * 80
+    assert not near  # sets with nothing in common are told apart
+
+
 def test_join_of_empty_tables_and_long_texts(spark):
     assert joined(spark, []) == [] and joined(spark, [(1, None)]) == [(1, 0, 1)]
     long = " ".join(f"v{i}" for i in range(60_000))
