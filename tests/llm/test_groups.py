@@ -210,6 +210,12 @@ def test_no_link_depends_on_short_keys_or_broadcasts(spark, monkeypatch):
     assert joined(spark, rows) == brute_join(rows)
 
 
+def test_copies_may_outnumber_texts(spark):
+    texts = copies(random.Random(13))[:40]
+    rows = [(i, texts[i * 7 % 40]) for i in range(200)]
+    assert joined(spark, rows) == brute_join(rows)
+
+
 def test_only_words_that_are_searched_are_shuffled(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(3000)]
